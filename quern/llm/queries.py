@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.packing import op7_packing
 from quern.llm.quality import op2_quality
+from quern.llm.topk import TOPK_SQL, op3_topk
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_topk": op3_topk,
+    "op7_packing": op7_packing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": TOPK_SQL,
+}
