@@ -9,8 +9,8 @@ sentence's end, more inside a sentence. The cheapest cuts come from
     f[j] = cut[j] + min over i of f[i] + window(position[j] - position[i])
 
 over candidate borders. Padding falls by one per token, so f[i] + position[i]
-is kept in a monotone queue for windows up to ``length``, and in a second one
-for spans that hold one forced cut after exactly ``length`` tokens.
+is kept in a monotone queue for windows up to ``length``, and in further ones
+for spans that hold forced cuts, each after exactly ``length`` tokens.
 
 The stream is handled in stretches of ``stretch`` tokens: a stretch's plan is
 fixed up to its last few windows, the rest is planned again with what follows.
@@ -49,6 +49,8 @@ class PackingParams:
     window_price: int = 8
     sentence_price: int = 1
     forced_price: int = 6
+    #: Forced cuts in a row at most, between borders.
+    forced: int = 3
     spacing: int = 24
     stretch: int = 1 << 17
     end_id: int = 0
@@ -125,31 +127,28 @@ def borders(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, p: PackingP
 def cuts(at: list[int], price: list[int], p: PackingParams) -> list[int]:
     """Ends of the cheapest windows that cover positions at[0] to at[-1]."""
     m, length = len(at), p.length
-    f, back = [0] * m, [0] * m
+    f, back, keys = [0] * m, [0] * m, [0] * m
     index = {x: k for k, x in enumerate(at)}
     powers = [1 << k for k in range(length.bit_length() - 1)] + [length]
-    near: deque = deque()  # candidates at most one window away, by rising f + position
-    far: deque = deque()  # those up to two windows away
-    passed = 0
-    keys = [0] * m
+    # Queue h holds the starts of spans with h forced cuts, by rising key (f + position): its head is the cheapest.
+    queues = [(deque(), h * length, (h + 1) * length, h * (p.forced_price + p.window_price)) for h in range(p.forced + 1)]
+    entered = [0] * (p.forced + 1)
     for j in range(1, m):
-        x, k = at[j], keys[j - 1]
-        while near and keys[near[-1]] >= k:
-            near.pop()
-        near.append(j - 1)
-        while at[passed] < x - length:
-            k = keys[passed]
-            while far and keys[far[-1]] >= k:
-                far.pop()
-            far.append(passed)
-            passed += 1
-        while near[0] < passed:
-            near.popleft()
-        while far and at[far[0]] < x - 2 * length:
-            far.popleft()
-        best, who = keys[near[0]] + length - x, near[0]
-        if far and (v := keys[far[0]] + 2 * length - x + p.forced_price + p.window_price) < best:
-            best, who = v, far[0]
+        x, best, who = at[j], None, 0
+        for h, (queue, least, most, extra) in enumerate(queues):
+            k = entered[h]
+            while k < j and at[k] < x - least:
+                key = keys[k]
+                while queue and keys[queue[-1]] >= key:
+                    queue.pop()
+                queue.append(k)
+                k += 1
+            entered[h] = k
+            while queue and at[queue[0]] < x - most:
+                queue.popleft()
+            if queue and (best is None or keys[queue[0]] + most - x + extra < best):
+                who = queue[0]
+                best = keys[who] + most - x + extra
         for d in powers:
             if (i := index.get(x - d)) is not None and f[i] < best:
                 best, who = f[i], i
@@ -158,9 +157,7 @@ def cuts(at: list[int], price: list[int], p: PackingParams) -> list[int]:
     out, j = [], m - 1
     while j:
         i = back[j]
-        out.append(at[j])
-        if at[j] - at[i] > length:
-            out.append(at[i] + length)
+        out += [at[j], *reversed(range(at[i] + length, at[j], length))]
         j = i
     return out[::-1]
 

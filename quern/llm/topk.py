@@ -127,8 +127,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKPa
         return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x * p.scale, F.lit(-bound)), F.lit(bound)))).alias("v"))
 
     q, c = numbers(queries), numbers(candidates)
-    sizes = c.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).crossJoin(q.agg(F.count("*").alias("m"), F.max(F.size("v")).alias("wq"))).head()
-    width = max(sizes["w"] or 0, sizes["wq"] or 0)
+    both = c.select(F.size("v").alias("w"), F.lit(1).alias("n"), F.lit(0).alias("m")).union(q.select(F.size("v"), F.lit(0), F.lit(1)))
+    sizes = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.max("w"), F.lit(0)).alias("w")).head()
+    width = sizes["w"]
     blocks, query_blocks = max(1, -(-sizes["n"] // p.block)), max(1, -(-sizes["m"] // p.query_block))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("qb", each(query_blocks))
