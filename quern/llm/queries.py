@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.jaccard import op5_jaccard
 from quern.llm.packing import op7_packing
+from quern.llm.pii import op6_pii
 from quern.llm.quality import op2_quality
 from quern.llm.topk import TOPK_SQL, op3_topk
 from quern.llm.toxicity import op10_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op5_jaccard": op5_jaccard,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op10_toxicity": op10_toxicity,
 }
