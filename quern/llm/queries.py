@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.jaccard import op5_jaccard
+from quern.llm.lines import op1_lines
 from quern.llm.packing import op7_packing
 from quern.llm.pii import op6_pii
 from quern.llm.quality import op2_quality
@@ -14,6 +15,7 @@ from quern.llm.topk import TOPK_SQL, op3_topk
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op5_jaccard": op5_jaccard,
