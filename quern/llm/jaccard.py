@@ -212,10 +212,10 @@ def chunk_links(rows: list[dict], hub: int, a_chunk: int, b_chunk: int, p: Jacca
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its component), n_copies (other rows with an equal set), n_links (other sets at or above the threshold)."""
+    """doc_id, th (hash of the text), class_id (smallest doc_id of its component), n_copies (other rows with an equal set), n_links (other sets at or above the threshold)."""
     spark, p = docs.sparkSession, params
     small_batches(spark)
-    rows = only(docs, doc_id="long", text="string")
+    rows = only(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("th"))
     known = rows.filter("doc_id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
                 hashes, edges = shingle_sets(texts[i:j], p.words)
                 k1, k2 = set_keys(hashes, edges)
                 sig = signatures(hashes, edges, p.size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(edges), pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary())], ["doc_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(edges), pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary())], ["doc_id", "th", "k1", "k2", "n", "sig"])
 
-    signed = stage(spark, known.mapInArrow(sign, "doc_id long, k1 long, k2 long, n long, sig binary"), "jaccard-signed")
+    signed = stage(spark, known.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, sig binary"), "jaccard-signed")
     reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     reps = stage(spark, reps, "jaccard-reps")
 
@@ -280,11 +280,23 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     found = counts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = reps.select("k1", "k2", "rep", "rows").join(found, "rep", "left").filter("rows > 1 or n_links is not null")
     classes = stage(spark, classes.select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), (F.col("rows") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-classes")
-    result = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    result = result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    result = signed.select("doc_id", "th", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    result = result.select("doc_id", "th", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = rows.filter("doc_id is null").select("doc_id", "th", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return result.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """The row with the smallest ``doc_id`` of every class (of several texts under it, one), with all its columns; rows without ``doc_id`` stay."""
+    spark = docs.sparkSession
+    found = near_duplicates(docs, params).filter("doc_id is not null")
+    # Texts without words are classes of their own even where they share an id.
+    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.*")
+    first = stage(spark, first.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "jaccard-first")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__th"))).dropDuplicates(["__id", "__th"])
+    return kept.drop("__id", "__th", "__hash").unionByName(docs.filter("doc_id is null"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("th")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.fingerprints import op9_fingerprints
 from quern.llm.jaccard import op5_jaccard
 from quern.llm.lines import op1_lines
 from quern.llm.packing import op7_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 

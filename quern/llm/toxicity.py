@@ -21,7 +21,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -201,19 +201,45 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, params: ToxicityParams = ToxicityParams(), threshold: float = 0.3, keep: str = "") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, plus the columns named in ``keep``."""
-    small_batches(docs.sparkSession)
+def judging(model: ToxicityModel, params: ToxicityParams) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Builds, in a task, the function from texts to scores."""
     coded = json.dumps([model.terms, model.weights, model.logistic])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build() -> Callable[[list[str]], np.ndarray]:
         terms, weights, w = json.loads(coded)
         scanner = Scanner(ToxicityModel([tuple(t) for t in terms], weights), params)
-        for b in batches:
-            texts = texts_of(b)
+
+        def rate(texts: list[str]) -> np.ndarray:
             e = np.concatenate([np.zeros((0, 3)), *(scanner.evidence(texts[i:j]) for i, j in slices(texts))])
-            s = 1 / (1 + np.exp(-np.clip(inputs(e) @ np.array(w), -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
+            return 1 / (1 + np.exp(-np.clip(inputs(e) @ np.array(w), -35, 35)))
+
+        return rate
+
+    return build
+
+
+def accepted(docs: DataFrame, model: ToxicityModel, params: ToxicityParams = ToxicityParams(), threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
+    judge = judging(model, params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = judge()
+        for b in batches:
+            yield b.filter(pa.array(rate(texts_of(b)) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: ToxicityModel, params: ToxicityParams = ToxicityParams(), threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    small_batches(docs.sparkSession)
+    judge = judging(model, params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = judge()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rate(texts_of(b)), pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = only(docs, doc_id="long", text="string").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
