@@ -10,6 +10,7 @@ from quern.llm.fingerprints import op9_fingerprints
 from quern.llm.jaccard import op5_jaccard
 from quern.llm.lines import op1_lines
 from quern.llm.packing import op7_packing
+from quern.llm.pieces import op8_sentencepiece
 from quern.llm.pii import op6_pii
 from quern.llm.quality import op2_quality
 from quern.llm.scoring import SCORING_SQL, op4_scoring
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
