@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents
+from quern.llm.shared import documents, let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the kinds, tried in this order. All repetitions are bounded, so matching needs bounded stack and time.
@@ -50,11 +50,6 @@ ROUNDS = 6
 DAY_SIDES = (250, 292)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _number(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10).cast("long")
 
@@ -75,13 +70,13 @@ def _shift(text: Column, stream: Column, small: Column) -> Column:
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    return _let(stream, all_of)
+    return let(stream, all_of)
 
 
 def permute_text(text: Column, key: str, tweak: str, small: Column | None = None) -> Column:
     """Feistel network over a string of letters and digits; one character alone is shifted by a constant."""
     small = F.lit(26) if small is None else small
-    return _let(text, lambda t: _network(t, key, tweak, small))
+    return let(text, lambda t: _network(t, key, tweak, small))
 
 
 def _network(text: Column, key: str, tweak: str, small: Column) -> Column:
@@ -116,7 +111,7 @@ def _fill(shape: Column, letters: Column) -> Column:
 
         return F.aggregate(F.split(shape, ""), start, one, lambda s: s["out"])
 
-    return _let(letters, all_of)
+    return let(letters, all_of)
 
 
 def _bare(text: Column) -> Column:
@@ -140,7 +135,7 @@ def _card(value: Column, key: str) -> Column:
     d = _bare(value)
     inner = permute_text(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")
     check = lambda body: ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    new = _let(F.concat(F.substring(d, 1, 1), inner), lambda body: F.concat(body, check(body)))
+    new = let(F.concat(F.substring(d, 1, 1), inner), lambda body: F.concat(body, check(body)))
     return F.when(luhn_sum(d) % 10 == 0, _fill(value, new)).otherwise(value)
 
 
@@ -158,7 +153,7 @@ def _iban(value: Column, key: str) -> Column:
     d = _bare(value)
     country, account = F.substring(d, 1, 2), F.substring(d, F.lit(5), F.length(d))
     check = lambda new: F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = _let(permute_text(account, key, "iban"), lambda new: F.concat(country, check(new), new))
+    whole = let(permute_text(account, key, "iban"), lambda new: F.concat(country, check(new), new))
     valid = _mod97(F.concat(account, F.substring(d, 1, 4))) == 1
     return F.when(valid, _fill(value, whole)).otherwise(value)
 
@@ -166,7 +161,7 @@ def _iban(value: Column, key: str) -> Column:
 def _ip(value: Column, key: str) -> Column:
     o = F.split(value, r"\.")
     p = permute_pair(o[0].cast("int") * 256 + o[1].cast("int"), o[2].cast("int") * 256 + o[3].cast("int"), (65536, 65536), key, "ip")
-    return _let(p, lambda x: F.concat_ws(".", *(f(x[side]).cast("string") for side in ("l", "r") for f in (lambda y: F.floor(y / 256), lambda y: y % 256))))
+    return let(p, lambda x: F.concat_ws(".", *(f(x[side]).cast("string") for side in ("l", "r") for f in (lambda y: F.floor(y / 256), lambda y: y % 256))))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -189,7 +184,7 @@ def _date(value: Column, key: str) -> Column:
         x, y = F.when(month_first, F.month(new)).otherwise(F.day(new)), F.when(month_first, F.day(new)).otherwise(F.month(new))
         return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(two(x, first), mark, two(y, second), mark, F.year(new).cast("string")))
 
-    out = _let(_let(p, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * b + x["r"]).cast("int"))), written)
+    out = let(let(p, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * b + x["r"]).cast("int"))), written)
     return F.when((days >= 0) & (days < a * b), out).otherwise(value)
 
 
