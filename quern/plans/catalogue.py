@@ -263,7 +263,7 @@ def intent_router(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT DISTINCT conv_id, CAST(conv_id % 2 = 0 AS INT) + CAST(conv_id % 3 = 0 AS INT) AS n1, CAST(conv_id % 5 <> 0 AS INT) AS more FROM conversations),
 l AS (SELECT conv_id, CASE WHEN least(1.0, n1 * 0.3) >= 0.85 THEN 1 WHEN least(1.0, (n1 + more) * 0.3) >= 0.85 THEN 2 ELSE 3 END AS loops, n1, more FROM c)
-SELECT 'question ' || conv_id AS user_query, CAST(loops AS INTEGER) AS loops, CAST(n1 + (loops - 1) * more AS BIGINT) AS n_docs, round(least(1.0, (n1 + (loops - 1) * more) * 0.3), 6) AS sufficiency FROM l"""
+SELECT 'question ' || conv_id AS user_query, CAST(loops AS INTEGER) AS loops, CAST(n1 + (loops - 1) * more AS BIGINT) AS n_docs, CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE) AS sufficiency FROM l"""
 )
 def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
     """Which sub-queries find a document follows from the conversation's number."""
