@@ -23,12 +23,13 @@ columns beyond ``doc_id`` and ``text`` are not read; an empty table gives no row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, only
+from quern.llm.shared import documents, only, stage
 
 
 @dataclass(frozen=True)
@@ -105,31 +106,35 @@ def _place(p: FingerprintParams) -> list[Column]:
     return [F.when(null, 0).otherwise(1).alias("g"), block.alias("block"), tie.alias("tie")]
 
 
-def with_next(df: DataFrame, columns: list[str], p: FingerprintParams) -> DataFrame:
-    """``df`` (doc_id, text and ``columns``) with ``next``: struct of ``columns`` of the document after it.
+def with_next(df: DataFrame, p: FingerprintParams, prepare: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """doc_id, ``columns`` and ``next``: struct of ``columns`` of the document after it; ``df`` has doc_id and text.
 
     Documents are dealt into blocks of neighbouring ids. The first document of a
     block is copied behind the last of the block before it, so every successor
-    lies within a block, and no window spans the table.
+    lies within a block, and no window spans the table. Only texts are dealt;
+    ``prepare`` adds what else the ``columns`` name where the rows have arrived.
     """
-    placed = df.select(*_place(p), "doc_id", *columns)
     heads = df.select(*_place(p), "doc_id").groupBy("g", "block").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
     # The block before, in two levels: within a run of blocks, else the last block of the run before; the first takes the very last.
-    heads = heads.withColumn("run", F.floor(F.col("block") / p.blocks))
+    heads = stage(df.sparkSession, heads.withColumn("run", F.floor(F.col("block") / p.blocks)), "fingerprints-heads")
     inner = Window.partitionBy("g", "run").orderBy("block")
     runs = heads.groupBy("g", "run").agg(F.max("block").alias("block"))
     order = Window.orderBy("g", "run")
     around = runs.withColumn("before", F.lag(F.struct("g", "block")).over(order)).withColumn("end", F.last(F.struct("g", "block")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    around = around.select("g", "run", F.coalesce("before", "end").alias("outer"), F.col("before").isNull().alias("wraps"))
+    around = around.select("g", "run", F.coalesce("before", "end").alias("outer"))
     linked = heads.withColumn("own", F.lag(F.struct("g", "block")).over(inner)).join(around, ["g", "run"])
     linked = linked.select(F.col("head.doc_id").alias("__id"), F.col("head.tie").alias("__tie"), F.coalesce("own", "outer").alias("__to"))
+    # Written first, so the plan knows its size, and the texts are dealt once where it is small.
+    linked = stage(df.sparkSession, linked, "fingerprints-links")
+    placed = df.select(*_place(p), "doc_id", "text")
     joined = placed.join(linked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")), "left")
     # Rows equal in id and text are heads together; the copy behind the block before serves for all of them.
     copies = F.array(F.struct("g", "block", F.lit(False).alias("copy")), F.struct(F.col("__to.g").alias("g"), F.col("__to.block").alias("block"), F.lit(True).alias("copy")))
     spread = joined.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
-    window = Window.partitionBy("__at.g", "__at.block").orderBy("__at.copy", "doc_id", "tie")
-    following = spread.withColumn("next", F.lead(F.struct(*columns)).over(window))
-    return following.filter(~F.col("__at.copy")).select("doc_id", *columns, "next")
+    dealt = spread.select(F.col("__at.g").alias("g"), F.col("__at.block").alias("block"), F.col("__at.copy").alias("copy"), "doc_id", "tie", "text").repartition("g", "block")
+    window = Window.partitionBy("g", "block").orderBy("copy", "doc_id", "tie")
+    following = prepare(dealt).withColumn("next", F.lead(F.struct(*columns)).over(window))
+    return following.filter(~F.col("copy")).select("doc_id", *columns, "next")
 
 
 def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams()) -> DataFrame:
@@ -140,7 +145,8 @@ def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams(
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = FingerprintParams()
-    rows = with_next(fingerprints(documents(spark, sf_dir), p), ["text", "fingerprint"], p)
+    docs = only(documents(spark, sf_dir), doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(docs, p, lambda df: with_fingerprint(df, "text", "fingerprint", p), ["text", "fingerprint"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
