@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quern.session import ship
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], machine, inputs: list[str], static: dict | None = None) -> DataFrame:
     """``df`` with the machine's outputs; ``inputs`` are the columns that ``step`` takes."""
     static = static or {}
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in machine.outputs)).fields])
     arrow = to_arrow_schema(T.StructType(schema.fields[len(df.columns) :]))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalized, of_dimension
 from quern.operators.search import upsert_latest
+from quern.session import ship
 
 
 class VectorStore:
@@ -78,6 +79,7 @@ def with_provider(tasks: DataFrame, embed, dimension: int) -> DataFrame:
     A provider that gives fewer vectors than texts is an error, and an error of a
     batch marks the batch's rows instead of ending the query.
     """
+    ship(tasks.sparkSession)
     schema = tasks.selectExpr("*", "cast(null as array<double>) as embedding", "true as ok", "cast(null as string) as error").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

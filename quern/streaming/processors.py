@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quern.session import ship
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,6 +50,7 @@ class MachineProcessor(StatefulProcessor):
 def stream_fold(stream: DataFrame, keys: list[str], order: list[str], machine, inputs: list[str], ttl_ms: int | None = None) -> DataFrame:
     """``stream`` with the machine's outputs, emitted per row as it arrives (append)."""
     spark = stream.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = T.StructType([*stream.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in machine.outputs)).fields])
     processor = MachineProcessor(machine, keys, order, inputs, stream.columns, ttl_ms)
