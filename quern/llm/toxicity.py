@@ -40,6 +40,10 @@ class ToxicityParams:
     train_rows: int = 8000
     terms: int = 400
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
+    #: Least log odds, and least log-likelihood ratios, of a term.
+    least_odds: float = 1.5
+    least_ratio: float = 20.0
+    least_pair_ratio: float = 15.0
     window: int = 16
     edit_discount: float = 0.6
     quote_discount: float = 0.25
@@ -59,12 +63,14 @@ _WORD = re.compile(r"\w+")
 
 
 def counted(texts: list[str], lengths: tuple[int, ...]) -> Counter:
-    """Documents per word and, with a leading '^', per proper prefix of a word."""
+    """Documents per word, per proper prefix of a word ('^'), and per prefix of at least two different words ('^^')."""
     out: Counter = Counter()
     for text in texts:
         words = {w for w in _WORD.findall(text.lower()) if 2 < len(w) < 40}
+        stems = Counter(w[:n] for w in words for n in lengths if len(w) > n)
         out.update(words)
-        out.update({"^" + w[:n] for w in words for n in lengths if len(w) > n})
+        out.update("^" + s for s in stems)
+        out.update("^^" + s for s, n in stems.items() if n > 1)
     return out
 
 
@@ -133,22 +139,27 @@ def inputs(evidence: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(evidence)), np.log1p(evidence[:, 0]), np.log1p(evidence[:, 1]), np.log1p(200 * evidence[:, 2])])
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int) -> ToxicityModel:
-    """Terms by falling log-likelihood ratio; a term related to a kept one by prefix is left out."""
+def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, p: ToxicityParams) -> ToxicityModel:
+    """Terms by falling log-likelihood ratio; a term related to a kept one by prefix is left out.
+
+    A stem may stand out by the documents that hold it, or by those that hold
+    two of its words; its weight is the log odds of one word.
+    """
+    odds = {text: math.log((t + 0.25) / (toxic + 0.5)) - math.log((c + 0.25) / (clean + 0.5)) for text, t, c in counts}
     rated = []
     for text, t, c in counts:
-        odds = math.log((t + 0.25) / (toxic + 0.5)) - math.log((c + 0.25) / (clean + 0.5))
-        share, rest = (t + c) / (toxic + clean), [(t, toxic), (c, clean)]
-        ratio = 2 * sum(k * math.log(k / (n * share)) + (n - k) * math.log(max((n - k) / (n * (1 - share)), 1e-300)) for k, n in rest if 0 < k < n or k)
-        if odds > 1.5 and ratio > 20:
-            rated.append((-round(ratio / 4), text.startswith("^"), -len(text), text, odds))
+        share = (t + c) / (toxic + clean)
+        terms = [(k, n) for k, n in ((t, toxic), (c, clean)) if n]
+        ratio = 2 * sum((k * math.log(k / (n * share)) if k else 0) + ((n - k) * math.log((n - k) / (n * (1 - share))) if k < n and share < 1 else 0) for k, n in terms)
+        if odds[text] > p.least_odds and ratio > (p.least_pair_ratio if text.startswith("^^") else p.least_ratio):
+            rated.append((-round(ratio / 4), text.startswith("^"), -len(text.lstrip("^")), text))
     model, kept = ToxicityModel(), []
-    for _, stem, _, text, odds in sorted(rated):
+    for _, stem, _, text in sorted(rated):
         bare = text.lstrip("^")
-        if not any(bare.startswith(k) or k.startswith(bare) for k in kept) and len(kept) < most:
+        if not any(bare.startswith(k) or k.startswith(bare) for k in kept) and len(kept) < p.terms:
             kept.append(bare)
             model.terms.append((bare, stem))
-            model.weights.append(odds)
+            model.weights.append(odds.get("^" + bare, odds[text] / 2) if stem else odds[text])
     return model
 
 
@@ -188,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     rows = likely.orderBy((F.col("term") != "").cast("int"), (F.col("t") - 0.25 * F.col("c")).desc(), "term").limit(1 + 20 * p.terms).collect()
     if not rows or rows[0]["term"] != "" or not rows[0]["t"] or not rows[0]["c"]:
         return ToxicityModel()
-    model = lexicon([(r["term"], r["t"], r["c"]) for r in rows[1:]], rows[0]["t"], rows[0]["c"], p.terms)
+    model = lexicon([(r["term"], r["t"], r["c"]) for r in rows[1:]], rows[0]["t"], rows[0]["c"], p)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model, p)
