@@ -212,7 +212,7 @@ def chunk_links(rows: list[dict], hub: int, a_chunk: int, b_chunk: int, p: Jacca
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """doc_id, th (hash of the text), class_id (smallest doc_id of its component), n_copies (other rows with an equal set), n_links (other sets at or above the threshold)."""
+    """doc_id, th (hash of the text), class_key (null without words), class_id (smallest doc_id of the class), n_copies (other rows with an equal set), n_links (other sets at or above the threshold)."""
     spark, p = docs.sparkSession, params
     small_batches(spark)
     rows = only(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("th"))
@@ -228,30 +228,31 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(edges), pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary())], ["doc_id", "th", "k1", "k2", "n", "sig"])
 
     signed = stage(spark, known.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, sig binary"), "jaccard-signed")
-    reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     reps = stage(spark, reps, "jaccard-reps")
 
-    # A doc_id repeated with several texts may represent several sets; its sets are told apart by key later.
+    # A set goes by its key from here on: one doc_id may stand before several texts.
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * p.rows) + 1, F.lit(4 * p.rows))))
-    postings = reps.select("rep", "n", F.explode(bands).alias("band"))
+    postings = reps.select(F.col("k1").alias("rep"), "doc", "n", F.explode(bands).alias("band"))
     shared = postings.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("band", "hub")
     shared = stage(spark, shared, "jaccard-buckets")
-    members = stage(spark, postings.join(shared, "band").groupBy("hub", "rep").agg(F.max("n").alias("n")), "jaccard-members")
+    members = stage(spark, postings.join(shared, "band").groupBy("hub", "rep").agg(F.max("n").alias("n"), F.min("doc").alias("doc")), "jaccard-members")
     sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     sizes = stage(spark, sizes.select("hub", F.greatest(F.ceil(F.col("m") / p.chunk), F.ceil(F.col("s") / p.chunk_shingles)).cast("int").alias("parts")), "jaccard-sizes")
-    gathered = members.join(sizes, "hub").groupBy("rep").agg(F.collect_list(F.struct("hub", "parts")).alias("hubs"))  # at most one per band
+    gathered = members.join(sizes, "hub").groupBy("rep").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("hub", "parts")).alias("hubs"))  # at most one per band
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b)
             for i, j in slices(texts):
                 hashes, edges = shingle_sets(texts[i:j], p.words)
-                k1, k2 = set_keys(hashes, edges)
                 sig = signatures(hashes, edges, p.size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary()), pa.array([hashes[edges[k] : edges[k + 1]].astype("<u8").tobytes() for k in range(j - i)], pa.binary())], ["rep", "hubs", "k1", "k2", "sig", "shingles"])
+                out = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary()), pa.array([hashes[edges[k] : edges[k + 1]].astype("<u8").tobytes() for k in range(j - i)], pa.binary())], ["rep", "hubs", "sig", "shingles"])
+                # Other texts under the same doc_id are not meant.
+                yield out.filter(pa.array(set_keys(hashes, edges)[0].view(np.int64) == out.column(0).to_numpy()))
 
-    texts = known.withColumnRenamed("doc_id", "rep").join(gathered, "rep").select("rep", "text", "hubs")
-    sets = texts.mapInArrow(expand, "rep long, hubs array<struct<hub:long,parts:int>>, k1 long, k2 long, sig binary, shingles binary")
+    texts = known.withColumnRenamed("doc_id", "doc").join(gathered, "doc").select("rep", "text", "hubs")
+    sets = texts.mapInArrow(expand, "rep long, hubs array<struct<hub:long,parts:int>>, sig binary, shingles binary")
     part = F.pmod(F.xxhash64("rep"), F.col("h.parts")).cast("int")
     dealt = sets.withColumn("h", F.explode("hubs")).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h.parts") - 1)))
     dealt = dealt.select(F.col("h.hub").alias("hub"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", F.col("hubs.hub").alias("hubs"), "sig", "shingles")
@@ -277,12 +278,15 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     linked = stage(spark, cells.mapInArrow(link, "rep long, links long, root long"), "jaccard-links")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("n_links"))
     labels = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    found = counts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = reps.select("k1", "k2", "rep", "rows").join(found, "rep", "left").filter("rows > 1 or n_links is not null")
-    classes = stage(spark, classes.select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), (F.col("rows") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-classes")
-    result = signed.select("doc_id", "th", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    result = result.select("doc_id", "th", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = rows.filter("doc_id is null").select("doc_id", "th", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    sets = reps.select("k1", "k2", "doc", "rows")
+    found = sets.join(counts.withColumnRenamed("rep", "k1"), "k1").join(labels.withColumnRenamed("node", "k1"), "k1", "left").withColumn("key", F.coalesce("label", "k1"))
+    first = found.groupBy("key").agg(F.min("doc").alias("class_id"))
+    linked_sets = found.join(first, "key").select("k1", "k2", "key", "class_id", "rows", "n_links")
+    copied = sets.filter("rows > 1").join(counts.withColumnRenamed("rep", "k1"), "k1", "left_anti").select("k1", "k2", F.col("k1").alias("key"), F.col("doc").alias("class_id"), "rows", F.lit(0).cast("long").alias("n_links"))
+    classes = stage(spark, linked_sets.union(copied), "jaccard-classes")
+    result = signed.select("doc_id", "th", "k1", "k2", "n").join(classes, ["k1", "k2"], "left")
+    result = result.select("doc_id", "th", F.when(F.col("n") > 0, F.coalesce("key", "k1")).alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("rows", F.lit(1)) - 1).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = rows.filter("doc_id is null").select("doc_id", "th", F.lit(None).cast("long").alias("class_key"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return result.unionByName(alone)
 
 
@@ -290,13 +294,13 @@ def one_of_each(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     """The row with the smallest ``doc_id`` of every class (of several texts under it, one), with all its columns; rows without ``doc_id`` stay."""
     spark = docs.sparkSession
     found = near_duplicates(docs, params).filter("doc_id is not null")
-    # Texts without words are classes of their own even where they share an id.
-    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.*")
-    first = stage(spark, first.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "jaccard-first")
+    first = found.filter("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.*")
+    wordless = found.filter("class_key is null").select("doc_id", "th").distinct()
+    first = stage(spark, first.union(wordless).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "jaccard-first")
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
     kept = hashed.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__th"))).dropDuplicates(["__id", "__th"])
     return kept.drop("__id", "__th", "__hash").unionByName(docs.filter("doc_id is null"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("th")
+    return near_duplicates(documents(spark, sf_dir)).drop("th", "class_key")

@@ -19,7 +19,7 @@ format's spellings) stay linked across documents. What is not valid stays.
 Nulls and limits: a null text stays null; an empty text stays empty; any number
 of findings in a text of any length is replaced; repeated rows get equal
 results; a null ``doc_id`` is kept; all other columns pass through unread,
-whatever their names; an empty table gives no rows.
+whatever their names (``into`` names the new one); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -226,8 +226,8 @@ def kind_of(value: Column) -> Column:
     return out.otherwise(F.lit("secret"))
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` rewritten, plus ``pii``: array of (kind, value, pseudonym) of what was replaced, in order."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pii") -> DataFrame:
+    """``docs`` with ``text`` rewritten, plus ``into``: array of (kind, value, pseudonym) of what was replaced, in order."""
     t = F.col(f"`{text}`")
     found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform("__found", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
@@ -235,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     between = F.split(t, ANY, -1)
     joined = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get("__named.pseudonym", i), F.lit(""))))), "")
     staged = docs.withColumn("__found", found).withColumn("__kinds", kinds).withColumn("__named", named)
-    out = staged.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(t)).withColumn("pii", F.filter("__named", lambda s: s["value"] != s["pseudonym"]))
+    out = staged.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(t)).withColumn(into, F.filter("__named", lambda s: s["value"] != s["pseudonym"]))
     return out.drop("__found", "__kinds", "__named")
 
 

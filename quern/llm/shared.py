@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 #: Rows of one Arrow batch; texts can be long, so batches are kept small.
 BATCH_ROWS = 256
 
@@ -47,7 +49,8 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, and with it the memory of a Python worker."""
+    """Ready the session for Python workers: the package goes with the tasks, and Arrow batches are bounded."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

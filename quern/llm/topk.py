@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import only
+from quern.session import ship
 
 
 @dataclass(frozen=True)
@@ -120,6 +121,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def top_k(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the best k inner products of each query against all other candidates."""
     p = params
+    ship(candidates.sparkSession)
 
     def numbers(df: DataFrame) -> DataFrame:
         bound = float(1 << 40)
