@@ -439,6 +439,24 @@ def load_shedding(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "event_type", "depth", "dropped")
 
 
+@query(
+    _BUCKET.format(e=_E.format(k="user_id"), cap="CAST(3 AS DOUBLE)", rate=_RATE).replace("SELECT event_id, user_id, round(tok, 6) AS tokens, allowed FROM r", "")
+    + """, g AS (SELECT e.event_id, e.event_type, e.us, row_number() OVER (PARTITION BY e.event_type ORDER BY e.ts, e.event_id) AS rn FROM r JOIN e USING (event_id) WHERE r.allowed),
+b AS (SELECT event_id, event_type, rn, us AS first, CAST(0 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS position FROM g WHERE rn = 1
+UNION ALL SELECT g.event_id, g.event_type, g.rn,
+  CASE WHEN b.position + 1 >= 4 OR g.us >= b.first + 40000000000 THEN g.us ELSE b.first END,
+  CASE WHEN b.position + 1 >= 4 OR g.us >= b.first + 40000000000 THEN b.batch_no + 1 ELSE b.batch_no END,
+  CASE WHEN b.position + 1 >= 4 OR g.us >= b.first + 40000000000 THEN 0 ELSE b.position + 1 END
+FROM b JOIN g ON g.event_type = b.event_type AND g.rn = b.rn + 1)
+SELECT event_id, event_type AS adapter, batch_no, position FROM b"""
+)
+def adapter_gateway(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that their client's bucket admits, in micro-batches per adapter."""
+    admitted = resilience.token_bucket(events(spark, d), "user_id", ["ts", "event_id"], "us", TokenBucket(3.0, 1 / 36000)).filter("allowed")
+    rows = resilience.micro_batches(admitted, ["event_type"], ["ts", "event_id"], "us", MicroBatcher(4, 40_000_000_000))
+    return rows.select("event_id", F.col("event_type").alias("adapter"), "batch_no", "position")
+
+
 # Retry and routing ---------------------------------------------------------------------------------------------
 
 
