@@ -12,9 +12,8 @@ block's distinct n-grams with their counts go, sorted, to the partition that
 their hash names; a partition adds the counts of all blocks and answers every
 block with its n-grams' totals; a block then looks its exploded n-grams up and
 sums the logarithms per document. Pre-aggregation by block keeps the most
-frequent n-gram at one entry per block, and n-grams of n words are only asked
-for where both their parts of n - 1 words are in the table, since no others can
-be. Blocks and partitions are bounded; their number grows with the corpus.
+frequent n-gram at one entry per block, and n-grams of three words and more are only
+asked for where both their parts are in the table, since no others can be. Blocks and partitions are bounded; their number grows with the corpus.
 
 Nulls and limits: a null text is the empty text; a text without words scores 0
 with a null mean; rows with a null ``doc_id`` count and are scored; repeated
@@ -48,6 +47,8 @@ class ScoringParams:
 
 
 _CODEC = "zstd"
+#: Orders that are asked for together, before any answer is known.
+AT_ONCE = 2
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -88,14 +89,16 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """Words of some documents, and what is known of their n-grams so far: per position the counts by order."""
 
-    def __init__(self, row: dict, parts: int, answers: dict[int, dict[int, np.ndarray]], p: ScoringParams):
+    def __init__(self, row: dict, parts: int, answers: dict[int, dict[int, np.ndarray]], known: int, p: ScoringParams):
+        """``known``: the orders whose answers are in; a block may have asked nothing of one."""
         self.p, self.parts = p, parts
         self.ids, self.first = row["ids"], np.concatenate([[0], np.cumsum(unpack(row["sizes"], "<i8"))])
         self.words = _restored(row["dictionary"])[unpack(row["words"], "<u4")]
         self.counts: list[np.ndarray] = []
-        for n in range(1, max(answers, default=0) + 1):
-            asked, where = self.asked(n)
-            got = np.concatenate([answers[n].get(k, np.zeros(0, np.int64)) for k in range(parts)]) if len(asked) else np.zeros(0, np.int64)
+        for n in range(1, known + 1):
+            where = self.asked(n)[1]
+            own = answers.get(n, {})
+            got = np.concatenate([np.zeros(0, np.int64), *(own[k] for k in sorted(own))])
             total = np.zeros(len(self.words), np.int64)
             total[where >= 0] = got[where[where >= 0]]
             self.counts.append(total)
@@ -104,7 +107,7 @@ class Block:
         """Distinct n-grams to ask for, ascending, and each position's place among them (or -1)."""
         grams = ngrams(self.words, self.first, n)
         wanted = grams > 0
-        if n > 1:  # both parts of n - 1 words must be frequent
+        if n > AT_ONCE:  # both parts of n - 1 words must be frequent
             frequent = self.counts[n - 2] >= self.p.least
             wanted &= frequent & np.append(False, frequent[:-1])
         distinct, inverse = np.unique(grams[wanted], return_inverse=True)
@@ -176,16 +179,14 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
     total = blocks.agg(F.sum("n")).head()[0] or 0
     parts = max(16, math.ceil(total / p.part_words))
 
-    def opened(left: pa.Table, right: pa.Table) -> tuple[int, Block] | None:
+    def opened(left: pa.Table, right: pa.Table, known: int) -> tuple[int, Block] | None:
         rows = left.to_pylist()
         if not rows:
             return None
         answers: dict[int, dict[int, np.ndarray]] = {}
         for n, part, counts in zip(*(right.column(c).to_pylist() for c in ("n", "part", "counts")), strict=True):
             answers.setdefault(n, {})[part] = unpack(counts, "<i8")
-        for n in range(1, max(answers, default=0)):
-            answers.setdefault(n, {})
-        return rows[0]["block"], Block(rows[0], parts, answers, p)
+        return rows[0]["block"], Block(rows[0], parts, answers, known, p)
 
     asking = "n int, part int, block long, hashes binary, own binary"
     columns = ["n", "part", "block", "hashes", "own"]
@@ -193,7 +194,7 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
 
     def ask(n: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            got = opened(left, right)
+            got = opened(left, right, n - 1)
             rows = [r | {"n": n} for r in got[1].requests(got[0], n)] if got else []
             return pa.Table.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
 
@@ -209,18 +210,29 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
         counts = [pack(totals[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table({"n": t.column("n"), "part": t.column("part"), "block": t.column("block"), "counts": pa.array(counts, pa.binary())})
 
-    answers = spark.createDataFrame([], "n int, part int, block long, counts binary")
-    for n in range(1, p.order + 1):
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                opened_ = Block(row, parts, {}, 0, p)
+                for n in range(1, min(AT_ONCE, p.order) + 1):
+                    rows = [r | {"n": n} for r in opened_.requests(row["block"], n)]
+                    yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
+
+    def counted(requests: DataFrame, name: str) -> DataFrame:
+        return stage(spark, requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary"), f"scoring-answers-{name}")
+
+    small_batches(spark, 1)  # a row is a block
+    answers = counted(blocks.mapInArrow(begin, asking), "first")
+    small_batches(spark)
+    for n in range(AT_ONCE + 1, p.order + 1):
         requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), asking)
-        found = requests.groupBy("part").applyInArrow(count, "n int, part int, block long, counts binary")
-        answers = answers.unionByName(stage(spark, found, f"scoring-answers-{n}"))
+        answers = answers.unionByName(counted(requests, str(n)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = opened(left, right)
+        got = opened(left, right, p.order)
         sizes, sums = got[1].scores(total) if got else (np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"doc_id": pa.array(got[1].ids if got else [], pa.int64()), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
-    # A block whose answers of an order are all empty still has that order in other blocks; opened() fills the gap.
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
 
 
