@@ -194,6 +194,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH {_BM25}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 3)
+SELECT 'the que der' AS query, count(*) AS n, md5(string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5 FROM k JOIN documents d USING (doc_id)"""
+)
+def context_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the best documents as one context, best first."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    best = text.bm25(docs, "the que der").orderBy(F.desc(F.round("score", 9)), "id").limit(3)
+    hits = best.join(docs, "id").withColumn("query", F.lit("the que der"))
+    return agents.context(hits.withColumn("order", F.struct(-F.round("score", 9), "id")), "query", "order", "text").select("query", "n", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @query(
     f"""WITH {_V}, {_BM25}, u AS (SELECT vec_id AS id, 0.7 * score AS p FROM s UNION ALL SELECT doc_id, 0.3 * score FROM b)
 SELECT id, round(sum(p), 6) AS score FROM u GROUP BY id"""
@@ -263,7 +275,8 @@ def intent_router(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT DISTINCT conv_id, CAST(conv_id % 2 = 0 AS INT) + CAST(conv_id % 3 = 0 AS INT) AS n1, CAST(conv_id % 5 <> 0 AS INT) AS more FROM conversations),
 l AS (SELECT conv_id, CASE WHEN least(1.0, n1 * 0.3) >= 0.85 THEN 1 WHEN least(1.0, (n1 + more) * 0.3) >= 0.85 THEN 2 ELSE 3 END AS loops, n1, more FROM c)
-SELECT 'question ' || conv_id AS user_query, CAST(loops AS INTEGER) AS loops, CAST(n1 + (loops - 1) * more AS BIGINT) AS n_docs, CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE) AS sufficiency FROM l"""
+SELECT 'question ' || conv_id AS user_query, CAST(loops AS INTEGER) AS loops, CAST(n1 + (loops - 1) * more AS BIGINT) AS n_docs, CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE) AS sufficiency,
+ 'Synthesized ' || (n1 + (loops - 1) * more) || ' documents at ' || printf('%.2f', CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE)) AS synthesis FROM l"""
 )
 def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
     """Which sub-queries find a document follows from the conversation's number."""
@@ -274,7 +287,7 @@ def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
         first, second = F.col("sub_query").endswith("overview") & (number % 2 == 0), F.col("sub_query").endswith("details") & (number % 3 == 0)
         return rows.filter(first | second | (F.col("sub_query").contains("refinement") & (number % 5 != 0)))
 
-    return agents.bounded_search(asked, fetch).select("user_query", "loops", "n_docs", F.round("sufficiency", 6).alias("sufficiency"))
+    return agents.bounded_search(asked, fetch).select("user_query", "loops", "n_docs", F.round("sufficiency", 6).alias("sufficiency"), "synthesis")
 
 
 _EDGES = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
@@ -538,11 +551,11 @@ def gae(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_S}, g AS (SELECT a.event_id, a.traj, a.logp, a.v, sum(pow(0.9, b.t - a.t) * b.reward) AS g FROM s a JOIN s b ON a.traj = b.traj AND b.t >= a.t GROUP BY ALL)
-SELECT traj, round(sum(logp), 6) AS log_prob, round(avg(logp * g), 6) AS reinforce, round(avg(logp * (g - v)), 6) AS with_baseline FROM g GROUP BY traj"""
+SELECT traj, round(sum(logp), 6) AS log_prob, round(exp(sum(logp)), 9) AS prob, round(avg(logp * g), 6) AS reinforce, round(avg(logp * (g - v)), 6) AS with_baseline FROM g GROUP BY traj"""
 )
 def reinforce_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = learning.discounted_return(steps(spark, d), gamma=0.9)
-    return rows.groupBy("traj").agg(F.round(F.sum("logp"), 6).alias("log_prob"), F.round(F.avg(F.col("logp") * F.col("g")), 6).alias("reinforce"), F.round(F.avg(F.col("logp") * (F.col("g") - F.col("v"))), 6).alias("with_baseline"))
+    return rows.groupBy("traj").agg(F.round(F.sum("logp"), 6).alias("log_prob"), F.round(F.exp(F.sum("logp")), 9).alias("prob"), F.round(F.avg(F.col("logp") * F.col("g")), 6).alias("reinforce"), F.round(F.avg(F.col("logp") * (F.col("g") - F.col("v"))), 6).alias("with_baseline"))
 
 
 @query(
