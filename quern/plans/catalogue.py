@@ -144,13 +144,13 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT conv_id AS list_ord, turn AS pos, role AS id, text FROM conversations WHERE conv_id < 20),
+    """WITH l AS (SELECT conv_id AS list_ord, turn AS pos, role AS id, text FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY list_ord ORDER BY pos) AS rank FROM l)
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, arg_max(text, list_ord * 100000 + rank) AS text FROM r GROUP BY id"""
 )
 def rrf_lists_lastwins(spark: SparkSession, d: str) -> DataFrame:
     """Lists of conversation turns: the item is the role, its text the attribute of which the last wins."""
-    turns = table(spark, d, "conversations").filter("conv_id < 20")
+    turns = table(spark, d, "conversations")
     lists = turns.groupBy(F.col("conv_id").alias("list_ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("id"), x["text"].alias("text"))).alias("items"))
     return fusion.rrf_lists(lists, top=None).select("id", F.round("rrf_score", 9).alias("rrf_score"), F.col("item.text").alias("text"))
 
