@@ -24,13 +24,13 @@ BATCH_ROWS = 256
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only in local mode, where none need be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_quern_shared_dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext._quern_shared_dir = base
     return base.rstrip("/")
 
 
