@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, MicroBatcher, TokenBucket, WaitingBucket
 from quern.functions.vectors import cosine, literal
-from quern.operators import agents, fusion, learning, resilience, search, telemetry, text
+from quern.operators import agents, fusion, index, learning, resilience, search, telemetry, text
 from quern.sources.stores import mock_embeddings, streams_of
 from quern.streaming.processors import windowed_counts
 
@@ -114,6 +114,16 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "hit")
 
 
+@query()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours through the inverted-file index; a test measures recall against the exact search."""
+    all_ = vectors(spark, d).select("id", "vector")
+    centers = index.fit_centroids(all_, 16)
+    asked = all_.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = index.probe(asked, index.build(all_, centers), centers, 5, 12)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 # Fusion --------------------------------------------------------------------------------------------------------
 
 
