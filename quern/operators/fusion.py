@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked_streams(candidates: DataFrame, tenant: str | None = None) -> DataFrame:
-    """``rank`` by falling score within each stream, ties by position, after the tenant filter (null-safe)."""
+def ranked_streams(candidates: DataFrame, tenant: str | None = None, depth: int | None = None) -> DataFrame:
+    """``rank`` by falling score within each stream, ties by position, after the tenant filter (null-safe).
+
+    With a ``depth``, ranks beyond it go, and every task drops them before a
+    stream's rows meet, so a long stream costs its depth.
+    """
     rows = candidates.filter(F.col("tenant_id").eqNullSafe(F.lit(tenant))) if "tenant_id" in candidates.columns else candidates
     order = Window.partitionBy("stream").orderBy(F.desc("score"), "pos")
-    return rows.withColumn("rank", F.row_number().over(order))
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= depth) if depth is not None else ranked
 
 
 def rrf(ranked: DataFrame, k: float = 60.0, top: int | None = 10) -> DataFrame:

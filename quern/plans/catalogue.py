@@ -148,7 +148,7 @@ f AS (SELECT vec_id, any_value(label) AS label, sum(1.0 / (60 + rank)) AS rrf, m
 
 @query(f"WITH {_STREAMS} SELECT vec_id, round(rrf, 9) AS rrf_score, rank_a, rank_b, meta FROM f ORDER BY rrf DESC, seen LIMIT 10")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d)), 60.0, 10)
+    fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d), depth=50), 60.0, 10)
     rank = lambda s: F.try_element_at("lineage", F.lit(s)).cast("long")
     return fused.select(F.col("id").alias("vec_id"), F.round("rrf_score", 9).alias("rrf_score"), rank("a").alias("rank_a"), rank("b").alias("rank_b"), F.try_element_at("metadata", F.lit("stream")).alias("meta"))
 
@@ -172,14 +172,14 @@ SELECT vec_id, round(0.5 * (rrf - r0) / (r1 - r0) + 0.5 * (ce - c0) / (c1 - c0),
 )
 def blend_ce(spark: SparkSession, d: str) -> DataFrame:
     streams = two_streams(spark, d)
-    fused = fusion.rrf(fusion.ranked_streams(streams.drop("metadata")), 60.0, None)
+    fused = fusion.rrf(fusion.ranked_streams(streams.drop("metadata"), depth=50), 60.0, None)
     cross = streams.filter("id % 2 = 0").select("id", (F.col("label") / 10).alias("score")).distinct()
     return fusion.blend(fused, cross, 0.5, 10).select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_STREAMS} SELECT vec_id, round(rrf, 9) AS score FROM f ORDER BY rrf DESC, vec_id LIMIT 10")
 def blend_raw(spark: SparkSession, d: str) -> DataFrame:
-    fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d).drop("metadata")), 60.0, None)
+    fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d).drop("metadata"), depth=50), 60.0, None)
     return fusion.blend(fused, None).select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score"))
 
 
