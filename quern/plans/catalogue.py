@@ -146,10 +146,10 @@ f AS (SELECT vec_id, any_value(label) AS label, sum(1.0 / (60 + rank)) AS rrf, m
              min(stream * 1000 + rank) AS seen, CASE WHEN vec_id % 3 = 0 THEN CASE WHEN min(stream) = 0 THEN 'a' ELSE 'b' END END AS meta FROM r GROUP BY vec_id)"""
 
 
-@query(f"WITH {_STREAMS} SELECT vec_id, round(rrf, 9) AS rrf_score, rank_a, rank_b, meta FROM f ORDER BY rrf DESC, seen LIMIT 10")
+@query(f"WITH {_STREAMS} SELECT vec_id, round(rrf, 9) AS rrf_score, coalesce(rank_a, 0) AS rank_a, coalesce(rank_b, 0) AS rank_b, meta FROM f ORDER BY rrf DESC, seen LIMIT 10")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d), depth=50), 60.0, 10)
-    rank = lambda s: F.try_element_at("lineage", F.lit(s)).cast("long")
+    rank = lambda s: F.coalesce(F.try_element_at("lineage", F.lit(s)), F.lit(0)).cast("long")
     return fused.select(F.col("id").alias("vec_id"), F.round("rrf_score", 9).alias("rrf_score"), rank("a").alias("rank_a"), rank("b").alias("rank_b"), F.try_element_at("metadata", F.lit("stream")).alias("meta"))
 
 
@@ -268,13 +268,13 @@ def hitl_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, arg_max(length(text), turn) FILTER (role = 'user') AS user_chars, arg_max(length(text), turn) FILTER (role = 'assistant') AS assistant_chars, max(turn) AS version
+    """SELECT conv_id, coalesce(arg_max(length(text), turn) FILTER (role = 'user'), -1) AS user_chars, coalesce(arg_max(length(text), turn) FILTER (role = 'assistant'), -1) AS assistant_chars, max(turn) AS version
 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
 )
 def state_deltas(spark: SparkSession, d: str) -> DataFrame:
     said = lambda role: F.when(F.col("role") == role, F.length("text")).cast("long")
     deltas = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", said("user").alias("user_chars"), said("assistant").alias("assistant_chars"))
-    return agents.latest_state(deltas, "conv_id", "turn", ["user_chars", "assistant_chars"])
+    return agents.latest_state(deltas, "conv_id", "turn", ["user_chars", "assistant_chars"]).fillna(-1, ["user_chars", "assistant_chars"])
 
 
 @query("SELECT CASE WHEN regexp_matches(text, '(?i)\\b(related|between|connect\\w*|path)\\b') THEN 'GRAPH' ELSE 'VECTOR' END AS path, count(*) AS n FROM conversations GROUP BY 1")
@@ -515,14 +515,14 @@ def retry_declarative(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT event_id, event_type = 'purchase' AS code, event_id % 5 <> 0 AND event_id % 3 <> 0 AS v, event_id % 4 <> 0 AS p, event_id % 7 <> 0 AS f FROM events)
 SELECT event_id AS request_id, CASE WHEN code AND v THEN 'vllm_local' WHEN p THEN 'saas_primary' WHEN NOT code AND f THEN 'saas_fallback' END AS provider,
- CASE WHEN code AND v THEN FALSE WHEN p THEN code WHEN NOT code AND f THEN TRUE END AS is_fallback, CASE WHEN (code AND v) OR p OR (NOT code AND f) THEN 'OK' ELSE 'EXHAUSTED' END AS status FROM c"""
+ CASE WHEN code AND v THEN FALSE WHEN p THEN code WHEN NOT code AND f THEN TRUE ELSE FALSE END AS is_fallback, CASE WHEN (code AND v) OR p OR (NOT code AND f) THEN 'OK' ELSE 'EXHAUSTED' END AS status FROM c"""
 )
 def route_fallback(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "events").select(F.col("event_id").alias("request_id"), resilience.route(F.when(F.col("event_type") == "purchase", "code_gen").otherwise("chat")).alias("route"))
     n = F.col("request_id")
     row = lambda name, allowed, ok: F.struct(F.lit(name).alias("provider"), allowed.alias("allowed"), ok.alias("ok"))
     outcomes = ids.select("request_id", F.explode(F.array(row("vllm_local", n % 5 != 0, n % 3 != 0), row("saas_primary", F.lit(True), n % 4 != 0), row("saas_fallback", F.lit(True), n % 7 != 0))).alias("o")).select("request_id", "o.*")
-    return resilience.fall_back(ids, outcomes)
+    return resilience.fall_back(ids, outcomes).fillna(False, ["is_fallback"])
 
 
 @query()
