@@ -48,7 +48,7 @@ class JaccardParams:
     rows: int = 4
     step: int = 16
     tolerance: float = 1e-6
-    chunk: int = 1024
+    chunk: int = 256
     chunk_shingles: int = 1 << 20
 
     @property
