@@ -77,10 +77,16 @@ def attempts_made(attempts: Column, most: int = 5) -> Column:
     return F.when(at > 0, at).otherwise(F.size(tried)).cast("long")
 
 
+#: The capability with a chain of its own, its providers, and those of all others, in order.
+CODE = "code_gen"
+CODE_CHAIN = ("vllm_local", "saas_primary")
+OTHER_CHAIN = ("saas_primary", "saas_fallback")
+
+
 def route(capability: Column) -> Column:
     """Providers to try, in order."""
-    chain = lambda *names: F.array(*map(F.lit, names))
-    return F.when(capability == "code_gen", chain("vllm_local", "saas_primary")).otherwise(chain("saas_primary", "saas_fallback"))
+    chain = lambda names: F.array(*map(F.lit, names))
+    return F.when(capability == CODE, chain(CODE_CHAIN)).otherwise(chain(OTHER_CHAIN))
 
 
 def fall_back(requests: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -30,7 +30,17 @@ def rolling_percentiles_native(events: DataFrame, keys: list[str], order: list[s
     return events.select("*", F.percentile(value, 0.5).over(w).alias("p50"), F.percentile(value, 0.99).over(w).alias("p99"))
 
 
-def payload(rows: DataFrame) -> DataFrame:
-    """One JSON document per event, with the metrics nested."""
-    metrics = F.struct("prompt_tokens", "completion_tokens", "ttft_ms", "total_latency_ms", F.bround("throughput_tps", 2).alias("throughput_tps"), F.bround("p50", 2).alias("p50_ms"), F.bround("p99", 2).alias("p99_ms"))
-    return rows.select(F.to_json(F.struct("tenant_id", "model_variant", "ts", metrics.alias("metrics"))).alias("payload"))
+#: Fixed value: the type that every exported document names.
+EVENT_TYPE = "llm_generation_metrics"
+
+
+def payload(rows: DataFrame, *keep: str) -> DataFrame:
+    """One JSON document per event, with the metrics nested, beside the columns to ``keep``.
+
+    ``rows`` has tenant_id, model_variant, timestamp (epoch seconds), the token
+    counts and latencies, throughput_tps, and p50 and p99 of the time to first token.
+    """
+    two = lambda c, name: F.bround(c, 2).alias(name)
+    metrics = F.struct("prompt_tokens", "completion_tokens", "ttft_ms", "total_latency_ms", two("throughput_tps", "throughput_tps"), two("p50", "ttft_p50_ms"), two("p99", "ttft_p99_ms"))
+    document = F.struct(F.lit(EVENT_TYPE).alias("event_type"), "timestamp", "tenant_id", "model_variant", metrics.alias("metrics"))
+    return rows.select(*keep, F.to_json(document).alias("payload"))

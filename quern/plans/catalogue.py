@@ -286,7 +286,7 @@ def intent_router(spark: SparkSession, d: str) -> DataFrame:
     """WITH c AS (SELECT DISTINCT conv_id, CAST(conv_id % 2 = 0 AS INT) + CAST(conv_id % 3 = 0 AS INT) AS n1, CAST(conv_id % 5 <> 0 AS INT) AS more FROM conversations),
 l AS (SELECT conv_id, CASE WHEN least(1.0, n1 * 0.3) >= 0.85 THEN 1 WHEN least(1.0, (n1 + more) * 0.3) >= 0.85 THEN 2 ELSE 3 END AS loops, n1, more FROM c)
 SELECT 'question ' || conv_id AS user_query, CAST(loops AS INTEGER) AS loops, CAST(n1 + (loops - 1) * more AS BIGINT) AS n_docs, CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE) AS sufficiency,
- 'Synthesized ' || (n1 + (loops - 1) * more) || ' documents at ' || printf('%.2f', CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE)) AS synthesis FROM l"""
+ printf('Synthesized response for ''question %d'' from %d context sources. Sufficiency reached: %.2f in %d loop(s).', conv_id, n1 + (loops - 1) * more, CAST(least(1.0, (n1 + (loops - 1) * more) * 0.3) AS DOUBLE), loops) AS synthesis FROM l"""
 )
 def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
     """Which sub-queries find a document follows from the conversation's number."""
@@ -294,8 +294,8 @@ def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
 
     def fetch(rows: DataFrame) -> DataFrame:
         number = F.regexp_extract("user_query", r"(\d+)", 1).cast("long")
-        first, second = F.col("sub_query").endswith("overview") & (number % 2 == 0), F.col("sub_query").endswith("details") & (number % 3 == 0)
-        return rows.filter(first | second | (F.col("sub_query").contains("refinement") & (number % 5 != 0)))
+        first, second = F.col("sub_query").endswith(agents.FIRST_QUERIES[0]) & (number % 2 == 0), F.col("sub_query").endswith(agents.FIRST_QUERIES[1]) & (number % 3 == 0)
+        return rows.filter(first | second | (F.col("sub_query").contains(agents.REFINEMENT) & (number % 5 != 0)))
 
     return agents.bounded_search(asked, fetch).select("user_query", "loops", "n_docs", F.round("sufficiency", 6).alias("sufficiency"), "synthesis")
 
@@ -351,20 +351,26 @@ def rolling_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
-@query("SELECT event_id, 'T' || (user_id % 4) AS tenant_id, event_type AS model_variant, CAST(event_id % 50 AS BIGINT) AS prompt_tokens FROM events")
+@query(
+    """SELECT event_id, 'llm_generation_metrics' AS event_type, 'T' || (user_id % 4) AS tenant_id, event_type AS model_variant, CAST(event_id % 50 AS BIGINT) AS prompt_tokens,
+round(quantile_cont(value, 0.5) OVER w, 4) AS ttft_p50_ms FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"""
+)
 def payload_json(spark: SparkSession, d: str) -> DataFrame:
-    """Fields read back from the exported JSON."""
-    rows = events(spark, d).select("event_id", F.concat(F.lit("T"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"), F.col("event_type").alias("model_variant"), "ts", (F.col("event_id") % 50).alias("prompt_tokens"), (F.col("event_id") % 200).alias("completion_tokens"), F.lit(0.0).alias("ttft_ms"), F.col("value").alias("total_latency_ms"), F.lit(0.125).alias("throughput_tps"), F.lit(1.0).alias("p50"), F.lit(2.0).alias("p99"))
-    metrics = F.struct("prompt_tokens", "completion_tokens", "ttft_ms", "total_latency_ms", "throughput_tps", "p50", "p99")
-    coded = rows.select("event_id", F.to_json(F.struct("tenant_id", "model_variant", "ts", metrics.alias("metrics"))).alias("payload"))
+    """Fields read back from the exported JSON; the percentile is compared before its rounding."""
+    n = F.col("event_id")
+    rolled = telemetry.rolling_percentiles(events(spark, d), ["event_type"], ["ts", "event_id"], "value", 100)
+    rows = rolled.select(n, F.concat(F.lit("T"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"), F.col("event_type").alias("model_variant"), (F.col("us") / 1e6).alias("timestamp"), (n % 50).alias("prompt_tokens"), (n % 200).alias("completion_tokens"), F.col("value").alias("ttft_ms"), (F.col("value") * 2).alias("total_latency_ms"), "p50", "p99")
+    rows = rows.withColumn("throughput_tps", telemetry.throughput(F.col("completion_tokens"), F.col("ttft_ms"), F.col("total_latency_ms")))
     get = lambda path: F.get_json_object("payload", path)
-    return coded.select("event_id", get("$.tenant_id").alias("tenant_id"), get("$.model_variant").alias("model_variant"), get("$.metrics.prompt_tokens").cast("long").alias("prompt_tokens"))
+    coded = telemetry.payload(rows, "event_id", "p50")
+    same = F.abs(get("$.metrics.ttft_p50_ms").cast("double") - F.col("p50")) <= 0.005000001
+    return coded.select("event_id", get("$.event_type").alias("event_type"), get("$.tenant_id").alias("tenant_id"), get("$.model_variant").alias("model_variant"), get("$.metrics.prompt_tokens").cast("long").alias("prompt_tokens"), F.when(same, F.round("p50", 4)).alias("ttft_p50_ms"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 9) AS mean_value FROM events GROUP BY 1, 2")
 def windowed_count(spark: SparkSession, d: str) -> DataFrame:
     rows = windowed_counts(table(spark, d, "events"), "ts", "event_type")
-    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 9).alias("mean_value"))
 
 
 # Limits, breakers, batches -------------------------------------------------------------------------------------
