@@ -2,16 +2,20 @@
 
 A text is the multiset of its runs of five words (words lie between ASCII white
 space; a shorter text: its words as one run), a run's count being its weight.
-Every run draws, from its own hash, r and c from Gamma(2, 1) and b uniform; with
-weight w it takes the quantised level t = floor(ln w / r + b) and the value
-a = c / exp(r (t - b) + r). Runs are dealt into ``bins`` by hash, and a bin keeps
-the run and level of its smallest value. Whether two texts agree in a bin has
-the probability of their generalised Jaccard similarity there, so the share of
-agreeing bins, among those that either fills, estimates it.
-
-One draw per run (instead of one per run and bin) keeps the work linear in the
-text. A bin's entry is one integer: bin, value and a part of the run's hash, so
-sorting an array of integers finds all smallest values at once.
+Every run draws, for each of the ``bins`` samples anew, r and c from Gamma(2, 1)
+and b uniform, all from a hash of run and sample; with weight w it takes the
+quantised level t = floor(ln w / r + b) and the value a = c / exp(r (t - b) + r).
+A sample keeps the run and level of its smallest value. Whether two texts agree
+in a sample has the probability of their generalised Jaccard similarity, so the
+share of agreeing samples estimates it.
+
+A sample's entry is one integer: sample, value and a part of the hash of run and
+level, so a sample's smallest value is a plain minimum, and a text's fingerprint
+one grouped aggregate over its runs. A run's value has the bound
+a >= (1 - u3 u4) u1 u2 / w by its uniform draws alone; where that lies above
+``reach`` / W (W being the text's sum of weights), the logarithms are not taken,
+because the smallest value, which is exponential with rate W, is above that once
+in e**reach samples (7e20 at 48).
 
 Nulls and limits: a null text is the empty text, whose fingerprint is empty;
 two empty fingerprints are alike (1.0), an empty and a filled one are not (0.0);
@@ -36,6 +40,8 @@ from quern.llm.shared import documents, only, stage
 class FingerprintParams:
     words: int = 5
     bins: int = 64
+    #: Values above this over a text's sum of weights are not computed: none is the smallest but once in e**reach.
+    reach: float = 48.0
     #: Documents whose ids share a block follow one another in one window partition.
     block: int = 256
     blocks: int = 4096
@@ -49,46 +55,63 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(_UNIT - 1) + 0.5) * (1.0 / _UNIT)
 
 
-def entry(run: Column, weight: Column | None, bins: int) -> Column:
-    """Bin, value and identity of a run's sample as one integer: 6 + 33 + 24 bits."""
-    more, other = F.xxhash64(run), F.xxhash64(run, F.lit(1))
-    r = -F.ln(_uniform(more, 0) * _uniform(more, 24))
-    c = -F.ln(_uniform(other, 0) * _uniform(other, 24))
-    b = (F.shiftrightunsigned(more, 48) + 0.5) / float(1 << 16)
-    if weight is None:  # weight 1: level 0
-        level, a = F.lit(0).cast("long"), c * F.exp(r * (b - 1))
-    else:
-        level = F.floor(F.ln(weight.cast("double")) / r + b)
-        a = c * F.exp(r * (b - level - 1))
+def _draws(runs: DataFrame, key: list[str], p: FingerprintParams) -> DataFrame:
+    """``key``, sample and entry (sample, value and identity: 6 + 33 + 24 bits) of every run's draws but those above its ``reach``."""
+    each = runs.select("*", F.explode(F.array(*map(F.lit, range(p.bins)))).alias("sample"))
+    each = each.withColumn("more", F.xxhash64("run", F.col("sample") * 2)).withColumn("other", F.xxhash64("run", F.col("sample") * 2 + 1))
+    each = each.withColumn("of_r", _uniform(F.col("more"), 0) * _uniform(F.col("more"), 24)).withColumn("of_c", _uniform(F.col("other"), 0) * _uniform(F.col("other"), 24))
+    each = each.filter((1 - F.col("of_c")) * F.col("of_r") <= F.col("reach"))
+    each = each.withColumn("r", -F.ln("of_r")).withColumn("b", (F.shiftrightunsigned("more", 48) + 0.5) * (1.0 / (1 << 16)))
+    each = each.withColumn("level", F.floor(F.col("log_weight") / F.col("r") + F.col("b")))
+    a = -F.ln("of_c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
     value = F.floor((1 - 1 / (a + 1)) * float(1 << 33))
-    bin_ = F.pmod(F.shiftrightunsigned(other, 48), F.lit(bins))
-    who = F.xxhash64(run, level).bitwiseAND(_UNIT - 1)
-    return F.shiftleft(bin_, 57) + F.shiftleft(value, 24) + who
+    who = F.xxhash64("run", "level").bitwiseAND(_UNIT - 1)
+    packed = F.shiftleft(F.col("sample").cast("long"), 57) + F.shiftleft(value, 24) + who
+    return each.select(*key, "sample", packed.alias("entry"))
+
+
+def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams) -> DataFrame:
+    """``key``, run, log_weight and reach: a row per distinct run of ``text``. Every step is a column, computed once per row."""
+    df = df.select(*key, F.array_remove(F.split(F.col(text), "[ \\t\\n\\r\\f\\x0b]+"), "").alias("words"))
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes")
+    at = lambda i, k: F.get(F.col("hashes"), i + k)
+    whole = F.transform(F.slice(F.col("hashes"), F.lit(1), F.greatest(n - (p.words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, p.words))))
+    short = F.when(n > 0, F.array(F.xxhash64(F.array_join("words", " "), F.lit(p.words)))).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*key, F.when(n >= p.words, whole).otherwise(short).alias("runs"))
+    df = df.withColumn("pairs", F.when(F.size(F.array_distinct("runs")) < F.size("runs"), F.sort_array("runs")))
+    # Where runs repeat: positions at which a new run begins in sorted order; the next one less this one is its count.
+    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (F.get(F.col("pairs"), i) != F.get(F.col("pairs"), i - 1))))
+    pair = lambda run, weight: F.struct(run.alias("run"), weight.cast("double").alias("weight"))
+    counted = F.transform("begins", lambda at_, i: pair(F.get(F.col("pairs"), at_), F.coalesce(F.get(F.col("begins"), i + 1), F.size("pairs")) - at_))
+    once = F.transform("runs", lambda x: pair(x, F.lit(1)))
+    df = df.select(*key, (p.reach / F.size("runs")).alias("reach"), F.explode(F.when(F.col("pairs").isNull(), once).otherwise(counted)).alias("e"))
+    zero = lambda c, v: F.coalesce(c, F.lit(v))  # noqa: E731  (never null; says so to the compiler)
+    return df.select(*key, zero(F.col("e.run"), 0).alias("run"), zero(F.ln("e.weight"), 0.0).alias("log_weight"), zero(F.col("reach") * F.col("e.weight"), 0.0).alias("reach"))
+
+
+def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams) -> DataFrame:
+    """``key`` and ``out``, the ascending entries of the samples of ``text``; no row for a text without words. Rows equal in ``key`` have one text."""
+    # Eight samples a row: an aggregate of all at once is more code than the JVM compiles.
+    smallest = [F.min(F.when(F.col("sample") % 8 == k, F.col("entry"))).alias(f"s{k}") for k in range(8)]
+    found = _draws(_runs(df, text, key, p), key, p).groupBy(*key, F.floor(F.col("sample") / 8).alias("eight")).agg(*smallest)
+    found = found.groupBy(*key).agg(F.collect_list(F.array_compact(F.array(*(f"s{k}" for k in range(8))))).alias(out))
+    return found.select(*key, F.sort_array(F.flatten(out)).alias(out))
+
+
+_EMPTY = "array<bigint>"
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, p: FingerprintParams) -> DataFrame:
-    """``df`` with ``out``: ascending entries of the filled bins of ``text``. Every step is a column, computed once per row."""
-    words, hashes, runs, pairs, keys = (f"__{out}_{k}" for k in ("words", "hashes", "runs", "pairs", "keys"))
-    df = df.withColumn(words, F.array_remove(F.split(F.col(text), "[ \\t\\n\\r\\f\\x0b]+"), ""))
-    df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size(hashes)
-    at = lambda i, k: F.get(F.col(hashes), i + k)
-    whole = F.transform(F.slice(F.col(hashes), F.lit(1), F.greatest(n - (p.words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, p.words))))
-    short = F.when(n > 0, F.array(F.xxhash64(F.array_join(words, " "), F.lit(p.words)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(runs, F.when(n >= p.words, whole).otherwise(short))
-    df = df.withColumn(pairs, F.when(F.size(F.array_distinct(runs)) < F.size(runs), F.sort_array(F.col(runs))))
-    # Where runs repeat: positions at which a new run begins in sorted order; the next one less this one is its count.
-    begins = f"__{out}_begins"
-    df = df.withColumn(begins, F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (F.get(F.col(pairs), i) != F.get(F.col(pairs), i - 1))))
-    counted = F.transform(begins, lambda at_, i: entry(F.get(F.col(pairs), at_), F.coalesce(F.get(F.col(begins), i + 1), F.size(pairs)) - at_, p.bins))
-    once = F.transform(runs, lambda x: entry(x, None, p.bins))
-    df = df.withColumn(keys, F.sort_array(F.when(F.col(pairs).isNull(), once).otherwise(counted)))
-    first = F.filter(F.col(keys), lambda k, i: (i == 0) | (F.shiftrightunsigned(k, 57) != F.shiftrightunsigned(F.get(F.col(keys), i - 1), 57)))
-    return df.withColumn(out, first).drop(words, hashes, runs, pairs, begins, keys)
+    """``df`` with ``out``: ascending entries of the samples of ``text``; texts meet theirs by two hashes."""
+    keys = [f"__{out}_{k}" for k in (1, 2)]
+    df = df.withColumn(keys[0], F.xxhash64(text)).withColumn(keys[1], F.xxhash64(F.lit(1), F.col(text)))
+    found = prints(df.select(*keys, text), text, keys, out, p)
+    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, F.array().cast(_EMPTY))).drop(*keys)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing bins among those that either fingerprint fills."""
+    """Share of agreeing samples among those that either fingerprint fills (all, unless a text is empty)."""
     bins = lambda x: F.transform(x, lambda k: F.shiftrightunsigned(k, 57))
     filled = F.size(F.array_union(bins(a), bins(b)))
     return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
@@ -146,18 +169,31 @@ def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams(
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = FingerprintParams()
     docs = only(documents(spark, sf_dir), doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, p, lambda df: with_fingerprint(df, "text", "fingerprint", p), ["text", "fingerprint"])
+    rows = with_next(docs, p, lambda df: df, ["doc_id", "text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), edited.alias("edited"))
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint", p)
+    # A fingerprint's key: a row's id and text, and whether it is the edited text's.
+    name = lambda doc_id, text, kind: F.struct(F.xxhash64(doc_id, F.lit(kind), text).alias("k1"), F.xxhash64(text, doc_id).alias("k2"))
+    keys = [name(F.col("doc_id"), F.col("text"), 0), name(F.col("next.doc_id"), F.col("next.text"), 0), name(F.col("doc_id"), F.col("text"), 1)]
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"), F.array(*keys).alias("keys"), edited.alias("edited"))
+    rows = stage(spark, rows, "fingerprints-edited")
+    own = docs.select(name(F.col("doc_id"), F.col("text"), 0).alias("k"), "text").select("k.k1", "k.k2", "text")
+    # The copies' edited texts may differ in their next document's, so a row's number goes into the key.
+    last = lambda k: F.struct(F.xxhash64(k["k1"], F.col("row")).alias("k1"), k["k2"].alias("k2"))
+    new = rows.select(last(F.get("keys", F.lit(2))).alias("k"), F.col("edited").alias("text")).select("k.k1", "k.k2", "text")
+    found = prints(own.union(new), "text", ["k1", "k2"], "entries", p)
+    asked = F.array(F.get("keys", F.lit(0)), F.get("keys", F.lit(1)), last(F.get("keys", F.lit(2))))
+    asks = rows.select("row", F.posexplode(asked).alias("role", "k")).select("row", "role", "k.k1", "k.k2")
+    got = asks.join(found, ["k1", "k2"]).groupBy("row").agg(*(F.max(F.when(F.col("role") == k, F.col("entries"))).alias(f"f{k}") for k in range(3)))
+    told = rows.select("row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    rows = told.join(got, "row", "left").select("doc_id", "n_chars", "edited_sha256", *(F.coalesce(f"f{k}", F.array().cast(_EMPTY)).alias(f"f{k}") for k in range(3)))
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("fingerprint")).alias("fingerprint"),
-        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "edited_sha256",
+        as_text(F.col("f0")).alias("fingerprint"),
+        as_text(F.col("f2")).alias("edited_fingerprint"),
+        likeness(F.col("f0"), F.col("f2")).alias("near_edited"),
+        likeness(F.col("f0"), F.col("f1")).alias("near_next"),
     )

@@ -271,6 +271,21 @@ def test_weights_count(spark):
     assert abs(np.mean([r["x"] for r in rows]) - want) < 0.03
 
 
+def test_uneven_weights_count(spark):
+    """As above where a few passages are repeated 100 to 1000 times: weights compete across the whole text."""
+    p = fingerprints.FingerprintParams()
+    rng, pairs = np.random.default_rng(1), []
+    for k in range(40):
+        shared = " ".join(" ".join(f"s{k}_{i}_{j}" for j in range(5)) for i in range(k % 3 + 1) for _ in range(int(rng.integers(100, 1001))))
+        a, b = (shared + " " + " ".join(f"{side}{k}_{j}" for j in range(int(rng.integers(200, 2000)))) for side in "ab")
+        pairs.append((k, a, b))
+    df = spark.createDataFrame(pairs, "k long, a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa", p), "b", "fb", p)
+    got = {r["k"]: r["x"] for r in df.select("k", fingerprints.likeness(F.col("fa"), F.col("fb")).alias("x")).collect()}
+    errors = [got[k] - likeness(bag(a), bag(b)) for k, a, b in pairs]
+    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.09
+
+
 def test_fingerprints_of_odd_input(spark, odd, none):
     got = fingerprints.fingerprints(odd)
     rows = got.collect()
