@@ -13,7 +13,7 @@ from quern.llm.packing import op7_packing
 from quern.llm.pieces import op8_sentencepiece
 from quern.llm.pii import op6_pii
 from quern.llm.quality import op2_quality
-from quern.llm.scoring import SCORING_SQL, op4_scoring
+from quern.llm.scoring import SCORING_FULL_SQL, SCORING_SQL, op4_scoring, op4_scoring_full
 from quern.llm.topk import TOPK_SQL, op3_topk
 from quern.llm.toxicity import op10_toxicity
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op4_scoring": op4_scoring,
+    "op4_scoring_full": op4_scoring_full,
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
@@ -33,4 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": TOPK_SQL,
     "op4_scoring": SCORING_SQL,
+    "op4_scoring_full": SCORING_FULL_SQL,
 }

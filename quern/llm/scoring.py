@@ -236,12 +236,17 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
 
 
-def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = backoff_scores(documents(spark, sf_dir))
+def op4_scoring(spark: SparkSession, sf_dir: str, params: ScoringParams = ScoringParams()) -> DataFrame:
+    scored = backoff_scores(documents(spark, sf_dir), params)
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log_score"))
 
 
+def op4_scoring_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores by full tables: n-grams seen once count too."""
+    return op4_scoring(spark, sf_dir, ScoringParams(least=1))
+
+
 #: The same scores in DuckDB's SQL, order 3.
 SCORING_SQL = """
 WITH t AS (
@@ -270,3 +275,6 @@ SELECT t.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_words, round(coalesce(g.s
        CASE WHEN g.n > 0 THEN round(g.s / g.n, 6) END AS mean_log_score
 FROM t LEFT JOIN g USING (doc_id)
 """
+
+#: By full tables.
+SCORING_FULL_SQL = SCORING_SQL.replace(" HAVING count(*) >= 2", "")

@@ -1,0 +1,16 @@
+import duckdb
+import pytest
+
+from quern.llm import queries
+
+
+def test_full_tables_equal_sql(spark, small):
+    """N-grams seen once are scored by their counts."""
+    assert "HAVING" not in queries.ORACLE_SQL["op4_scoring_full"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["op4_scoring_full"]).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op4_scoring_full"](spark, small).collect()}
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        assert got[k] == pytest.approx(row, abs=2e-4), k
