@@ -27,7 +27,7 @@ class TokenBucket:
         tokens = most if tokens < 0 else min(most, tokens + max(0, now - last) / 1e6 * speed)
         allowed = tokens >= cost
         tokens -= cost if allowed else 0.0
-        return (tokens, now), (tokens, allowed)
+        return (tokens, max(last, now)), (tokens, allowed)  # time that goes back gives nothing twice
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,102 @@ class Breaker:
         return (kind, failures, since), (True, kind, failures)
 
 
+@dataclass(frozen=True)
+class CallWrapper:
+    """Calls through a breaker: a call makes up to ``tries`` attempts, and only a call that uses them all up counts as a failure.
+
+    ``ok_at`` is the number of the first attempt that would succeed (null: none);
+    ``done`` the time at which the last attempt ended. A blocked or failed call
+    takes its fallback, or is an error.
+    """
+
+    breaker: Breaker = Breaker()
+    tries: int = 4
+    outputs = (("outcome", "string"), ("attempts", "long"), ("state", "string"), ("failures", "long"))
+
+    def start(self) -> tuple:
+        return self.breaker.start()
+
+    def step(self, state: tuple, now: int, done: int, ok_at: int | None, fallback: bool) -> tuple[tuple, tuple]:
+        good = ok_at is not None and ok_at <= self.tries
+        new, (allowed, kind, failures) = self.breaker.step(state, now, good)
+        if not allowed:
+            return new, ("FALLBACK" if fallback else "OPEN", 0, kind, failures)
+        if kind == "OPEN":  # it opens when the last attempt has failed, not when the call began
+            new = (kind, failures, done)
+        outcome = "OK" if good else "FALLBACK" if fallback else "FAILED"
+        return new, (outcome, ok_at if good else self.tries, kind, failures)
+
+
+@dataclass(frozen=True)
+class Router:
+    """Fallback chains whose outcomes drive the breakers of their providers.
+
+    ``breakers`` are the registered ones; any other provider gets a fresh breaker
+    per call, which never trips. A request's chain is tried in order: blocked
+    providers are passed over, a failure counts for its provider, the first
+    success ends it.
+    """
+
+    breakers: tuple[tuple[str, Breaker], ...] = ()
+    outputs = (("provider", "string"), ("is_fallback", "boolean"), ("tried", "long"), ("status", "string"))
+
+    def start(self) -> tuple:
+        return tuple(b.start() for _, b in self.breakers)
+
+    def step(self, state: tuple, now: int, chain: list, ok: list) -> tuple[tuple, tuple]:
+        known, states, tried = {name: k for k, (name, _) in enumerate(self.breakers)}, [tuple(s) for s in state], 0
+        there = [(p, bool(good)) for p, good in zip(chain or [], ok or [], strict=True) if p is not None]
+        for place, (provider, good) in enumerate(there):
+            k = known.get(provider)
+            if k is not None:
+                states[k], (allowed, _, _) = self.breakers[k][1].step(states[k], now, good)
+                if not allowed:
+                    continue
+            tried += 1
+            if good:
+                return tuple(states), (provider, place > 0, tried, "OK")
+        return tuple(states), (None, None, tried, "EXHAUSTED" if there else "NO_ROUTE")
+
+
+@dataclass(frozen=True)
+class WorkerBatcher:
+    """Batches whose clock starts with the worker's loop, not with their first item.
+
+    A loop collects until ``size`` items or ``wait_us`` after it began, works
+    ``service_us`` on them and begins anew; an empty loop waits ``idle_us`` first.
+    Items that come meanwhile wait in the queue.
+    """
+
+    size: int = 16
+    wait_us: int = 50_000
+    service_us: int = 0
+    idle_us: int = 0
+    outputs = (("batch_no", "long"), ("position", "long"))
+
+    def __post_init__(self):
+        if self.wait_us <= 0:
+            raise ValueError("a worker that waits for no time takes no item")
+
+    def start(self) -> tuple:
+        return (0, 0, 0)  # begin of the loop, items in it, batch number
+
+    def step(self, state: tuple, now: int) -> tuple[tuple, tuple]:
+        begin, items, batch = state
+        if items and now >= begin + self.wait_us:
+            begin, items, batch = begin + self.wait_us + self.service_us, 0, batch + 1
+        if not items and now >= begin + self.wait_us:
+            loop = self.wait_us + self.idle_us
+            begin += (now - begin) // loop * loop
+            if now >= begin + self.wait_us:
+                begin += loop
+        out = (batch, items)
+        items += 1
+        if items == self.size:
+            begin, items, batch = max(begin, now) + self.service_us, 0, batch + 1
+        return (begin, items, batch), out
+
+
 @dataclass(frozen=True)
 class MicroBatcher:
     """Batches close at ``size`` items or once ``wait_us`` have passed since their first item."""

@@ -47,31 +47,33 @@ def rrf_lists(lists: DataFrame, k: float = 60.0, top: int | None = 5) -> DataFra
     return fused.orderBy(F.desc("rrf_score"), "first_seen").limit(top) if top is not None else fused
 
 
-def min_max(col: str, keys: list[str] | None = None):
-    """Scaled to 0..1 within the keys; all zeros where the range is below a millionth."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    low, high = F.min(col).over(w), F.max(col).over(w)
-    return F.when(high - low < 1e-6, F.lit(0.0)).otherwise((F.col(col) - low) / F.when(high - low < 1e-6, F.lit(1.0)).otherwise(high - low))
+def blend(fused: DataFrame, cross: DataFrame | None, alpha: float = 0.5, top: int = 10, tenant: str | None = None) -> DataFrame:
+    """id, tenant_id, score, rrf_score: alpha * scaled fusion + (1 - alpha) * scaled cross score (missing: -100).
 
+    Without cross scores, or with an empty table of them, the score is the raw
+    fusion. A range below a millionth scales to 0. The ranges come from one
+    aggregate over the fused rows, joined back as a row, so no window gathers all
+    rows in a task.
+    """
+    raw = fused.select("id", F.col("rrf_score").alias("score"), "rrf_score")
+    if cross is not None and not cross.isEmpty():
+        both = fused.join(cross.select("id", F.col("score").alias("ce")), "id", "left").withColumn("ce", F.coalesce("ce", F.lit(-100.0)))
+        ends = both.agg(F.min("rrf_score").alias("r0"), F.max("rrf_score").alias("r1"), F.min("ce").alias("c0"), F.max("ce").alias("c1")).head()
+        if ends["r0"] is not None:
 
-def blend(fused: DataFrame, cross: DataFrame | None, alpha: float = 0.5, top: int = 10) -> DataFrame:
-    """alpha * scaled fusion + (1 - alpha) * scaled cross score (missing: -100); without cross scores the raw fusion.
+            def scaled(col: str, low: float, high: float):
+                return F.lit(0.0) if high - low < 1e-6 else (F.col(col) - low) / (high - low)
 
-    The ranges come from one aggregate over the fused rows, joined back as a row, so
-    no window gathers all rows in a task.
-    """
-    if cross is None:
-        return fused.select("id", F.col("rrf_score").alias("score")).orderBy(F.desc("score"), "id").limit(top)
-    both = fused.join(cross.select("id", F.col("score").alias("ce")), "id", "left").withColumn("ce", F.coalesce("ce", F.lit(-100.0)))
-    ends = both.agg(F.min("rrf_score").alias("r0"), F.max("rrf_score").alias("r1"), F.min("ce").alias("c0"), F.max("ce").alias("c1")).head()
-    if ends["r0"] is None:
-        return both.select("id", F.col("ce").alias("score")).limit(0)
-
-    def scaled(col: str, low: float, high: float):
-        return F.lit(0.0) if high - low < 1e-6 else (F.col(col) - low) / (high - low)
-
-    score = alpha * scaled("rrf_score", ends["r0"], ends["r1"]) + (1 - alpha) * scaled("ce", ends["c0"], ends["c1"])
-    return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
+            score = alpha * scaled("rrf_score", ends["r0"], ends["r1"]) + (1 - alpha) * scaled("ce", ends["c0"], ends["c1"])
+            raw = both.select("id", score.alias("score"), "rrf_score")
+    best = raw.orderBy(F.desc("score"), "id").limit(top)
+    return best.select("id", F.lit(tenant).cast("string").alias("tenant_id"), "score", "rrf_score")
+
+
+def re_rank_and_blend(tenant: str, sparse: DataFrame, dense: DataFrame, cross: DataFrame | None = None, top: int = 10, alpha: float = 0.5, k: float = 60.0, depth: int | None = None) -> DataFrame:
+    """Both streams (id, tenant_id, score, pos) cut to the tenant, ranked, fused and blended."""
+    parts = [df.select("id", "tenant_id", "score", "pos").withColumn("stream", F.lit(name)).withColumn("stream_ord", F.lit(n)) for n, (name, df) in enumerate((("sparse", sparse), ("dense", dense)))]
+    return blend(rrf(ranked_streams(parts[0].unionByName(parts[1]), tenant, depth), k, None), cross, alpha, top, tenant)
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, alpha: float = 0.7) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Centroids are fitted on a bounded sample (the ``sample_rows`` rows with the
 smallest hash of their id); every row is indexed. Results are approximate:
-``recall`` compares them with an exact search, and more probes raise it.
+``recall`` compares them with an exact search, and more probes raise it. Vectors that
+are null, empty, longer than the centroids or hold no numbers are not indexed and find nothing.
 """
 
 from __future__ import annotations
@@ -15,18 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalized
+from quern.operators.search import rows_of, usable
 from quern.session import ship
 
 
-def _rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
-
-
 def fit_centroids(vectors: DataFrame, lists: int = 64, sample_rows: int = 20_000, rounds: int = 10) -> np.ndarray:
     """Unit centroids by spherical k-means on the sample; ``vectors`` has id and vector."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(normalized(F.col("vector")).alias("v")).toArrow()  # sample_rows rows
-    x = _rows(sample.column("v"), sample.num_rows)
+    sample = vectors.filter(usable(F.col("vector"))).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(normalized(F.col("vector")).alias("v")).toArrow()  # sample_rows rows
+    x = rows_of(sample.column("v"), max([len(v) for v in sample.column("v").to_pylist()], default=1))
     if not len(x):
         return np.zeros((0, 1))
     centers = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
@@ -46,12 +43,13 @@ def _nearest_lists(df: DataFrame, centers: np.ndarray, count: int, name: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _rows(b.column(1), b.num_rows)
+            x = rows_of(b.column(1), shared.value.shape[1])
             best = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :count].astype(np.int32)
             offsets = np.arange(0, best.size + 1, max(1, best.shape[1]), dtype=np.int32)[: b.num_rows + 1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))], [name, "v", "lists"])
 
-    return df.select(name, normalized(F.col("vector")).alias("v")).mapInArrow(run, f"{name} long, v array<double>, lists array<int>")
+    fits = usable(F.col("vector")) & (F.size("vector") <= centers.shape[1])
+    return df.filter(fits).select(name, normalized(F.col("vector")).alias("v")).mapInArrow(run, f"{name} long, v array<double>, lists array<int>")
 
 
 def build(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -73,7 +71,7 @@ def probe(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int = 10
         if a.num_rows and b.num_rows:
             ids = a.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            scores = _rows(b.column("v"), b.num_rows) @ _rows(a.column("v"), a.num_rows)[order].T
+            scores = rows_of(b.column("v"), centers.shape[1]) @ rows_of(a.column("v"), centers.shape[1])[order].T
             best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             out = [np.repeat(b.column("query_id").to_numpy(), best.shape[1]), ids[order][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})

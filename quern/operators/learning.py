@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import rl
@@ -30,13 +31,49 @@ class Discounted:
         return (g,), (g,)
 
 
-def _reversed(steps: DataFrame, traj: str, t: str) -> DataFrame:
-    return steps.withColumn("__back", -F.col(t))
+@dataclass(frozen=True)
+class Carry:
+    """What a block's last step sees of the blocks after it: their discounted return, block by block from the end."""
+
+    gamma: float
+    outputs = (("carry_", "double"),)
+
+    def start(self) -> tuple:
+        return (0.0,)
+
+    def step(self, state: tuple, own: float, steps: int) -> tuple[tuple, tuple]:
+        return (own + self.gamma**steps * state[0],), (state[0],)
+
+
+def discounted(steps: DataFrame, value: str, out: str, traj: str, t: str, gamma: float, block: int = 512) -> DataFrame:
+    """``steps`` plus ``out``: per step, ``value`` plus gamma times what the next step has.
+
+    A trajectory is cut by its step numbers into blocks. Within a block the sum is
+    a window in the engine; per block one row, its sum and length, is folded from
+    the end on; a step adds what is carried into its block, discounted by its
+    distance. So a long trajectory is many tasks' work, and only its blocks meet
+    in one. Null values count 0.
+    """
+    if gamma == 0:
+        return steps.withColumn(out, F.coalesce(F.col(value), F.lit(0.0)))
+    # Powers within a block must not leave the range of doubles.
+    size = max(1, min(block, int(200 / -math.log(gamma)))) if 0 < gamma < 1 else block
+    cut = steps.withColumn("block_", F.floor(F.col(t) / size))
+    back = Window.partitionBy(traj, "block_").orderBy(F.desc(t))
+    cut = cut.withColumn("left_", F.row_number().over(back))  # steps from here to the block's end, this one included
+    power = lambda n: F.pow(F.lit(float(gamma)), n)
+    # Weights grow towards the block's end by negative powers, so that nearer steps weigh more.
+    local = F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * power(-F.col("left_"))).over(back.rowsBetween(Window.unboundedPreceding, 0)) * power(F.col("left_"))
+    cut = cut.withColumn("local_", local)
+    heads = cut.groupBy(traj, "block_").agg(F.max_by("local_", "left_").alias("own_"), F.max("left_").alias("steps_")).withColumn("order_", -F.col("block_"))
+    carried = ordered_fold(heads, [traj], ["order_"], Carry(gamma), ["own_", "steps_"]).select(F.col(traj).alias("traj_"), F.col("block_").alias("b_"), "carry_")
+    joined = cut.join(carried, F.col(traj).eqNullSafe(F.col("traj_")) & F.col("block_").eqNullSafe(F.col("b_")))
+    return joined.withColumn(out, F.col("local_") + power(F.col("left_")) * F.col("carry_")).select(*steps.columns, out)
 
 
 def discounted_return(steps: DataFrame, traj: str = "traj", t: str = "t", gamma: float = 0.99) -> DataFrame:
     """``steps`` plus g, the discounted return from each step on."""
-    return ordered_fold(_reversed(steps, traj, t), [traj], ["__back"], Discounted(gamma), ["reward"]).drop("__back")
+    return discounted(steps, "reward", "g", traj, t, gamma)
 
 
 def td_error(steps: DataFrame, traj: str = "traj", t: str = "t", gamma: float = 0.99) -> DataFrame:
@@ -47,8 +84,12 @@ def td_error(steps: DataFrame, traj: str = "traj", t: str = "t", gamma: float =
 
 def gae(steps: DataFrame, traj: str = "traj", t: str = "t", gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """``steps`` plus delta and gae, the (gamma lambda)-discounted sum of later deltas."""
-    rows = _reversed(td_error(steps, traj, t, gamma), traj, t)
-    return ordered_fold(rows, [traj], ["__back"], Discounted(gamma * lam, "gae"), ["delta"]).drop("__back")
+    return discounted(td_error(steps, traj, t, gamma), "delta", "gae", traj, t, gamma * lam)
+
+
+def advantage(q: Column, v: Column) -> Column:
+    """How much better an action is than its state: A = Q - V."""
+    return q - v
 
 
 def group_advantages(rollouts: DataFrame, group: str = "prompt", epsilon: float = 1e-8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.machines import Backlog, Breaker, MicroBatcher, TokenBucket, WaitingBucket
+from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.operators.fold import ordered_fold
 
 
@@ -28,6 +28,52 @@ def breaker(calls: DataFrame, key: str, order: list[str], now_us: str, success:
     return ordered_fold(calls, [key], order, machine, [now_us, success])
 
 
+def wrapped_calls(calls: DataFrame, key: str, order: list[str], now_us: str, done_us: str, ok_at: str, fallback: str, machine: CallWrapper) -> DataFrame:
+    """``calls`` plus outcome (OK, FALLBACK, OPEN or FAILED), attempts made, and the breaker's state and failures after the call."""
+    return ordered_fold(calls, [key], order, machine, [now_us, done_us, ok_at, fallback])
+
+
+def routed(requests: DataFrame, keys: list[str], order: list[str], now_us: str, chain: str, ok: str, machine: Router) -> DataFrame:
+    """``requests`` plus provider, is_fallback, providers tried, and status; outcomes move the breakers, request by request.
+
+    ``chain`` holds the providers in order (nulls leave it before positions are
+    given), ``ok`` whether each would succeed. A router's requests depend on one
+    another through its breakers, so a router is one task's work.
+    """
+    return ordered_fold(requests, keys, order, machine, [now_us, chain, ok])
+
+
+def limit_requests(requests: DataFrame, api_key: str, host: str, order: list[str], now_us: str, bucket: TokenBucket = TokenBucket(50.0, 10.0)) -> DataFrame:
+    """``requests`` plus client (the API key, or the host where none is given), tokens left, and status: 200, or 429 for the rejected."""
+    client = F.coalesce(F.when(F.col(api_key) != "", F.col(api_key)), F.col(host))
+    rows = token_bucket(requests.withColumn("client", client), "client", order, now_us, bucket)
+    return rows.withColumn("status", F.when(F.col("allowed"), 200).otherwise(429)).drop("allowed")
+
+
+#: The classes of errors.
+ERROR_CLASSES = ("circuit_open", "transient", "permanent")
+
+
+def error_class(name: Column) -> Column:
+    """One of the classes, or null; any other name is an error."""
+    return F.when(name.isNull() | name.isin(*ERROR_CLASSES), name).otherwise(F.raise_error(F.concat(F.lit("unknown error class "), name)))
+
+
+def outcomes_at(attempts: DataFrame, key: list[str], at: str, stop: Column, max_retries: int = 3) -> DataFrame:
+    """What a worker that stops at ``stop`` has done: a task's later attempts do not happen, and the task is PENDING, never lost."""
+    rows = attempts.withColumn("late_", F.col(at) > stop)
+    none = F.when(~F.col("late_"), F.col("ok"))
+    seen = rows.groupBy(*key).agg(F.min(F.when(none, F.col("attempt"))).alias("won"), F.count_if(~none).alias("failed"))
+    retries = F.least(F.coalesce(F.col("won") - 1, F.col("failed")), F.lit(max_retries + 1)).cast("long")
+    status = F.when(retries > max_retries, "DEAD").when(F.col("won").isNotNull(), "DELIVERED").otherwise("PENDING")
+    return seen.select(*key, retries.alias("retry_count"), status.alias("status"))
+
+
+def worker_batches(arrivals: DataFrame, keys: list[str], order: list[str], now_us: str, machine: WorkerBatcher) -> DataFrame:
+    """``arrivals`` plus batch number and position, per key, by the clock of the worker's loop."""
+    return ordered_fold(arrivals, keys, order, machine, [now_us])
+
+
 def micro_batches(arrivals: DataFrame, keys: list[str], order: list[str], now_us: str, machine: MicroBatcher) -> DataFrame:
     """``arrivals`` plus batch number and position, per key."""
     return ordered_fold(arrivals, keys, order, machine, [now_us])

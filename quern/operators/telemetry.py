@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.machines import RollingPercentiles
 from quern.operators.fold import ordered_fold
+from quern.session import stage
 
 
 def throughput(completion_tokens: Column, ttft_ms: Column, total_ms: Column) -> Column:
@@ -24,6 +25,39 @@ def rolling_percentiles(events: DataFrame, keys: list[str], order: list[str], va
     return ordered_fold(events, keys, order, RollingPercentiles(size), [value])
 
 
+def rolling_percentiles_split(events: DataFrame, keys: list[str], time: str, tie: str, value: str, size: int = 1000, rows: int = 100_000) -> DataFrame:
+    """The same with each key cut by ``time`` (a number) into slices of about ``rows`` rows, so that one key is many tasks' work.
+
+    A frame reaches back at most ``size`` - 1 rows, so a slice gets copies of the
+    last rows of those before it, as many as its first row can see, and drops
+    them at the end. Nulls in ``time`` come first.
+    """
+    spark = events.sparkSession
+    at = F.col(time).cast("double")
+    spans = events.groupBy(*keys).agg(F.count("*").alias("n_"), F.min(at).alias("t0_"), F.max(at).alias("t1_"))
+    width = (F.col("t1_") - F.col("t0_")) / F.ceil(F.col("n_") / rows)
+    spans = spans.select(*(F.col(k).alias(f"{k}_") for k in keys), "t0_", F.when(width > 0, width).otherwise(1.0).alias("w_"))
+    same = lambda df: [F.col(k).eqNullSafe(df[f"{k}_"]) for k in keys]
+    cut = events.join(F.broadcast(spans) if spans.count() <= 10_000 else spans, same(spans)).withColumn("slice_", F.coalesce(F.floor((at - F.col("t0_")) / F.col("w_")), F.lit(-1)))
+    cut = cut.drop("t0_", "w_", *(f"{k}_" for k in keys))
+    # How many rows lie between the ends of slices says which slices still see which.
+    sizes = cut.groupBy(*keys, "slice_").agg(F.count("*").alias("n_"))
+    until = Window.partitionBy(*keys).orderBy("slice_")
+    ends = stage(spark, sizes.select(*keys, "slice_", F.sum("n_").over(until).alias("end_"), (F.sum("n_").over(until) - F.col("n_")).alias("begin_")), "rolling-slices")
+    later = ends.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("slice_").alias("to_"), F.col("begin_").alias("first_"))
+    seen = ends.join(later, [*same(later), F.col("to_") > F.col("slice_"), F.col("first_") - F.col("end_") < size - 1])
+    seen = seen.select(*keys, "slice_", "to_", (F.col("first_") - F.col("end_")).alias("between_"))
+    reach = seen.groupBy(*keys, "slice_").agg(F.collect_list(F.struct("to_", "between_")).alias("to_"))  # size - 1 slices at most
+    reach = reach.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("slice_").alias("of_"), "to_")
+    back = F.row_number().over(Window.partitionBy(*keys, "slice_").orderBy(F.desc(time), F.desc(tie)))
+    ranked = cut.withColumn("back_", back)
+    tails = ranked.filter(F.col("back_") < size).join(reach, [*same(reach), F.col("slice_") == F.col("of_")])
+    copies = tails.withColumn("e_", F.explode("to_")).filter(F.col("back_") + F.col("e_.between_") < size)
+    copies = copies.select(*events.columns, F.col("e_.to_").alias("slice_"), F.lit(True).alias("copy_"))
+    both = cut.withColumn("copy_", F.lit(False)).unionByName(copies)
+    return ordered_fold(both, [*keys, "slice_"], [time, tie], RollingPercentiles(size), [value]).filter(~F.col("copy_")).drop("slice_", "copy_")
+
+
 def rolling_percentiles_native(events: DataFrame, keys: list[str], order: list[str], value: str, size: int = 1000) -> DataFrame:
     """The same by a window expression: the definition, for checks and for short frames."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import rl
-from quern.functions.machines import Backlog, Breaker, MicroBatcher, TokenBucket, WaitingBucket
+from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
 from quern.operators import agents, fusion, index, learning, resilience, search, telemetry, text
 from quern.sources.stores import mock_embeddings, streams_of
-from quern.streaming.processors import windowed_counts
+from quern.streaming.processors import attempts, latest_results, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -124,6 +124,32 @@ def ann_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["vector_topk_multi"].replace("rank <= 3", "rank <= 5"))
+def ann_topk_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The index with every list probed, which is exact."""
+    all_ = vectors(spark, d).select("id", "vector")
+    centers = index.fit_centroids(all_, 16)
+    found = index.probe(all_.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), index.build(all_, centers), centers, 5, 16)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_CACHE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+s AS (SELECT q.vec_id AS query_id, c.label, c.vec_id, list_dot_product(q.e, c.e) / (q.nrm * c.nrm) AS score FROM n q CROSS JOIN n c WHERE q.vec_id % 2 = 1 AND c.vec_id % 2 = 0),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) = 1)"""
+
+
+@query(f"WITH {_CACHE} SELECT query_id, 1 - score <= 0.66 AS hit, CASE WHEN 1 - score <= 0.66 THEN 'label ' || label ELSE 'computed ' || query_id END AS value, 1 - score > 0.66 AS added FROM b")
+def cached_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Hits answered from the cache, misses computed and added to it."""
+    all_ = vectors(spark, d)
+    cache = all_.filter("id % 2 = 0").select("id", "vector", F.concat(F.lit("label "), F.col("label").cast("string")).alias("value"))
+    probes = all_.filter("id % 2 = 1").select(F.col("id").alias("query_id"), "vector")
+    answers, new = search.cached_answers(probes, cache, lambda rows: rows.withColumn("value", F.concat(F.lit("computed "), F.col("query_id").cast("string"))), 0.66)
+    added = new.select(F.col("id").alias("query_id"), F.lit(True).alias("added"))
+    return answers.join(added, "query_id", "left").select("query_id", "hit", "value", F.coalesce("added", F.lit(False)).alias("added"))
+
+
 # Fusion --------------------------------------------------------------------------------------------------------
 
 
@@ -183,6 +209,30 @@ def blend_raw(spark: SparkSession, d: str) -> DataFrame:
     return fusion.blend(fused, None).select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score"))
 
 
+@query(
+    f"""WITH {_V}, s1 AS (SELECT s.*, 0 AS stream FROM s), s2 AS (SELECT n.*, list_dot_product(n.e, q.e) / (n.nrm * q.nrm) AS score, 1 AS stream FROM n JOIN n q ON q.vec_id = 1),
+r AS (SELECT vec_id, label, stream, row_number() OVER (PARTITION BY stream ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (SELECT vec_id, label, score, stream FROM s1 UNION ALL SELECT vec_id, label, score, stream FROM s2) WHERE label % 4 = 2 QUALIFY rank <= 40),
+f AS (SELECT vec_id, any_value(label) AS label, sum(1.0 / (60 + rank)) AS rrf FROM r GROUP BY vec_id), c AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN label / 10 + vec_id % 7 ELSE -100.0 END AS ce FROM f),
+m AS (SELECT min(rrf) AS r0, max(rrf) AS r1, min(ce) AS c0, max(ce) AS c1 FROM c),
+x AS (SELECT vec_id, rrf, 0.5 * (rrf - r0) / (r1 - r0) + 0.5 * (ce - c0) / (c1 - c0) AS score FROM c CROSS JOIN m)
+SELECT vec_id, 'T2' AS tenant_id, round(score, 9) AS score, round(rrf, 9) AS rrf_score FROM x ORDER BY x.score DESC, vec_id LIMIT 10"""
+)
+def blend_tenant(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams of all tenants, cut to one tenant before ranks are given."""
+    stream = lambda q: vectors(spark, d).select("id", "tenant_id", "label", F.round(cosine(F.col("vector"), literal(vector_of(spark, d, q))), 9).alias("score"), F.col("id").alias("pos"))
+    cross = vectors(spark, d).filter("id % 2 = 0").select("id", (F.col("label") / 10 + F.col("id") % 7).alias("score"))
+    found = fusion.re_rank_and_blend("T2", stream(0), stream(1), cross, 10, depth=40)
+    return found.select(F.col("id").alias("vec_id"), "tenant_id", F.round("score", 9).alias("score"), F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query(f"WITH {_STREAMS} SELECT vec_id, round(rrf, 9) AS score FROM f ORDER BY rrf DESC, vec_id LIMIT 10")
+def blend_empty(spark: SparkSession, d: str) -> DataFrame:
+    """An empty table of cross scores is none."""
+    fused = fusion.rrf(fusion.ranked_streams(two_streams(spark, d).drop("metadata"), depth=50), 60.0, None)
+    empty = fused.select("id", F.lit(0.0).alias("score")).limit(0)
+    return fusion.blend(fused, empty).select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score"))
+
+
 @query(f"WITH {_STREAMS} SELECT DISTINCT vec_id FROM r")
 def union_candidates(spark: SparkSession, d: str) -> DataFrame:
     return two_streams(spark, d).select(F.col("id").alias("vec_id")).distinct()
@@ -227,6 +277,20 @@ def hybrid_alpha(spark: SparkSession, d: str) -> DataFrame:
     return fusion.hybrid(dense, sparse, 0.7).select("id", F.round("score", 6).alias("score"))
 
 
+_HYBRID_BM25 = _BM25.replace("FROM documents)", "FROM documents JOIN embeddings ON vec_id = doc_id WHERE label % 2 = 0)", 1)
+
+
+@query(
+    f"""WITH {_V}, {_HYBRID_BM25}, u AS (SELECT vec_id AS id, 0.7 * score AS p FROM s JOIN documents ON doc_id = vec_id WHERE label % 2 = 0 UNION ALL SELECT doc_id, 0.3 * score FROM b),
+g AS (SELECT id, sum(p) AS score FROM u GROUP BY id) SELECT id, round(score, 6) AS score FROM g ORDER BY round(g.score, 9) DESC, id LIMIT 10"""
+)
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse scores of the rows that a payload filter lets through."""
+    rows = vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    found = search.filtered_hybrid(rows, vector_of(spark, d, 0), "the que der", search.payload_matches({"category": "even"}), 0.7, 10)
+    return found.orderBy(F.desc(F.round("score", 9)), "id").select("id", F.round("score", 6).alias("score"))
+
+
 @query(
     """WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 150)) AS start FROM documents WHERE length(text) > 0)
 SELECT doc_id, start // 150 AS chunk_no, start, length(substr(text, start + 1, 200)) AS n_chars, md5(substr(text, start + 1, 200)) AS chunk_md5 FROM c"""
@@ -262,9 +326,18 @@ def answer_relevance(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).groupBy("label").agg(F.round(F.avg(score), 6).alias("relevance"))
 
 
-@query("SELECT doc_id, CASE WHEN (doc_id % 100) / 100 < 0.82 THEN 'PAUSED' ELSE 'CONTINUE' END AS status FROM labels")
+@query(f"WITH {_V} SELECT vec_id, CASE WHEN (1 + round(score, 9)) / 2 < 0.55 THEN 'PAUSED' ELSE 'CONTINUE' END AS status FROM s")
 def hitl_gate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").select("doc_id", agents.paused((F.col("doc_id") % 100) / 100).alias("status"))
+    """Confidence is how near an answer's vector is to the question's."""
+    near = F.round(cosine(F.col("vector"), literal(vector_of(spark, d, 0))), 9)
+    return vectors(spark, d).select(F.col("id").alias("vec_id"), agents.paused((1 + near) / 2, 0.55).alias("status"))
+
+
+@query("SELECT CAST(n AS INTEGER) AS adapters, CAST(140.0 * n AS DOUBLE) AS full_gb, CAST(140.0 + 0.2 * n AS DOUBLE) AS shared_gb FROM range(1, 51) t(n)")
+def serving_memory(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    full, one = agents.serving_memory(140.0, n, 0.2)
+    return spark.range(1, 51).select(n.cast("int").alias("adapters"), full.alias("full_gb"), one.alias("shared_gb"))
 
 
 @query(
@@ -329,10 +402,18 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     return agents.label_propagation(edges(spark, d), 3)
 
 
-@query("SELECT vec_id, round(1 * e1 + 2 * e2 + 2.0 * (0.5 * e1 + 0.25 * e2), 6) AS h1, round(3 * e1 + 4 * e2 + 2.0 * 2 * (0.5 * e1 + 0.25 * e2), 6) AS h2 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings)")
+_LORA = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+t AS (SELECT vec_id, e, list_transform(range(1, 65), lambda i: i / 64) AS w1, list_transform(range(1, 65), lambda i: (i % 5) / 4) AS w2, list_transform(range(1, 65), lambda i: 0.5 - (i % 3) / 4) AS a FROM v)
+SELECT vec_id, round(list_dot_product(e, w1) + 2.0 * list_dot_product(e, a), 6) AS h1, round(list_dot_product(e, w2) + 2.0 * 2 * list_dot_product(e, a), 6) AS h2 FROM t"""
+
+
+@query(_LORA)
 def lora_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Two outputs of all 64 components: W is 2 x 64, A 1 x 64, B 2 x 1."""
     rows = lambda m: F.array(*(literal(r) for r in m))
-    h = agents.lora_forward(F.slice("vector", 1, 2), rows([[1, 2], [3, 4]]), rows([[0.5, 0.25]]), rows([[1], [2]]), 2.0, 1)
+    w = [[i / 64 for i in range(1, 65)], [(i % 5) / 4 for i in range(1, 65)]]
+    a = [[0.5 - (i % 3) / 4 for i in range(1, 65)]]
+    h = agents.lora_forward(F.col("vector"), rows(w), rows(a), rows([[1], [2]]), 2.0, 1)
     return vectors(spark, d).select(F.col("id").alias("vec_id"), h.alias("h")).select("vec_id", F.round(F.col("h")[0], 6).alias("h1"), F.round(F.col("h")[1], 6).alias("h2"))
 
 
@@ -347,7 +428,7 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, round(quantile_cont(value, 0.5) OVER w, 6) AS p50, round(quantile_cont(value, 0.99) OVER w, 6) AS p99 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)")
 def rolling_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = telemetry.rolling_percentiles(events(spark, d), ["event_type"], ["ts", "event_id"], "value", 1000)
+    rows = telemetry.rolling_percentiles_split(events(spark, d), ["event_type"], "us", "event_id", "value", 1000)
     return rows.select("event_id", "event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
@@ -358,7 +439,7 @@ round(quantile_cont(value, 0.5) OVER w, 4) AS ttft_p50_ms FROM events WINDOW w A
 def payload_json(spark: SparkSession, d: str) -> DataFrame:
     """Fields read back from the exported JSON; the percentile is compared before its rounding."""
     n = F.col("event_id")
-    rolled = telemetry.rolling_percentiles(events(spark, d), ["event_type"], ["ts", "event_id"], "value", 100)
+    rolled = telemetry.rolling_percentiles_split(events(spark, d), ["event_type"], "us", "event_id", "value", 100)
     rows = rolled.select(n, F.concat(F.lit("T"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"), F.col("event_type").alias("model_variant"), (F.col("us") / 1e6).alias("timestamp"), (n % 50).alias("prompt_tokens"), (n % 200).alias("completion_tokens"), F.col("value").alias("ttft_ms"), (F.col("value") * 2).alias("total_latency_ms"), "p50", "p99")
     rows = rows.withColumn("throughput_tps", telemetry.throughput(F.col("completion_tokens"), F.col("ttft_ms"), F.col("total_latency_ms")))
     get = lambda path: F.get_json_object("payload", path)
@@ -413,19 +494,19 @@ def token_grant_time(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "user_id", F.round(F.col("granted_us") / 1e6).cast("long").alias("granted_s"))
 
 
-def _breaker_sql(variant: int) -> str:
+def _breaker_sql(variant: int, fails: str = "event_type = 'error'", timeout: int = 86_400_000_000, threshold: int = 2, out: str = "") -> str:
     closed = "CLOSED" if variant == 3 else "HALF_OPEN"
-    blocked = f"r.kind = 'OPEN' AND e.us - r.since {'<=' if variant == 2 else '<'} 86400000000"
-    trips = "r.failures + 1 >= 2" + (f" OR (CASE WHEN r.kind = 'OPEN' THEN '{closed}' ELSE r.kind END) = 'HALF_OPEN'" if variant == 1 else "")
+    blocked = f"r.kind = 'OPEN' AND e.us - r.since {'<=' if variant == 2 else '<'} {timeout}"
+    trips = f"r.failures + 1 >= {threshold}" + (f" OR (CASE WHEN r.kind = 'OPEN' THEN '{closed}' ELSE r.kind END) = 'HALF_OPEN'" if variant == 1 else "")
     stays = f"CASE WHEN r.kind = 'OPEN' THEN '{closed}' ELSE r.kind END"
     return f"""WITH RECURSIVE {_E.format(k="user_id")},
-r AS (SELECT event_id, user_id, rn, TRUE AS allowed, 'CLOSED' AS kind, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failures, CAST(0 AS BIGINT) AS since FROM e WHERE rn = 1
+r AS (SELECT event_id, user_id, rn, TRUE AS allowed, 'CLOSED' AS kind, CASE WHEN {fails} THEN 1 ELSE 0 END AS failures, CAST(0 AS BIGINT) AS since FROM e WHERE rn = 1
 UNION ALL SELECT e.event_id, e.user_id, e.rn, NOT ({blocked}),
-  CASE WHEN {blocked} THEN r.kind WHEN e.event_type <> 'error' THEN 'CLOSED' WHEN {trips} THEN 'OPEN' ELSE {stays} END,
-  CASE WHEN {blocked} THEN r.failures WHEN e.event_type <> 'error' THEN 0 ELSE r.failures + 1 END,
-  CASE WHEN {blocked} OR e.event_type <> 'error' OR NOT ({trips}) THEN r.since ELSE e.us END
+  CASE WHEN {blocked} THEN r.kind WHEN NOT (e.{fails}) THEN 'CLOSED' WHEN {trips} THEN 'OPEN' ELSE {stays} END,
+  CASE WHEN {blocked} THEN r.failures WHEN NOT (e.{fails}) THEN 0 ELSE r.failures + 1 END,
+  CASE WHEN {blocked} OR NOT (e.{fails}) OR NOT ({trips}) THEN r.since ELSE e.us END
 FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-SELECT event_id, allowed, kind AS state, CAST(failures AS BIGINT) AS failures FROM r"""
+{out or "SELECT event_id, allowed, kind AS state, CAST(failures AS BIGINT) AS failures FROM r"}"""
 
 
 def _breaker(variant: int):
@@ -441,6 +522,84 @@ for _variant in (1, 2, 3):
     query(_breaker_sql(_variant))(_breaker(_variant))
 
 
+_CALL = """SELECT event_id, CASE WHEN allowed AND event_id % 6 <= 3 THEN 'OK' WHEN event_id % 2 = 0 THEN 'FALLBACK' WHEN allowed THEN 'FAILED' ELSE 'OPEN' END AS outcome,
+CASE WHEN NOT allowed THEN 0 WHEN event_id % 6 <= 3 THEN event_id % 6 + 1 ELSE 4 END AS attempts, kind AS state, CAST(failures AS BIGINT) AS failures FROM r"""
+
+
+@query(_breaker_sql(1, "event_id % 6 > 3", out=_CALL))
+def call_wrapper(spark: SparkSession, d: str) -> DataFrame:
+    """The event's number says which attempt succeeds (from 1 to 6, of 4) and whether there is a fallback."""
+    n = F.col("event_id")
+    calls = events(spark, d).select("event_id", "user_id", "ts", "us", (n % 6 + 1).alias("ok_at"), (n % 2 == 0).alias("fallback"))
+    rows = resilience.wrapped_calls(calls, "user_id", ["ts", "event_id"], "us", "us", "ok_at", "fallback", CallWrapper(Breaker(1, 2, 86_400_000_000), 4))
+    return rows.select("event_id", "outcome", "attempts", "state", "failures")
+
+
+def _routed_sql(timeout: int, threshold: int) -> str:
+    """Three breakers of the second variant beside each other, one row per request."""
+    names = {"v": "event_id % 3 = 0", "p": "event_id % 4 = 0", "f": "event_id % 7 = 0"}
+    blocked = {k: f"(r.{k}k = 'OPEN' AND e.us - r.{k}s <= {timeout})" for k in names}
+    code = "(e.event_type = 'purchase')"
+    ok = {k: f"(NOT (e.{x}))" for k, x in names.items()}
+    tried = {"v": f"({code} AND NOT {blocked['v']})"}
+    won_v = f"({tried['v']} AND {ok['v']})"
+    tried["p"] = f"(NOT {blocked['p']} AND NOT {won_v})"
+    won_p = f"({tried['p']} AND {ok['p']})"
+    tried["f"] = f"(NOT {code} AND NOT {blocked['f']} AND NOT {won_p})"
+    won_f = f"({tried['f']} AND {ok['f']})"
+    new = []
+    for k in names:
+        trips = f"r.{k}n + 1 >= {threshold}"
+        new.append(f"CASE WHEN NOT {tried[k]} THEN r.{k}k WHEN {ok[k]} THEN 'CLOSED' WHEN {trips} THEN 'OPEN' WHEN r.{k}k = 'OPEN' THEN 'HALF_OPEN' ELSE r.{k}k END")
+        new.append(f"CASE WHEN NOT {tried[k]} THEN r.{k}n WHEN {ok[k]} THEN 0 ELSE r.{k}n + 1 END")
+        new.append(f"CASE WHEN {tried[k]} AND NOT {ok[k]} AND {trips} THEN e.us ELSE r.{k}s END")
+    provider = f"CASE WHEN {won_v} THEN 'vllm_local' WHEN {won_p} THEN 'saas_primary' WHEN {won_f} THEN 'saas_fallback' END"
+    tries = " + ".join(f"CAST({tried[k]} AS INTEGER)" for k in names)
+    start = ", ".join(f"'CLOSED' AS {k}k, CAST(0 AS INTEGER) AS {k}n, CAST(0 AS BIGINT) AS {k}s" for k in names)
+    return f"""WITH RECURSIVE {_E.format(k="user_id")},
+r AS (SELECT DISTINCT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS provider, 0 AS tried, FALSE AS code, {start} FROM e
+UNION ALL SELECT e.event_id, e.user_id, e.rn, {provider}, {tries}, {code}, {", ".join(new)} FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id, provider, (code AND provider = 'saas_primary') OR (NOT code AND provider = 'saas_fallback') AS is_fallback, CAST(tried AS BIGINT) AS tried, CASE WHEN provider IS NULL THEN 'EXHAUSTED' ELSE 'OK' END AS status FROM r WHERE rn > 0"""
+
+
+@query(_routed_sql(86_400_000_000, 2))
+def route_with_breakers(spark: SparkSession, d: str) -> DataFrame:
+    """A router per user; the event's number says which providers would answer."""
+    n = F.col("event_id")
+    fine = F.transform("chain", lambda p: F.when(p == "vllm_local", n % 3 != 0).when(p == "saas_primary", n % 4 != 0).otherwise(n % 7 != 0))
+    asked = events(spark, d).withColumn("chain", resilience.route(F.when(F.col("event_type") == "purchase", resilience.CODE).otherwise("chat"))).withColumn("fine", fine)
+    breakers = tuple((name, Breaker(2, 2, 86_400_000_000)) for name in ("vllm_local", "saas_primary", "saas_fallback"))
+    return resilience.routed(asked, ["user_id"], ["ts", "event_id"], "us", "chain", "fine", Router(breakers)).select("event_id", "provider", "is_fallback", "tried", "status")
+
+
+_CLIENT = "e AS (SELECT event_id, client AS user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'key-' || (user_id % 5) ELSE 'host-' || user_id END AS client FROM events))"
+
+
+@query(_BUCKET.format(e=_CLIENT, cap="CAST(3 AS DOUBLE)", rate=_RATE).replace("SELECT event_id, user_id, round(tok, 6) AS tokens, allowed FROM r", "SELECT event_id, user_id AS client, round(tok, 6) AS tokens, CASE WHEN allowed THEN 200 ELSE 429 END AS status FROM r"))
+def request_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by API key where there is one (an empty one is none), else by host."""
+    u = F.col("user_id")
+    key = F.when(u % 3 == 0, F.concat(F.lit("key-"), (u % 5).cast("string"))).when(u % 3 == 1, "")
+    asked = events(spark, d).select("event_id", "ts", "us", key.alias("api_key"), F.concat(F.lit("host-"), u.cast("string")).alias("host"))
+    return resilience.limit_requests(asked, "api_key", "host", ["ts", "event_id"], "us", TokenBucket(3.0, 1 / 36000)).select("event_id", "client", F.round("tokens", 6).alias("tokens"), "status")
+
+
+_LOOP = """WITH RECURSIVE {e},
+r AS (SELECT DISTINCT CAST(NULL AS BIGINT) AS event_id, event_type, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS begin_us, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS batch FROM e
+UNION ALL SELECT event_id, event_type, rn, b1, c1, CASE WHEN c1 + 1 = 4 THEN greatest(s2, us) + 5000000000 ELSE s2 END, CASE WHEN c1 + 1 = 4 THEN 0 ELSE c1 + 1 END, CASE WHEN c1 + 1 = 4 THEN b1 + 1 ELSE b1 END FROM (
+  SELECT *, CASE WHEN c1 = 0 AND us >= s1 + 40000000000 THEN s1 + (us - s1) // 40000000000 * 40000000000 ELSE s1 END AS s2 FROM (
+    SELECT e.event_id, e.event_type, e.rn, e.us, CASE WHEN r.items > 0 AND e.us >= r.begin_us + 40000000000 THEN r.begin_us + 45000000000 ELSE r.begin_us END AS s1,
+      CASE WHEN r.items > 0 AND e.us >= r.begin_us + 40000000000 THEN 0 ELSE r.items END AS c1, CASE WHEN r.items > 0 AND e.us >= r.begin_us + 40000000000 THEN r.batch + 1 ELSE r.batch END AS b1
+    FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1)))
+SELECT event_id, event_type, batch_no, position FROM r WHERE rn > 0"""
+
+
+@query(_LOOP.format(e=_E.format(k="event_type")))
+def microbatch_worker(spark: SparkSession, d: str) -> DataFrame:
+    rows = resilience.worker_batches(events(spark, d), ["event_type"], ["ts", "event_id"], "us", WorkerBatcher(4, 40_000_000_000, 5_000_000_000))
+    return rows.select("event_id", "event_type", "batch_no", "position")
+
+
 @query(
     f"""WITH RECURSIVE {_E.format(k="event_type")},
 r AS (SELECT event_id, event_type, rn, us AS first, CAST(0 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS position FROM e WHERE rn = 1
@@ -531,13 +690,55 @@ def route_fallback(spark: SparkSession, d: str) -> DataFrame:
     return resilience.fall_back(ids, outcomes).fillna(False, ["is_fallback"])
 
 
+@query(
+    """WITH c AS (SELECT doc_id, unnest(range(0, 4)) AS attempt FROM documents),
+h AS (SELECT doc_id, attempt, CAST(attempt >= doc_id % 6 AS BOOLEAN) AS ok FROM c),
+g AS (SELECT doc_id, min(attempt) FILTER (ok) AS won FROM h GROUP BY 1),
+d AS (SELECT d.doc_id, g.won, md5(coalesce(text, '')) AS code FROM documents d JOIN g USING (doc_id))
+SELECT doc_id AS id, CASE WHEN won IS NULL THEN 'DEAD' ELSE 'DELIVERED' END AS status, CAST(coalesce(won, 4) AS INTEGER) AS retry_count,
+  CASE WHEN won IS NOT NULL THEN round(('0x' || substr(code, 1, 4))::BIGINT / 32768.0 - 1, 6) END AS first_component FROM d"""
+)
+def delivered_or_dead(spark: SparkSession, d: str) -> DataFrame:
+    """Every task of the texts ends in results or dead letters; the number of its attempts follows from its id."""
+    tasks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("tenant_id"), "text")
+
+    def provider(rows: DataFrame) -> DataFrame:
+        made = mock_embeddings(rows, 16, 0)
+        return made.withColumn("ok", F.col("retry_count") >= F.col("id") % 6).withColumn("error", F.when(~F.col("ok"), "transient"))
+
+    done, dead = attempts(tasks, provider)
+    rows = done.select("id", F.lit("DELIVERED").alias("status"), "retry_count", F.round(F.col("embedding")[0], 6).alias("first_component"))
+    return rows.unionByName(dead.select("id", F.lit("DEAD").alias("status"), "retry_count", F.lit(None).cast("double").alias("first_component")))
+
+
 @query()
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Every task ends delivered or dead after its retries; failures come from a hash, which DuckDB does not have."""
+    """Vectors of all texts by the mock provider with its failures, which come from a CRC that DuckDB does not have; a test repeats it."""
     tasks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("tenant_id"), "text")
-    attempts = tasks.withColumn("retry_count", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    tried = mock_embeddings(attempts).select("id", (F.col("retry_count") + 1).alias("attempt"), "ok")
-    return resilience.retry_outcomes(tried, ["id"])
+    done, dead = attempts(tasks, lambda rows: mock_embeddings(rows, 16, 40))
+    out = done.select("id", "retry_count", F.lit("DELIVERED").alias("status"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"))
+    return out.unionByName(dead.select("id", "retry_count", F.lit("DEAD").alias("status"), F.lit(None).cast("double").alias("vector_sum")))
+
+
+@query("SELECT user_id % 4 AS tenant_id, event_type AS id, event_id AS batch, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY event_id DESC) = 1")
+def result_store(spark: SparkSession, d: str) -> DataFrame:
+    """The last result per tenant and id."""
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("tenant_id"), F.col("event_type").alias("id"), F.col("event_id").alias("batch"), "value")
+    return latest_results(rows)
+
+
+@query(
+    f"""WITH {_E.format(k="user_id")}, a AS (SELECT user_id, us, (rn - 1) // 4 AS task, (rn - 1) % 4 + 1 AS attempt, event_type NOT IN ('error', 'view', 'click') AS ok FROM e),
+h AS (SELECT min(us) + (max(us) - min(us)) // 2 AS stop FROM a),
+g AS (SELECT user_id, task, min(attempt) FILTER (ok AND us <= stop) AS won, count(*) FILTER (NOT ok AND us <= stop) AS failed FROM a CROSS JOIN h GROUP BY 1, 2)
+SELECT user_id, task, least(coalesce(won - 1, failed), 4) AS retry_count, CASE WHEN won IS NULL AND failed > 3 THEN 'DEAD' WHEN won IS NOT NULL THEN 'DELIVERED' ELSE 'PENDING' END AS status FROM g"""
+)
+def drain_at_stop(spark: SparkSession, d: str) -> DataFrame:
+    """What is delivered, dead and still pending when the worker stops half way through the log."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    log = events(spark, d).withColumn("n", number).select("user_id", "us", F.floor(F.col("n") / 4).alias("task"), (F.col("n") % 4 + 1).alias("attempt"), (~F.col("event_type").isin("error", "view", "click")).alias("ok"))
+    ends = log.agg(F.min("us").alias("a"), F.max("us").alias("b")).head()
+    return resilience.outcomes_at(log, ["user_id", "task"], "us", F.lit(ends["a"] + (ends["b"] - ends["a"]) // 2))
 
 
 # Learning ------------------------------------------------------------------------------------------------------

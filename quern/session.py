@@ -1,13 +1,15 @@
-"""Getting the package onto executors."""
+"""Getting the package onto executors, and staged tables in the folder that all of them share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +27,48 @@ def ship(spark: SparkSession) -> None:
             z.write(path, Path(home.name) / path.relative_to(home))
     context.addPyFile(str(target))
     context._quern_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session; a temporary one only in local mode, where none need be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_quern_shared_dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.sparkContext._quern_shared_dir = base
+    return base.rstrip("/")
+
+
+#: Staged tables that are not dropped yet, in the order in which they were written.
+_STAGED: list[str] = []
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back with its schema.
+
+    The table stays until ``release`` or the end of the process.
+    """
+    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(release, spark)
+    _STAGED.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staged() -> int:
+    """A mark for ``release``: how many staged tables there are."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drops the tables staged since a mark; call it once what was computed from them is written or collected."""
+    while len(_STAGED) > since:
+        path = _STAGED.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is already gone; the shared folder's owner cleans up
+            pass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,19 +61,56 @@ def write_dead_letters(rows: DataFrame, path: str, max_retries: int = 3) -> Data
     return rows.filter(F.col("retry_count") <= max_retries)
 
 
-def mock_embeddings(tasks: DataFrame, dimension: int = 16, fail_percent: int = 10) -> DataFrame:
+def mock_embeddings(tasks: DataFrame, dimension: int = 1536, fail_percent: int = 10, batch: str = "id") -> DataFrame:
     """``tasks`` (id, tenant_id, text, retry_count) plus embedding, ok, error; the same on every run.
 
-    An attempt fails by a hash of id and attempt. The key travels with its vector,
-    so nothing is matched by position.
+    An attempt fails, with all the rows that share its ``batch``, by the CRC of
+    batch and attempt; components are digits of the text's MD5 and of their place,
+    so SQL can say the same. The key travels with its vector, so nothing is
+    matched by position.
     """
-    roll = F.pmod(F.xxhash64("id", "retry_count"), F.lit(100))
-    part = lambda i: (F.pmod(F.xxhash64("text", i), F.lit(2_000_001)) - 1_000_000) / 1_000_000.0
+    roll = F.crc32(F.concat_ws("|", F.col(batch).cast("string"), F.col("retry_count").cast("string")).cast("binary")) % 100
+    code = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    part = lambda i: F.conv(F.substring(code, (i - 1) % 29 + 1, F.lit(4)), 16, 10).cast("long") / 32768.0 - 1 + F.floor((i - 1) / 29) / 100.0
     ok = roll >= fail_percent
     vector = F.transform(F.sequence(F.lit(1), F.lit(dimension)), part)
     return tasks.withColumn("ok", ok).withColumn("embedding", F.when(ok, vector)).withColumn("error", F.when(~ok, F.lit("transient")))
 
 
+#: Fixed value: the relevance of a mock document.
+MOCK_RELEVANCE = 0.8
+
+
+def mock_documents(asked: DataFrame) -> DataFrame:
+    """One document per row of (user_query, sub_query): its text and relevance; a fetch for search loops."""
+    return asked.select("user_query", "sub_query", F.concat(F.lit("document for "), "sub_query").alias("content"), F.lit(MOCK_RELEVANCE).alias("relevance"))
+
+
+def with_model(requests: DataFrame, invoke, column: str = "prompt") -> DataFrame:
+    """``requests`` plus response, ok, error and latency_ms of ``invoke``, a function from one text to one text.
+
+    A call that fails marks its own row; a null prompt is not sent and fails.
+    """
+    ship(requests.sparkSession)
+    schema = requests.selectExpr("*", "cast(null as string) as response", "true as ok", "cast(null as string) as error", "cast(0 as double) as latency_ms").schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for prompt in b[column].tolist():
+                began = time.perf_counter()
+                try:
+                    if prompt is None:
+                        raise ValueError("no prompt")
+                    got = (invoke(prompt), True, None)
+                except Exception as e:  # noqa: BLE001  a provider may fail in any way
+                    got = (None, False, str(e))
+                out.append((*got, round(1000 * (time.perf_counter() - began), 2)))
+            yield b.assign(**{n: [r[k] for r in out] for k, n in enumerate(("response", "ok", "error", "latency_ms"))})
+
+    return requests.mapInPandas(run, schema)
+
+
 def with_provider(tasks: DataFrame, embed, dimension: int) -> DataFrame:
     """``tasks`` plus the vectors of ``embed``, a function from a list of texts to vectors, called once per Arrow batch.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quern.session import ship
+from quern.session import release, ship, stage, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,25 +71,61 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def start_once(spark: SparkSession, name: str, start):
+    """The running query of this name, or the one that ``start(name)`` starts: a second start changes nothing."""
+    for query in spark.streams.active:
+        if query.name == name:
+            return query
+    return start(name)
+
+
+def attempts(tasks: DataFrame, provider, max_retries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Delivered rows and dead ones after ``max_retries`` further attempts; together they are ``tasks``.
+
+    ``provider`` maps a DataFrame of tasks with retry_count to one with ok and
+    error added. What an attempt gave is written before anything is derived from
+    it, so the provider runs once per attempt and row, and need not repeat itself.
+    A null ``ok`` is a failure.
+    """
+    from pyspark.sql import functions as F
+
+    spark, todo, done = tasks.sparkSession, tasks, None
+    for attempt in range(max_retries + 1):
+        tried = provider(todo.withColumn("retry_count", F.lit(attempt)))
+        tried = stage(spark, tried.withColumn("ok", F.coalesce("ok", F.lit(False))), f"attempt-{attempt}")
+        done = tried.filter("ok") if done is None else done.unionByName(tried.filter("ok"))
+        failed = tried.filter("not ok")
+        if attempt == max_retries or failed.isEmpty():
+            return done, failed.withColumn("retry_count", F.lit(attempt + 1))
+        todo = failed.select(*tasks.columns)
+
+
 def deliver(stream: DataFrame, provider, results: str, dead: str, checkpoint: str, max_retries: int = 3):
     """Runs a provider over every micro-batch: delivered rows go to ``results``, failed ones, after their retries, to ``dead``.
 
-    ``provider`` maps a DataFrame of (id, tenant_id, text, retry_count) to one
-    with ok and error added. Retries happen within the batch, so every input row
-    ends in exactly one of the two tables, and a restarted query rewrites a
-    batch's own folders instead of adding to them.
+    Retries happen within the batch, so every input row ends in exactly one of
+    the two tables, and a restarted query rewrites a batch's own folders instead
+    of adding to them; a stopped query leaves a batch to be run again, never lost.
     """
-    from pyspark.sql import functions as F
 
     def batch(df: DataFrame, number: int) -> None:
-        todo, done = df, None
-        for attempt in range(max_retries + 1):
-            tried = provider(todo.withColumn("retry_count", F.lit(attempt)))
-            ok = tried.filter("ok")
-            done = ok if done is None else done.unionByName(ok)
-            todo = tried.filter("not ok").select(*df.columns)
-            last = tried.filter("not ok")
+        mark = staged()
+        tasks = stage(df.sparkSession, df, "tasks")  # the source is read once
+        done, failed = attempts(tasks, provider, max_retries)
         done.write.mode("overwrite").parquet(f"{results}/batch={number}")
-        last.withColumn("retry_count", F.lit(max_retries + 1)).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        failed.write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        release(df.sparkSession, mark)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_results(results: DataFrame, keys: tuple[str, ...] = ("tenant_id", "id"), version: str = "batch") -> DataFrame:
+    """The result store: one row per key, the last written one.
+
+    Tenants do not overwrite each other's ids; ``keys=("id",)`` gives the store that lets them.
+    """
+    from pyspark.sql import functions as F
+
+    rest = [c for c in results.columns if c not in keys]
+    best = results.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("row"))
+    return best.select(*keys, *(F.col("row")[c].alias(c) for c in rest))
