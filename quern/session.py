@@ -51,11 +51,25 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     The table stays until ``release`` or the end of the process.
     """
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    keep(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Counts the table at ``path`` among the staged ones."""
     if not _STAGED:
         atexit.register(release, spark)
     _STAGED.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is already gone; the shared folder's owner cleans up
+        pass
 
 
 def staged() -> int:
@@ -66,9 +80,4 @@ def staged() -> int:
 def release(spark: SparkSession, since: int = 0) -> None:
     """Drops the tables staged since a mark; call it once what was computed from them is written or collected."""
     while len(_STAGED) > since:
-        path = _STAGED.pop()
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is already gone; the shared folder's owner cleans up
-            pass
+        drop(spark, _STAGED.pop())
