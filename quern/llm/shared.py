@@ -1,60 +1,57 @@
 """Helpers that several training-data operators share.
 
-``stage`` cuts lineage by writing a table under the folder that the cluster
-names in ``spark.checkpoint.dir``; a lost executor then costs a re-read, never a
-recomputation of everything before it.
+``stage`` (of the package's session module) cuts lineage by writing a table under
+the folder that the cluster names in ``spark.checkpoint.dir``; a lost executor
+then costs a re-read, never a recomputation of everything before it. Operators
+take any input columns: those they add inside have names that the table lacks
+(``free_names``), and those they return must not be there already
+(``refuse_clash``). Null values, empty tables and repeated rows pass through the
+helpers here unchanged.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import release, ship, stage, staged
+
+__all__ = ["documents", "free_names", "held_out", "let", "only", "refuse_clash", "release", "slices", "small_batches", "stage", "staged", "texts_of", "training_sample"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are kept small.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only in local mode, where none need be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_quern_shared_dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.sparkContext._quern_shared_dir = base
-    return base.rstrip("/")
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back with its schema."""
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until no column of the table (in any case) has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is already gone; the shared folder's owner cleans up
-        pass
+def refuse_clash(columns: list[str], *outputs: str) -> None:
+    """An error if the table has a column that an operator would add."""
+    both = {c.lower() for c in columns} & {c.lower() for c in outputs}
+    if both:
+        raise ValueError(f"the table has columns named as the result's: {sorted(both)}; name others")
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Ready the session for Python workers: the package goes with the tasks, and Arrow batches are bounded."""
+    """Ready the session for Python workers: the package goes with the tasks, and Arrow batches are bounded.
+
+    A smaller bound that the session has stays.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def slices(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
