@@ -16,10 +16,13 @@ class, and one representative of a class goes on.
   representative it reaches; these become components.
 
 Nulls and limits: a null text is the empty text; a text without words has no
-links and is a class of its own, as has every row with a null ``doc_id`` (its
-class is null); rows that repeat a ``doc_id`` are each kept and judged by their
-own text; nothing is capped, a gathering of any size is dealt into more chunks;
-columns beyond ``doc_id`` and ``text`` are not read; an empty table gives no rows.
+links, and every row with one is a class of its own; rows with a null ``doc_id``
+take part by their texts (a class of such rows alone has a null ``class_id``);
+rows that repeat a ``doc_id`` are each judged by their own text; texts of any
+length are whole; of equal texts, the smallest ``doc_id`` names the class;
+nothing is capped, a gathering of any size is dealt into more chunks; columns
+beyond ``doc_id`` and ``text`` are not read, whatever their names, and
+``one_of_each`` passes them through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import documents, only, slices, small_batches, stage, texts_of
+from quern.llm.shared import documents, free_names, only, slices, small_batches, stage, texts_of
 from quern.llm.textkernel import SPACES, Tokens, grams, mix
 
 
@@ -216,7 +219,6 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     spark, p = docs.sparkSession, params
     small_batches(spark)
     rows = only(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("th"))
-    known = rows.filter("doc_id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,19 +229,19 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
                 sig = signatures(hashes, edges, p.size)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(edges), pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary())], ["doc_id", "th", "k1", "k2", "n", "sig"])
 
-    signed = stage(spark, known.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, sig binary"), "jaccard-signed")
-    reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    signed = stage(spark, rows.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, sig binary"), "jaccard-signed")
+    reps = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.min("th").alias("th"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     reps = stage(spark, reps, "jaccard-reps")
 
     # A set goes by its key from here on: one doc_id may stand before several texts.
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * p.rows) + 1, F.lit(4 * p.rows))))
-    postings = reps.select(F.col("k1").alias("rep"), "doc", "n", F.explode(bands).alias("band"))
+    postings = reps.select(F.col("k1").alias("rep"), "doc", "th", "n", F.explode(bands).alias("band"))
     shared = postings.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("band", "hub")
     shared = stage(spark, shared, "jaccard-buckets")
-    members = stage(spark, postings.join(shared, "band").groupBy("hub", "rep").agg(F.max("n").alias("n"), F.min("doc").alias("doc")), "jaccard-members")
+    members = stage(spark, postings.join(shared, "band").groupBy("hub", "rep").agg(F.max("n").alias("n"), F.min("doc").alias("doc"), F.min("th").alias("th")), "jaccard-members")
     sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     sizes = stage(spark, sizes.select("hub", F.greatest(F.ceil(F.col("m") / p.chunk), F.ceil(F.col("s") / p.chunk_shingles)).cast("int").alias("parts")), "jaccard-sizes")
-    gathered = members.join(sizes, "hub").groupBy("rep").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("hub", "parts")).alias("hubs"))  # at most one per band
+    gathered = members.join(sizes, "hub").groupBy("rep").agg(F.min("doc").alias("doc"), F.min("th").alias("th"), F.collect_list(F.struct("hub", "parts")).alias("hubs"))  # at most one per band
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +253,11 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
                 # Other texts under the same doc_id are not meant.
                 yield out.filter(pa.array(set_keys(hashes, edges)[0].view(np.int64) == out.column(0).to_numpy()))
 
-    texts = known.withColumnRenamed("doc_id", "doc").join(gathered, "doc").select("rep", "text", "hubs")
+    known = rows.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    texts = known.join(gathered.drop("th"), "doc").select("rep", "text", "hubs")
+    # A set that only rows without an id hold is found by the hash of one of its texts.
+    nameless = rows.filter("doc_id is null").select("th", "text").join(gathered.filter("doc is null").drop("doc"), "th").dropDuplicates(["rep"])
+    texts = texts.unionByName(nameless.select("rep", "text", "hubs"))
     sets = texts.mapInArrow(expand, "rep long, hubs array<struct<hub:long,parts:int>>, sig binary, shingles binary")
     part = F.pmod(F.xxhash64("rep"), F.col("h.parts")).cast("int")
     dealt = sets.withColumn("h", F.explode("hubs")).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h.parts") - 1)))
@@ -285,21 +291,25 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     copied = sets.filter("rows > 1").join(counts.withColumnRenamed("rep", "k1"), "k1", "left_anti").select("k1", "k2", F.col("k1").alias("key"), F.col("doc").alias("class_id"), "rows", F.lit(0).cast("long").alias("n_links"))
     classes = stage(spark, linked_sets.union(copied), "jaccard-classes")
     result = signed.select("doc_id", "th", "k1", "k2", "n").join(classes, ["k1", "k2"], "left")
-    result = result.select("doc_id", "th", F.when(F.col("n") > 0, F.coalesce("key", "k1")).alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("rows", F.lit(1)) - 1).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = rows.filter("doc_id is null").select("doc_id", "th", F.lit(None).cast("long").alias("class_key"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return result.unionByName(alone)
+    return result.select("doc_id", "th", F.when(F.col("n") > 0, F.coalesce("key", "k1")).alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("rows", F.lit(1)) - 1).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+#: A text without words: nothing but ASCII white space.
+WORDLESS = r"^[ \t\n\r\f\x0b]*$"
 
 
 def one_of_each(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """The row with the smallest ``doc_id`` of every class (of several texts under it, one), with all its columns; rows without ``doc_id`` stay."""
+    """One row of every class, with all its columns: that of the smallest ``doc_id`` (of several texts under it, one); rows without words all stay."""
     spark = docs.sparkSession
-    found = near_duplicates(docs, params).filter("doc_id is not null")
-    first = found.filter("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.*")
-    wordless = found.filter("class_key is null").select("doc_id", "th").distinct()
-    first = stage(spark, first.union(wordless).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "jaccard-first")
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = hashed.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__th"))).dropDuplicates(["__id", "__th"])
-    return kept.drop("__id", "__th", "__hash").unionByName(docs.filter("doc_id is null"))
+    found = near_duplicates(docs, params).filter("class_key is not null")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("first")
+    id_, th, own = free_names(docs.columns, "id", "th", "hash")
+    first = found.groupBy("class_key").agg(best).select(F.col("first.doc_id").alias(id_), F.col("first.th").alias(th))
+    first = stage(spark, first, "jaccard-first")
+    wordless = F.coalesce(F.col("text").rlike(WORDLESS), F.lit(True))
+    hashed = docs.filter(~wordless).withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th))).dropDuplicates([id_, th])
+    return kept.drop(id_, th, own).unionByName(docs.filter(wordless))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
