@@ -6,19 +6,24 @@ space, and with backoff factor a
     S(w | context) = count(context w) / count(context)   if the n-gram is in its table,
                      a * S(w | shorter context)          else; S(w) = count(w) / N.
 
-Tables of two words and more hold what the corpus has at least ``least`` times.
-The join is relational, on packed rows: documents are gathered into blocks; a
-block's distinct n-grams with their counts go, sorted, to the partition that
-their hash names; a partition adds the counts of all blocks and answers every
-block with its n-grams' totals; a block then looks its exploded n-grams up and
-sums the logarithms per document. Pre-aggregation by block keeps the most
-frequent n-gram at one entry per block, and n-grams of three words and more are only
-asked for where both their parts are in the table, since no others can be. Blocks and partitions are bounded; their number grows with the corpus.
+Tables hold every n-gram of the corpus; a caller may ask for those of two words
+and more that it has at least ``least`` times. ``count_tables`` gives them as
+plain rows. For scores the join is relational on packed rows: documents are
+gathered into blocks; a block's distinct n-grams with their counts go, sorted, to
+the partition that their hash names; a partition is one part of a count table,
+which it makes by adding the counts of all blocks, and joins to the n-grams asked
+for; a block then sums the logarithms of its exploded n-grams per document.
+Pre-aggregation by block keeps the most frequent n-gram at one entry per block.
+With ``least`` above 1, n-grams of three words and more are only asked for where
+both their parts are in the table, since no others can be. Blocks and partitions
+are bounded in words; their number grows with the corpus, and a message between
+the two holds fewer entries the larger the corpus is.
 
 Nulls and limits: a null text is the empty text; a text without words scores 0
 with a null mean; rows with a null ``doc_id`` count and are scored; repeated
-rows count each and are scored each; texts of any length are whole; columns
-beyond ``doc_id`` and ``text`` are not read; an empty table gives no rows.
+rows count each and are scored each; texts of any length are whole; equal texts
+have equal scores; columns beyond ``doc_id`` and ``text`` are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,15 +45,18 @@ from quern.llm.textkernel import SPACES, Tokens, mix
 @dataclass(frozen=True)
 class ScoringParams:
     order: int = 3
-    least: int = 2
+    least: int = 1
     backoff: float = 0.4
     block_words: int = 1_000_000
     part_words: int = 4_000_000
 
+    @property
+    def at_once(self) -> int:
+        """Orders that are asked for together, before any answer is known: all, unless tables leave something out."""
+        return self.order if self.least <= 1 else min(2, self.order)
+
 
 _CODEC = "zstd"
-#: Orders that are asked for together, before any answer is known.
-AT_ONCE = 2
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -107,7 +115,7 @@ class Block:
         """Distinct n-grams to ask for, ascending, and each position's place among them (or -1)."""
         grams = ngrams(self.words, self.first, n)
         wanted = grams > 0
-        if n > AT_ONCE:  # both parts of n - 1 words must be frequent
+        if n > self.p.at_once:  # both parts of n - 1 words must be frequent
             frequent = self.counts[n - 2] >= self.p.least
             wanted &= frequent & np.append(False, frequent[:-1])
         distinct, inverse = np.unique(grams[wanted], return_inverse=True)
@@ -214,7 +222,7 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
         for b in batches:
             for row in b.to_pylist():
                 opened_ = Block(row, parts, {}, 0, p)
-                for n in range(1, min(AT_ONCE, p.order) + 1):
+                for n in range(1, p.at_once + 1):
                     rows = [r | {"n": n} for r in opened_.requests(row["block"], n)]
                     yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
 
@@ -224,7 +232,7 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
     small_batches(spark, 1)  # a row is a block
     answers = counted(blocks.mapInArrow(begin, asking), "first")
     small_batches(spark)
-    for n in range(AT_ONCE + 1, p.order + 1):
+    for n in range(p.at_once + 1, p.order + 1):
         requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), asking)
         answers = answers.unionByName(counted(requests, str(n)))
 
@@ -236,15 +244,24 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
 
 
-def op4_scoring(spark: SparkSession, sf_dir: str, params: ScoringParams = ScoringParams()) -> DataFrame:
-    scored = backoff_scores(documents(spark, sf_dir), params)
-    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log_score"))
+def count_tables(docs: DataFrame, params: ScoringParams = ScoringParams()) -> DataFrame:
+    """n, words (array), count: the corpus's n-grams as plain rows, one table per n, partitioned by the n-gram's hash.
 
+    Two aggregations per n-gram: within tasks first, so a frequent one is one row a task.
+    """
+    p = params
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f\\x0b]+"), lambda w: w != "")
+    rows = only(docs, text="string").select(words.alias("w"))
+    at = rows.select("w", F.explode(F.sequence(F.lit(1), F.lit(p.order))).alias("n")).filter("size(w) >= n")
+    grams = at.select("n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i")).select("n", F.slice("w", F.col("i"), F.col("n")).alias("words"))
+    counted = grams.groupBy("n", "words").agg(F.count("*").alias("count"))
+    return counted.filter((F.col("n") == 1) | (F.col("count") >= p.least))
 
-def op4_scoring_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores by full tables: n-grams seen once count too."""
-    return op4_scoring(spark, sf_dir, ScoringParams(least=1))
+
+def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_scores(documents(spark, sf_dir))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log_score"))
 
 
 #: The same scores in DuckDB's SQL, order 3.
@@ -257,8 +274,8 @@ WITH t AS (
 ), p2 AS (
   SELECT doc_id, i, w3, CASE WHEN i > 1 THEN w2 END AS w2, CASE WHEN i > 2 THEN w1 END AS w1 FROM p
 ), c1 AS (SELECT w3 AS a, count(*) AS n FROM p2 GROUP BY 1),
-c2 AS (SELECT w2 AS a, w3 AS b, count(*) AS n FROM p2 WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
-c3 AS (SELECT w1 AS a, w2 AS b, w3 AS c, count(*) AS n FROM p2 WHERE w1 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+c2 AS (SELECT w2 AS a, w3 AS b, count(*) AS n FROM p2 WHERE w2 IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT w1 AS a, w2 AS b, w3 AS c, count(*) AS n FROM p2 WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
 total AS (SELECT count(*) AS n FROM p2),
 s AS (
   SELECT p2.doc_id,
@@ -275,6 +292,3 @@ SELECT t.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_words, round(coalesce(g.s
        CASE WHEN g.n > 0 THEN round(g.s / g.n, 6) END AS mean_log_score
 FROM t LEFT JOIN g USING (doc_id)
 """
-
-#: By full tables.
-SCORING_FULL_SQL = SCORING_SQL.replace(" HAVING count(*) >= 2", "")
