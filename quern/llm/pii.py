@@ -2,24 +2,31 @@
 
 One pattern finds candidates: e-mail addresses, IPv4 addresses, phone, card and
 social security numbers, bank account numbers (IBAN), dates, and secret keys.
-Each is validated by its own rule (Luhn, modulo 97, calendar, octet range) and,
-if valid, replaced by a keyed permutation of its value within its format:
+Each is validated by its own rule (Luhn, modulo 97, calendar, octet range, the
+numbers that a social security or phone number may have) and, if valid, replaced
+by a keyed permutation of its value within its format, which is valid again:
 
 * strings of letters and digits by a Feistel network on the two halves of their
   letters and digits, whose round function shifts every character within its
   class (digit, small, capital); length, punctuation and case stay;
 * card numbers keep their first digit, permute the middle, and get a new check
   digit; IBANs get new check digits;
-* addresses by a Feistel network on two 16-bit halves; dates by one on
-  250 x 292 = 73,000 days from 1900-01-01, so results are dates again.
+* addresses by a Feistel network on two 16-bit halves; social security numbers by
+  one on 898 x 99 areas and groups and 9,999 serials; phone numbers of ten digits
+  by one on 800 areas, 1,000 exchanges and 10,000 lines, others digit by digit
+  behind their country code (7 to 15 digits together);
+* dates by one on the 250 x 292 days from 1900-01-01 on, all other dates of the
+  years 1 to 9999 by one on the remaining 1,331 x 2,689 days.
 
 A permutation never maps two values to one, and equal values (in any of a
 format's spellings) stay linked across documents. What is not valid stays.
 
 Nulls and limits: a null text stays null; an empty text stays empty; any number
 of findings in a text of any length is replaced; repeated rows get equal
-results; a null ``doc_id`` is kept; all other columns pass through unread,
-whatever their names (``into`` names the new one); an empty table gives no rows.
+results; a null ``doc_id`` is kept; where two kinds could begin at one place the
+first in the order of ``KINDS`` is taken; all other columns pass through unread,
+whatever their names (``into`` names the new one, which must not be there yet);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,25 +36,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, let
+from quern.llm.shared import documents, free_names, let, refuse_clash
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the kinds, tried in this order. All repetitions are bounded, so matching needs bounded stack and time.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){1,6}",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\w|[-.]\d)",
-    "phone": r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d)",
+    "phone": r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?<!\d )[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}(?! \d))(?!\w|-\d)",
     "card": r"(?<!\w)(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "secret": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<=(?i:token|secret|key|password|passwd) ?[=:] ?[\"'])[A-Za-z0-9_+/-]{16,128}(?=[\"'])",
+    "secret": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-)[A-Za-z0-9-]{8,128}(?!\w)"
+    # What is named a secret: in quotes, or with letters and digits both.
+    r"|(?<=(?i:token|secret|key|password|passwd|pwd) ?[=:] ?[\"']?)(?:[A-Za-z0-9_+/-]{16,128}(?=[\"'])|(?=[A-Za-z_+/-]{0,127}\d)(?=[\d_+/-]{0,127}[A-Za-z])[A-Za-z0-9_+/-]{8,128}(?![A-Za-z0-9_+/-]))",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without these holds nothing to find.
-HINT = r"\d[\d .()/-]{4,}\d|@|AKIA|ASIA|[=:] ?[\"']"
+HINT = r"\d[\d .()/-]{4,}\d|@|AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|(?i:token|secret|key|password|passwd|pwd) ?[=:]"
+#: Beginnings of keys that say whose they are.
+PREFIX = r"^(?:AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-)"
 ROUNDS = 6
-DAY_SIDES = (250, 292)
+#: Days from 1900-01-01 on that are permuted among themselves, and the other days of the years 1 to 9999.
+DAY_SIDES, FAR_SIDES = (250, 292), (1331, 2689)
+#: Days from 0001-01-01 to 1900-01-01.
+BEFORE_1900 = 693595
 
 
 def _number(hex_digits: Column) -> Column:
@@ -121,7 +135,6 @@ def _bare(text: Column) -> Column:
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a string of digits, doubling every second from the right, the last not doubled."""
 
-
     def one(total: Column, v: Column) -> Column:
         d = v["d"].cast("int")
         twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
@@ -173,31 +186,61 @@ def _date(value: Column, key: str) -> Column:
     year = F.when(iso, first).otherwise(F.get(part, F.lit(2)))
     month = F.when(iso | ~month_first, second).otherwise(first)
     day = F.when(iso, F.get(part, F.lit(2))).when(month_first, second).otherwise(first)
-    days = F.datediff(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
-    a, b = DAY_SIDES
-    p = permute_pair(F.floor(days / b), days % b, DAY_SIDES, key, "date")
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
     mark = F.when(F.contains(value, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
     # Two digits where the value has them or where the new number needs them.
     two = lambda x, like: F.when(F.length(like) == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
 
     def written(new: Column) -> Column:
         x, y = F.when(month_first, F.month(new)).otherwise(F.day(new)), F.when(month_first, F.day(new)).otherwise(F.month(new))
-        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(two(x, first), mark, two(y, second), mark, F.year(new).cast("string")))
-
-    out = let(let(p, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * b + x["r"]).cast("int"))), written)
-    return F.when((days >= 0) & (days < a * b), out).otherwise(value)
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(two(x, first), mark, two(y, second), mark, F.lpad(F.year(new).cast("string"), 4, "0")))
+
+    def moved(days: Column) -> Column:
+        """The new date of a number of days since 0001-01-01."""
+        near = DAY_SIDES[0] * DAY_SIDES[1]
+        at = days - BEFORE_1900
+        inner = permute_pair(F.floor(at / DAY_SIDES[1]), F.pmod(at, F.lit(DAY_SIDES[1])), DAY_SIDES, key, "date")
+        rest = F.when(days < BEFORE_1900, days).otherwise(days - near)
+        outer = permute_pair(F.floor(rest / FAR_SIDES[1]), F.pmod(rest, F.lit(FAR_SIDES[1])), FAR_SIDES, key, "far date")
+        later = lambda x: F.when(x < BEFORE_1900, x).otherwise(x + near)
+        number = F.when((at >= 0) & (at < near), let(inner, lambda x: x["l"] * DAY_SIDES[1] + x["r"] + BEFORE_1900)).otherwise(let(let(outer, lambda x: x["l"] * FAR_SIDES[1] + x["r"]), later))
+        return F.date_add(F.lit("0001-01-01").cast("date"), number.cast("int"))
+
+    days = F.datediff(date, F.lit("0001-01-01").cast("date"))
+    out = let(days, lambda n: F.when((n >= 0) & (n < BEFORE_1900 + DAY_SIDES[0] * DAY_SIDES[1] + (FAR_SIDES[0] * FAR_SIDES[1] - BEFORE_1900)), let(moved(n), written)))
+    return F.coalesce(out, value)
+
+
+def _ssn(value: Column, key: str) -> Column:
+    """Areas 001 to 899 but 666, groups and serials from 1 on."""
+    part = F.split(value, "-")
+    number = lambda k: F.get(part, F.lit(k)).cast("int")
+    area = F.when(number(0) < 666, number(0) - 1).otherwise(number(0) - 2)
+    p = permute_pair(area * 99 + number(1) - 1, number(2) - 1, (898 * 99, 9999), key, "ssn")
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    wide = lambda x: F.when(x < 665, x + 1).otherwise(x + 2)
+    return let(p, lambda x: F.concat_ws("-", padded(wide(F.floor(x["l"] / 99)), 3), padded(x["l"] % 99 + 1, 2), padded(x["r"] + 1, 4)))
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays; the digits after it are permuted."""
-    code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))?", 0)
+    """The country code stays (two digits, where nothing parts it from the rest); what follows is permuted."""
+    code = F.regexp_extract(value, r"^(?:\+1(?=[ .-]?\(?[2-9])|\+\d{1,3}(?=[ .(-])|\+\d{2}(?=\d))?", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _fill(rest, permute_text(_bare(rest), key, "phone")))
+    digits = _bare(rest)
+    ten = digits.rlike(r"^[2-9]\d{9}$") & code.isin("", "+1")
+    number = lambda a, n: F.substring(digits, a, n).cast("int")
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    pair = permute_pair((number(1, 3) - 200) * 1000 + number(4, 3), number(7, 4), (800_000, 10_000), key, "phone")
+    local = let(pair, lambda x: F.concat((F.floor(x["l"] / 1000) + 200).cast("string"), padded(x["l"] % 1000, 3), padded(x["r"], 4)))
+    new = F.when(ten, local).otherwise(permute_text(digits, key, "phone"))
+    size = F.length(_bare(value))
+    # Ten digits without a code must be such a number, unless brackets mark the area.
+    return F.when(size.between(7, 15) & (ten | (code != "") | F.contains(value, F.lit("("))), F.concat(code, _fill(rest, new))).otherwise(value)
 
 
 def _token(value: Column, key: str) -> Column:
     """Secrets: a known prefix stays, and hexadecimal strings (of small letters) stay hexadecimal."""
-    fixed = F.when(value.rlike("^(AKIA|ASIA)"), F.substring(value, 1, 4)).otherwise(F.lit(""))
+    fixed = F.regexp_extract(value, PREFIX, 0)
     rest = F.substring(value, F.length(fixed) + 1, F.length(value))
     small = F.when(value.rlike("^[0-9a-f]+$"), 6).otherwise(26)
     return F.concat(fixed, _fill(rest, permute_text(_bare(rest), key, "secret", small)))
@@ -212,7 +255,7 @@ def _email(value: Column, key: str) -> Column:
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a finding; a finding that is not valid is its own."""
-    by = {"email": _email, "ip": _ip, "ssn": lambda v, k: _fill(v, permute_text(_bare(v), k, "ssn")), "date": _date, "phone": _phone, "card": _card, "iban": _iban, "secret": _token}
+    by = {"email": _email, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card, "iban": _iban, "secret": _token}
     out = F.when(F.lit(False), value)
     for name, rule in by.items():
         out = out.when(kind == name, rule(value, key))
@@ -228,15 +271,17 @@ def kind_of(value: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with ``text`` rewritten, plus ``into``: array of (kind, value, pseudonym) of what was replaced, in order."""
+    refuse_clash(docs.columns, into)
     t = F.col(f"`{text}`")
-    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform("__found", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    named = F.transform("__kinds", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))
+    found, kinds, named = free_names([*docs.columns, into], "found", "kinds", "named")
+    all_ = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    each = F.transform(found, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
+    new = F.transform(kinds, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))
     between = F.split(t, ANY, -1)
-    joined = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get("__named.pseudonym", i), F.lit(""))))), "")
-    staged = docs.withColumn("__found", found).withColumn("__kinds", kinds).withColumn("__named", named)
-    out = staged.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(t)).withColumn(into, F.filter("__named", lambda s: s["value"] != s["pseudonym"]))
-    return out.drop("__found", "__kinds", "__named")
+    joined = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col(named)["pseudonym"], i), F.lit(""))))), "")
+    staged = docs.withColumn(found, all_).withColumn(kinds, each).withColumn(named, new)
+    out = staged.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t)).withColumn(into, F.filter(named, lambda s: s["value"] != s["pseudonym"]))
+    return out.drop(found, kinds, named)
 
 
 #: The key of the registered query; a deployment passes its own.
