@@ -20,8 +20,9 @@ its upper half.
 
 Nulls and limits: a null text is the empty text, one token (id 0); null
 ``doc_id`` rows are packed first; repeated rows are packed each; a text of any
-length is cut into as many windows as it needs; columns beyond ``doc_id`` and
-``text`` are not read; an empty table gives no rows.
+length is cut into as many windows as it needs; of cuts that cost the same the
+longer window wins; columns beyond ``doc_id`` and ``text`` are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,11 +52,14 @@ class PackingParams:
     forced_price: int = 6
     #: Forced cuts in a row at most, between borders.
     forced: int = 3
-    spacing: int = 24
-    stretch: int = 1 << 17
+    #: Sentences' ends closer than this to the last candidate are no candidates; 1 takes them all.
+    spacing: int = 1
+    stretch: int = 1 << 19
     end_id: int = 0
 
 
+#: What the file's "ByteLevel" pre-tokenizer stands for: a fixed pattern.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters for which both tokenizer libraries are known to split alike: Latin, Greek and Cyrillic scripts, general punctuation.
 _PLAIN = re.compile(r"[^\x00-ɏͰ-ӿ‐-‧‰-⁞₠-₿]")
 
@@ -65,7 +69,9 @@ class Encoder:
 
     Plain texts go through a faster library on the same vocabulary and merges,
     which gives the same ids; texts with other characters, or with the string of
-    a special token, go through the tokenizer itself.
+    a special token, go through the tokenizer itself. So do all texts where the
+    file asks for anything but plain byte-level pairs, merged in the order of
+    their ids.
     """
 
     def __init__(self, path: str):
@@ -88,11 +94,20 @@ class Encoder:
                 raw = bytes(byte[c] for c in piece)
                 ranks[raw] = k
                 self.ends[k] = b"\n" in raw or raw.rstrip(b" \"')").endswith((b".", b"!", b"?"))
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if self._plain(spec) else None
+
+    @staticmethod
+    def _plain(spec: dict) -> bool:
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return False
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        return merged == sorted(merged) and len(set(merged)) == len(merged)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PLAIN.search(text) or any(s in text for s in self.special):
+        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
@@ -173,7 +188,7 @@ def plan(stream: Iterator[tuple[object, np.ndarray]], sentence: np.ndarray, p: P
         ids, ends = np.concatenate(rest), np.cumsum([len(r) for r in rest])
         fixed = cuts(*borders(ids, ends, sentence, p), p)
         if not last:
-            fixed = [x for x in fixed if x <= len(ids) - 4 * p.length]
+            fixed = [x for x in fixed if x <= len(ids) - 16 * p.length]
         begin = 0
         for end in fixed:
             offset = 0
