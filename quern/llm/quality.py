@@ -8,7 +8,8 @@ over it ``epochs`` times in one task; memory is the weight table. Scoring is a
 sparse dot product per text, in Arrow batches, without a shuffle.
 
 Nulls and limits: a null text is the empty text and is scored like any other
-(by its length feature and the intercept); rows with a null ``doc_id`` are
+(by its length feature and the intercept); texts of any length are read whole;
+equal texts have equal scores; an empty table gives no rows; rows with a null ``doc_id`` are
 scored and never learned from; labels other than 0 and 1 are not learned from;
 of repeated labels for an id the larger counts; repeated documents are each
 scored; columns beyond ``doc_id`` and ``text`` are not read, whatever their

@@ -9,9 +9,13 @@ odds, less per edit, and less again where it is quoted. Weights add up within a
 window of tokens; a logistic model over the strongest window, the sum of all
 weights and their density turns this into a probability.
 
-Nulls and limits: a null text is the empty text; rows with a null ``doc_id``
-are scored and never learned from; labels other than 0 and 1 are not learned
-from; repeated rows are each scored; only ``doc_id`` and ``text`` are read.
+Nulls and limits: a null text is the empty text, which has no matches and a score
+like any other; texts of any length are scanned whole; rows with a null
+``doc_id`` are scored and never learned from; labels other than 0 and 1 are not
+learned from; repeated rows are each scored, equal texts alike; of terms that
+stand out equally the whole word, then the longer, then the first in order comes
+first; only ``doc_id`` and ``text`` are read, whatever the other columns' names,
+and ``accepted`` passes all of them through; an empty table gives no rows.
 Without labels of both kinds every document gets the same score.
 """
 
@@ -30,15 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.automaton import Automaton
-from quern.llm.shared import held_out, only, slices, small_batches, texts_of, training_sample
+from quern.llm.shared import held_out, only, slices, small_batches, stage, texts_of, training_sample
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``train_rows`` bounds the labelled rows that are learned from, ``terms`` the lexicon."""
+    """``train_rows`` bounds the labelled rows that are learned from, and with them the lexicon."""
 
     train_rows: int = 8000
-    terms: int = 400
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     #: Least log odds, and least log-likelihood ratios, of a term.
     least_odds: float = 1.5
@@ -66,7 +69,7 @@ def counted(texts: list[str], lengths: tuple[int, ...]) -> Counter:
     """Documents per word, per proper prefix of a word ('^'), and per prefix of at least two different words ('^^')."""
     out: Counter = Counter()
     for text in texts:
-        words = {w for w in _WORD.findall(text.lower()) if 2 < len(w) < 40}
+        words = set(_WORD.findall(text.lower()))
         stems = Counter(w[:n] for w in words for n in lengths if len(w) > n)
         out.update(words)
         out.update("^" + s for s in stems)
@@ -156,13 +159,24 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, p: Toxic
     model, kept = ToxicityModel(), []
     for _, stem, _, text in sorted(rated):
         bare = text.lstrip("^")
-        if not any(bare.startswith(k) or k.startswith(bare) for k in kept) and len(kept) < p.terms:
+        if not any(bare.startswith(k) or k.startswith(bare) for k in kept):
             kept.append(bare)
             model.terms.append((bare, stem))
             model.weights.append(odds.get("^" + bare, odds[text] / 2) if stem else odds[text])
     return model
 
 
+def _fewest(toxic: int, clean: int, ratio: float) -> int:
+    """The least number of toxic documents that gives a term this log-likelihood ratio, when no clean one holds it; with some it takes more."""
+    total = toxic + clean
+    for t in range(1, toxic + 1):
+        share = t / total
+        inner = t * math.log(t / (toxic * share)) + ((toxic - t) * math.log((toxic - t) / (toxic * (1 - share))) if t < toxic else 0)
+        if 2 * (inner + clean * math.log(1 / (1 - share))) > ratio:
+            return t
+    return toxic + 1
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
@@ -194,11 +208,17 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[1][k] for k in part], pa.int64()), pa.array([found[0][k] for k in part], pa.int64())], ["term", "t", "c"])
 
     counts = sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # The empty term counts documents. Of the others the strongest few thousand can reach the lexicon.
-    likely = counts.filter((F.col("term") == "") | ((F.col("t") >= 3) & (2 * F.col("t") > F.col("c"))))
-    rows = likely.orderBy((F.col("term") != "").cast("int"), (F.col("t") - 0.25 * F.col("c")).desc(), "term").limit(1 + 20 * p.terms).collect()
-    if not rows or rows[0]["term"] != "" or not rows[0]["t"] or not rows[0]["c"]:
+    # The empty term counts documents. Of the others those come that the odds and the count let into the lexicon; they are terms of the sample.
+    counts = stage(spark, counts, "toxicity-counts")
+    whole = counts.filter("term = ''").head()
+    if whole is None or not whole["t"] or not whole["c"]:
         return ToxicityModel()
+    odds = F.ln((F.col("t") + 0.25) / (whole["t"] + 0.5)) - F.ln((F.col("c") + 0.25) / (whole["c"] + 0.5))
+    rows = [whole, *counts.filter((F.col("term") != "") & (odds > p.least_odds) & (F.col("t") >= _fewest(whole["t"], whole["c"], min(p.least_ratio, p.least_pair_ratio)))).collect()]
+    # A stem that stands out by two of its words takes its weight from all documents that hold it.
+    beside = {"^" + r["term"][2:] for r in rows if r["term"].startswith("^^")} - {r["term"] for r in rows}
+    if beside:
+        rows += counts.filter(F.col("term").isin(*sorted(beside))).collect()
     model = lexicon([(r["term"], r["t"], r["c"]) for r in rows[1:]], rows[0]["t"], rows[0]["c"], p)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
