@@ -3,32 +3,39 @@
 A text is the multiset of its runs of five words (words lie between ASCII white
 space; a shorter text: its words as one run), a run's count being its weight.
 Every run draws, for each of the ``bins`` samples anew, r and c from Gamma(2, 1)
-and b uniform, all from a hash of run and sample; with weight w it takes the
-quantised level t = floor(ln w / r + b) and the value a = c / exp(r (t - b) + r).
+and b uniform, all from hashes of run and sample; with weight w it takes the
+quantised level t = floor(ln w / r + b) and the value a = c exp(r (b - t - 1)).
 A sample keeps the run and level of its smallest value. Whether two texts agree
 in a sample has the probability of their generalised Jaccard similarity, so the
 share of agreeing samples estimates it.
 
-A sample's entry is one integer: sample, value and a part of the hash of run and
+A sample's entry is one integer, the value above a part of the hash of run and
 level, so a sample's smallest value is a plain minimum, and a text's fingerprint
-one grouped aggregate over its runs. A run's value has the bound
-a >= (1 - u3 u4) u1 u2 / w by its uniform draws alone; where that lies above
-``reach`` / W (W being the text's sum of weights), the logarithms are not taken,
-because the smallest value, which is exponential with rate W, is above that once
-in e**reach samples (7e20 at 48).
+one grouped aggregate over its runs, eight samples a row. With the uniform draws
+r = -ln(u1 u2) and c = -ln(u3 u4), so that
+
+    a >= (1 - u3 u4) (u1 u2)^(1 - b) for w = 1,   a >= (1 - u3 u4) u1 u2 / w else.
+
+One hash gives the leading bits of all five draws and with them a lower bound of
+this; where it lies above ``reach`` / W (W being the text's sum of weights) the
+draw is left there. The others take their further bits from a second hash, and
+the logarithms. The smallest value is exponential with rate W, so once in
+e**reach samples it is above the bound; such a sample draws again without one, so
+the result is that of all draws.
 
 Nulls and limits: a null text is the empty text, whose fingerprint is empty;
 two empty fingerprints are alike (1.0), an empty and a filled one are not (0.0);
 ``n_chars`` counts code points; the order of documents is ascending ``doc_id``,
 nulls first, ties by a hash of the text; repeated rows follow one another; the
 document after the last is the first, which may be the document itself;
-columns beyond ``doc_id`` and ``text`` are not read; an empty table gives no rows.
+texts of any length are whole; columns beyond ``doc_id`` and ``text`` are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,137 +46,191 @@ from quern.llm.shared import documents, only, stage
 @dataclass(frozen=True)
 class FingerprintParams:
     words: int = 5
+    #: Samples; a multiple of eight.
     bins: int = 64
-    #: Values above this over a text's sum of weights are not computed: none is the smallest but once in e**reach.
-    reach: float = 48.0
-    #: Documents whose ids share a block follow one another in one window partition.
+    #: Draws that are surely above this over a text's sum of weights are left at first.
+    reach: float = 7.0
+    #: Ids are cut at their quantiles into this many ranges at most, and ranges into blocks of about ``block`` documents.
+    ranges: int = 2048
     block: int = 256
-    blocks: int = 4096
 
 
-_UNIT = 1 << 24
+#: Leading bits of a uniform draw, its further bits, and the same for b.
+_LEAD, _MORE, _LEAD_B, _MORE_B = 15, 13, 4, 12
+#: What a sample without a draw holds.
+NONE = (1 << 63) - 1
+
+
+def _part(bits: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(bits, shift).bitwiseAND((1 << width) - 1)
 
 
-def _uniform(bits: Column, shift: int) -> Column:
-    """24 bits of an integer as a number inside (0, 1)."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(_UNIT - 1) + 0.5) * (1.0 / _UNIT)
+def _value(a: Column) -> Column:
+    """A value as an integer of 38 bits, in the same order."""
+    return F.floor((1 - 1 / (a + 1)) * float(1 << 38))
 
 
-def _draws(runs: DataFrame, key: list[str], p: FingerprintParams) -> DataFrame:
-    """``key``, sample and entry (sample, value and identity: 6 + 33 + 24 bits) of every run's draws but those above its ``reach``."""
-    each = runs.select("*", F.explode(F.array(*map(F.lit, range(p.bins)))).alias("sample"))
-    each = each.withColumn("more", F.xxhash64("run", F.col("sample") * 2)).withColumn("other", F.xxhash64("run", F.col("sample") * 2 + 1))
-    each = each.withColumn("of_r", _uniform(F.col("more"), 0) * _uniform(F.col("more"), 24)).withColumn("of_c", _uniform(F.col("other"), 0) * _uniform(F.col("other"), 24))
-    each = each.filter((1 - F.col("of_c")) * F.col("of_r") <= F.col("reach"))
-    each = each.withColumn("r", -F.ln("of_r")).withColumn("b", (F.shiftrightunsigned("more", 48) + 0.5) * (1.0 / (1 << 16)))
-    each = each.withColumn("level", F.floor(F.col("log_weight") / F.col("r") + F.col("b")))
-    a = -F.ln("of_c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
-    value = F.floor((1 - 1 / (a + 1)) * float(1 << 33))
-    who = F.xxhash64("run", "level").bitwiseAND(_UNIT - 1)
-    packed = F.shiftleft(F.col("sample").cast("long"), 57) + F.shiftleft(value, 24) + who
-    return each.select(*key, "sample", packed.alias("entry"))
+def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
+    """``keep``, sample and entry of the draws of ``runs`` that may be a sample's smallest."""
+    each = runs.select("*", F.explode_outer(samples).alias("sample")).withColumn("h", F.xxhash64("run", "sample"))
+    h = F.col("h")
+    lead = [_part(h, _LEAD * k, _LEAD) for k in range(4)]
+    b4 = _part(h, 4 * _LEAD, _LEAD_B)
+    unit = 1 << 2 * _LEAD
+    low, rest = lead[0] * lead[1], unit - (lead[2] + 1) * (lead[3] + 1)  # of u1 u2 and of 1 - u3 u4, from below, in units
+    # In whole numbers, as this is what most draws cost: by the exponent 1, and where b is a half at least (the first bit) by 1/2, squared.
+    half = F.shiftright(rest, _LEAD)
+    may = (low * rest <= F.col("most")) & ((h >= 0) | (half * half * low <= F.col("most2")))
+    left = each.filter(may).withColumn("more", F.xxhash64("run", "h"))
+    more = F.col("more")
+    u = [((lead[k] * (1 << _MORE) + _part(more, _MORE * k, _MORE)).cast("double") + 0.5) * (1.0 / (1 << (_LEAD + _MORE))) for k in range(4)]
+    b = ((b4 * (1 << _MORE_B) + _part(more, 4 * _MORE, _MORE_B)).cast("double") + 0.5) * (1.0 / (1 << (_LEAD_B + _MORE_B)))
+    left = left.withColumn("r", -F.ln(u[0] * u[1])).withColumn("c", -F.ln(u[2] * u[3])).withColumn("b", b)
+    left = left.withColumn("level", F.expr("if(weight = 1D, 0L, floor(log_weight / r + b))"))  # the plain "if" makes shorter code than "case"
+    a = F.col("c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
+    value = _value(a)
+    who = F.xxhash64("run", "level").bitwiseAND((1 << 24) - 1)
+    return left.select(*keep, "sample", (F.shiftleft(value, 24) + who).alias("entry"))
 
 
 def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams) -> DataFrame:
-    """``key``, run, log_weight and reach: a row per distinct run of ``text``. Every step is a column, computed once per row."""
-    df = df.select(*key, F.array_remove(F.split(F.col(text), "[ \\t\\n\\r\\f\\x0b]+"), "").alias("words"))
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    n = F.size("hashes")
-    at = lambda i, k: F.get(F.col("hashes"), i + k)
-    whole = F.transform(F.slice(F.col("hashes"), F.lit(1), F.greatest(n - (p.words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, p.words))))
-    short = F.when(n > 0, F.array(F.xxhash64(F.array_join("words", " "), F.lit(p.words)))).otherwise(F.array().cast("array<bigint>"))
+    """``key``, run, weight, log_weight, and the bounds most (reach weight / W in 60 bits), most2 (its square for weight 1) and bar (as a value): a row per distinct run of ``text``."""
+    blank = "\' \t\n\r\f\x0b\'"
+    bare = F.expr(f"trim(BOTH {blank} FROM `{text}`)")
+    df = df.select(*key, bare.alias("bare")).filter("bare <> ''").select(*key, F.split("bare", "[ \\t\\n\\r\\f\\x0b]+").alias("words"))
+    n = F.size("words")
+    at = lambda i, k: F.get(F.col("words"), i + k)
+    whole = F.transform(F.slice("words", F.lit(1), F.greatest(n - (p.words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, p.words))))
+    short = F.array(F.xxhash64(F.array_join("words", " "), F.lit(p.words)))
     df = df.select(*key, F.when(n >= p.words, whole).otherwise(short).alias("runs"))
-    df = df.withColumn("pairs", F.when(F.size(F.array_distinct("runs")) < F.size("runs"), F.sort_array("runs")))
-    # Where runs repeat: positions at which a new run begins in sorted order; the next one less this one is its count.
-    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (F.get(F.col("pairs"), i) != F.get(F.col("pairs"), i - 1))))
-    pair = lambda run, weight: F.struct(run.alias("run"), weight.cast("double").alias("weight"))
-    counted = F.transform("begins", lambda at_, i: pair(F.get(F.col("pairs"), at_), F.coalesce(F.get(F.col("begins"), i + 1), F.size("pairs")) - at_))
-    once = F.transform("runs", lambda x: pair(x, F.lit(1)))
-    df = df.select(*key, (p.reach / F.size("runs")).alias("reach"), F.explode(F.when(F.col("pairs").isNull(), once).otherwise(counted)).alias("e"))
+    df = df.withColumn("distinct", F.array_distinct("runs"))
+    # Where runs repeat: sorted, with the position at which each begins; the next one less this one is its count.
+    df = df.withColumn("sorted", F.when(F.size("distinct") < F.size("runs"), F.sort_array("runs")))
+    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (F.get(F.col("sorted"), i) != F.get(F.col("sorted"), i - 1))))
+    df = df.withColumn("weights", F.transform("begins", lambda at_, i: F.coalesce(F.get(F.col("begins"), i + 1), F.size("sorted")) - at_))
+    # The outer form: for the other one the optimiser would make the runs twice, to see that there are some.
+    df = df.select(*key, (p.reach / F.size("runs")).alias("limit"), "weights", F.posexplode_outer(F.when(F.col("sorted").isNull(), F.col("runs")).otherwise(F.sort_array("distinct"))).alias("at", "run"))
     zero = lambda c, v: F.coalesce(c, F.lit(v))  # noqa: E731  (never null; says so to the compiler)
-    return df.select(*key, zero(F.col("e.run"), 0).alias("run"), zero(F.ln("e.weight"), 0.0).alias("log_weight"), zero(F.col("reach") * F.col("e.weight"), 0.0).alias("reach"))
+    df = df.select(*key, zero(F.col("run"), 0).alias("run"), zero(F.get("weights", F.col("at")), 1).cast("double").alias("weight"), zero(F.col("limit"), 0.0).alias("limit"))
+    log = F.when(F.col("weight") == 1.0, 0.0).otherwise(zero(F.ln("weight"), 0.0))
+    limit = F.col("limit")
+    most = F.least(limit * F.col("weight"), F.lit(1.0)) * float(1 << 60)
+    squared = F.when(F.col("weight") == 1.0, F.least(limit * limit, F.lit(1.0))).otherwise(1.0) * float(1 << 60)
+    return df.select(*key, "run", "weight", log.alias("log_weight"), (most.cast("long") + 1).alias("most"), (squared.cast("long") + 1).alias("most2"), _value(limit).alias("bar"))
 
 
 def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams) -> DataFrame:
-    """``key`` and ``out``, the ascending entries of the samples of ``text``; no row for a text without words. Rows equal in ``key`` have one text."""
+    """``key`` and ``out``, the entries of the samples of ``text`` in order; no row for a text without words. Rows equal in ``key`` have one text.
+
+    A sample whose smallest value is not below the bar may have a smaller one
+    among the draws that were left, so it draws again without a bound.
+    """
+    all_ = F.array(*(F.lit(k) for k in range(p.bins)))
     # Eight samples a row: an aggregate of all at once is more code than the JVM compiles.
-    smallest = [F.min(F.when(F.col("sample") % 8 == k, F.col("entry"))).alias(f"s{k}") for k in range(8)]
-    found = _draws(_runs(df, text, key, p), key, p).groupBy(*key, F.floor(F.col("sample") / 8).alias("eight")).agg(*smallest)
-    found = found.groupBy(*key).agg(F.collect_list(F.array_compact(F.array(*(f"s{k}" for k in range(8))))).alias(out))
-    return found.select(*key, F.sort_array(F.flatten(out)).alias(out))
+    smallest = [F.min(F.expr(f"if(sample & 7 = {k}, entry, {NONE}L)")).alias(f"s{k}") for k in range(8)]
+    found = _draws(_runs(df, text, key, p), all_, *key, "bar").groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest, F.max("bar").alias("bar"))
+    eights = F.collect_list(F.struct("eight", F.array(*(f"s{k}" for k in range(8))).alias("s"))).alias("e")
+    found = found.groupBy(*key).agg(eights, F.max("bar").alias("bar"))
+    # A text none of whose draws for eight samples is left has no row for them, and one without any has no row at all.
+    row = lambda k: F.coalesce(F.get(F.filter("e", lambda x: x["eight"] == k), F.lit(0))["s"], F.array(*[F.lit(NONE)] * 8))
+    found = found.select(*key, "bar", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p.bins // 8 - 1)), row)).alias(out))
+    open_ = F.filter(all_, lambda k: F.shiftright(F.get(out, k), 24) >= F.col("bar"))
+    found = stage(df.sparkSession, found.select(*key, out, open_.alias("open")), "fingerprints-found")
+    # Few texts have such samples, and each has few.
+    short = found.filter(F.size("open") > 0)
+    again = df.join(short.select(*key, "open"), key)
+    runs = _runs(again, text, [*key, "open"], replace(p, reach=math.inf))
+    redrawn = _draws(runs, F.col("open"), *key).groupBy(*key, "sample").agg(F.min("entry").alias("entry"))
+    redrawn = redrawn.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("sample", "entry"))).alias("new"))
+    whole = F.transform(out, lambda e, k: F.coalesce(F.try_element_at("new", k), e))
+    return found.filter(F.size("open") == 0).select(*key, out).unionByName(short.join(redrawn, key).select(*key, whole.alias(out)))
 
 
 _EMPTY = "array<bigint>"
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, p: FingerprintParams) -> DataFrame:
-    """``df`` with ``out``: ascending entries of the samples of ``text``; texts meet theirs by two hashes."""
-    keys = [f"__{out}_{k}" for k in (1, 2)]
-    df = df.withColumn(keys[0], F.xxhash64(text)).withColumn(keys[1], F.xxhash64(F.lit(1), F.col(text)))
-    found = prints(df.select(*keys, text), text, keys, out, p)
-    return df.join(found, keys, "left").withColumn(out, F.coalesce(out, F.array().cast(_EMPTY))).drop(*keys)
+def with_fingerprint(df: DataFrame, out: str, p: FingerprintParams) -> DataFrame:
+    """doc_id, text and ``out``: entries of the samples of ``text``; texts meet theirs by two hashes. ``df`` has doc_id and text alone."""
+    df = df.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), F.col("text")))
+    found = prints(df.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), "text", ["k1", "k2"], out, p)
+    return df.join(found, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce(out, F.array().cast(_EMPTY)).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing samples among those that either fingerprint fills (all, unless a text is empty)."""
-    bins = lambda x: F.transform(x, lambda k: F.shiftrightunsigned(k, 57))
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """Share of agreeing samples; two empty fingerprints are alike, an empty and a filled one are not."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same / F.greatest(F.size(a), F.size(b)))
 
 
 def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda k: F.lower(F.hex(k))), ".")
 
 
-def _place(p: FingerprintParams) -> list[Column]:
-    """Rank of the null ids, block and tie of a row; null ids are dealt into blocks by their text's hash."""
-    null = F.col("doc_id").isNull()
-    tie = F.xxhash64("text")
-    block = F.when(null, F.pmod(tie, F.lit(p.blocks))).otherwise(F.floor(F.col("doc_id") / p.block))
-    return [F.when(null, 0).otherwise(1).alias("g"), block.alias("block"), tie.alias("tie")]
+def _cuts(df: DataFrame, p: FingerprintParams) -> tuple[list[float], list[float]]:
+    """Where the ranges of ids begin, and how wide a block is in each: quantiles, so that ids may be sparse, clustered or hashed."""
+    n = df.filter("doc_id is not null").count()
+    count = max(1, min(p.ranges, math.ceil(n / (16 * p.block))))
+    at = F.percentile_approx("doc_id", F.array(*(F.lit(k / count) for k in range(count + 1))), 20 * count)
+    found = df.agg(at.alias("at")).head()["at"] or [0]
+    begins = sorted({float(x) for x in found[:-1]} or {float(found[0])})
+    ends = [*begins[1:], float(found[-1]) + 1]
+    blocks = max(1.0, n / count / p.block)
+    return begins, [max(1.0, (b - a) / blocks) for a, b in zip(begins, ends, strict=True)]
+
+
+def _place(df: DataFrame, p: FingerprintParams) -> DataFrame:
+    """``df`` with g (range of its id, 0 for none), block and tie. Both only rise with the id; null ids are dealt by their text's hash."""
+    begins, widths = _cuts(df, p)
+    array = lambda values: F.array(*map(F.lit, values))
+    at = F.col("doc_id").cast("double")
+    # Halving the list of ranges: as many steps as its length has bits.
+    steps = array([1 << k for k in reversed(range(len(begins).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step < len(begins)) & (F.get(array(begins), low + step) <= at), low + step).otherwise(low)) if len(begins) > 1 else F.lit(0)
+    df = df.withColumn("tie", F.xxhash64("text")).withColumn("g", F.when(F.col("doc_id").isNull(), 0).otherwise(found + 1))
+    inside = F.floor((at - F.get(array(begins), F.col("g") - 1)) / F.get(array(widths), F.col("g") - 1))
+    return df.withColumn("block", F.when(F.col("g") == 0, F.pmod(F.col("tie"), F.lit(4096))).otherwise(inside))
 
 
-def with_next(df: DataFrame, p: FingerprintParams, prepare: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
-    """doc_id, ``columns`` and ``next``: struct of ``columns`` of the document after it; ``df`` has doc_id and text.
+def with_next(df: DataFrame, p: FingerprintParams) -> DataFrame:
+    """doc_id, text and ``next``: struct of both of the document after it; ``df`` has doc_id and text alone.
 
     Documents are dealt into blocks of neighbouring ids. The first document of a
     block is copied behind the last of the block before it, so every successor
-    lies within a block, and no window spans the table. Only texts are dealt;
-    ``prepare`` adds what else the ``columns`` name where the rows have arrived.
+    lies within a block, and no window spans the table: blocks are put in order
+    within their range of ids, and the ranges, a bounded number, among themselves.
     """
-    heads = df.select(*_place(p), "doc_id").groupBy("g", "block").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
-    # The block before, in two levels: within a run of blocks, else the last block of the run before; the first takes the very last.
-    heads = stage(df.sparkSession, heads.withColumn("run", F.floor(F.col("block") / p.blocks)), "fingerprints-heads")
-    inner = Window.partitionBy("g", "run").orderBy("block")
-    runs = heads.groupBy("g", "run").agg(F.max("block").alias("block"))
-    order = Window.orderBy("g", "run")
-    around = runs.withColumn("before", F.lag(F.struct("g", "block")).over(order)).withColumn("end", F.last(F.struct("g", "block")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    around = around.select("g", "run", F.coalesce("before", "end").alias("outer"))
-    linked = heads.withColumn("own", F.lag(F.struct("g", "block")).over(inner)).join(around, ["g", "run"])
-    linked = linked.select(F.col("head.doc_id").alias("__id"), F.col("head.tie").alias("__tie"), F.coalesce("own", "outer").alias("__to"))
+    placed = _place(df, p)
+    heads = placed.groupBy("g", "block").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
+    heads = stage(df.sparkSession, heads, "fingerprints-heads")
+    inner = Window.partitionBy("g").orderBy("block")
+    ranges = heads.groupBy("g").agg(F.max("block").alias("block"))
+    order = Window.orderBy("g")  # at most ``ranges`` + 1 rows
+    around = ranges.withColumn("before", F.lag(F.struct("g", "block")).over(order)).withColumn("end", F.last(F.struct("g", "block")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    around = around.select("g", F.coalesce("before", "end").alias("outer"))
+    linked = heads.withColumn("own", F.lag(F.struct("g", "block")).over(inner)).join(around, "g")
+    linked = linked.select(F.col("head.doc_id").alias("id_"), F.col("head.tie").alias("tie_"), F.coalesce("own", "outer").alias("to_"))
     # Written first, so the plan knows its size, and the texts are dealt once where it is small.
     linked = stage(df.sparkSession, linked, "fingerprints-links")
-    placed = df.select(*_place(p), "doc_id", "text")
-    joined = placed.join(linked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")), "left")
+    joined = placed.join(linked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tie") == F.col("tie_")), "left")
     # Rows equal in id and text are heads together; the copy behind the block before serves for all of them.
-    copies = F.array(F.struct("g", "block", F.lit(False).alias("copy")), F.struct(F.col("__to.g").alias("g"), F.col("__to.block").alias("block"), F.lit(True).alias("copy")))
-    spread = joined.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
-    dealt = spread.select(F.col("__at.g").alias("g"), F.col("__at.block").alias("block"), F.col("__at.copy").alias("copy"), "doc_id", "tie", "text").repartition("g", "block")
+    copies = F.array(F.struct("g", "block", F.lit(False).alias("copy")), F.struct(F.col("to_.g").alias("g"), F.col("to_.block").alias("block"), F.lit(True).alias("copy")))
+    spread = joined.withColumn("at_", F.explode(F.when(F.col("to_").isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
+    dealt = spread.select(F.col("at_.g").alias("g"), F.col("at_.block").alias("block"), F.col("at_.copy").alias("copy"), "doc_id", "tie", "text")
     window = Window.partitionBy("g", "block").orderBy("copy", "doc_id", "tie")
-    following = prepare(dealt).withColumn("next", F.lead(F.struct(*columns)).over(window))
-    return following.filter(~F.col("copy")).select("doc_id", *columns, "next")
+    following = dealt.withColumn("next", F.lead(F.struct("doc_id", "text")).over(window))
+    return following.filter(~F.col("copy")).select("doc_id", "text", "next")
 
 
 def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams()) -> DataFrame:
-    """doc_id, text, fingerprint: array of at most ``bins`` ascending integers."""
+    """doc_id, text, fingerprint: array of ``bins`` integers, empty for a text without words."""
     rows = only(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_fingerprint(rows, "text", "fingerprint", params)
+    return with_fingerprint(rows, "fingerprint", params)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = FingerprintParams()
     docs = only(documents(spark, sf_dir), doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, p, lambda df: df, ["doc_id", "text"])
+    rows = with_next(docs, p)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
