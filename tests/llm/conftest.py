@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns that operators use inside, here as extra input columns.
-CLASHING = "score rank label band hub id key pos line th n first part block tie keep gone e kind value words ids n_links class_id n_copies".split()
+CLASHING = "score rank label band hub id key pos line th n first part block tie keep gone e kind value words ids n_links class_id n_copies __hash __id __th __gone __lines __found id_ th_ hash lines found kinds named K1 eight sample range copies e_ norm".split()
 
 
 @pytest.fixture(scope="session")

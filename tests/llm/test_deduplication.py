@@ -39,7 +39,7 @@ def brute_lines(docs, p):
     where = defaultdict(list)
     for doc_id, text in docs:
         for pos, line in enumerate((text or "").split("\n")):
-            if len(line.strip(" ")) >= p.shortest:
+            if line.strip(" \t\n\r\f\x0b"):
                 where[line].append((doc_id, pos))
     classes, index = Classes(where), defaultdict(list)
     for line in where:
@@ -102,6 +102,33 @@ def test_lines_of_odd_input(spark, odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_names_and_short_lines(spark):
+    docs = [(1, "short twin!\nabcdefghijklmnopqrstuvw\nabcd"), (2, "short twin!\nabcdefghijklmnopqrstuvx\nabce"), (3, "House\nhouse\nblouse")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for k, name in enumerate(["__gone", "__id", "__th", "__hash", "__lines", "gone", "ID", "th", "hash", "lines"]):
+        df = df.withColumn(name, F.lit(k))
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert [rows[k]["text"] for k in (1, 2, 3)] == ["short twin!\nabcdefghijklmnopqrstuvw\nabcd", "abce", "House\nblouse"]
+    assert all(rows[k]["__lines"] == 4 and rows[k]["hash"] == 8 for k in rows)
+    with pytest.raises(ValueError, match="n_lines"):
+        lines.dedup_lines(df.withColumn("N_lines", F.lit(1)))
+
+
+def test_rows_without_an_id_take_part(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near = text.replace("w59", "x")
+    other = " ".join(f"v{k}" for k in range(30))
+    docs = [(None, text), (None, text), (5, near), (None, other), (None, other), (7, " \n"), (7, " \n"), (None, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("__id", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("TH", F.lit(3))
+    rows = jaccard.near_duplicates(df).collect()
+    assert sorted((r["class_id"] or 0, r["n_copies"], r["n_links"]) for r in rows if r["class_key"] is not None) == [(0, 1, 0), (0, 1, 0), (5, 0, 1), (5, 1, 1), (5, 1, 1)]
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(5, near), (0, other), (7, " \n"), (7, " \n"), (0, ""), (0, "")])
+
+
 def shingles(text):
     words = [w for w in (text or "").replace("\r", " ").split()]
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
