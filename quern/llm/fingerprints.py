@@ -19,9 +19,10 @@ r = -ln(u1 u2) and c = -ln(u3 u4), so that
 One hash gives the leading bits of all five draws and with them a lower bound of
 this; where it lies above ``reach`` / W (W being the text's sum of weights) the
 draw is left there. The others take their further bits from a second hash, and
-the logarithms. The smallest value is exponential with rate W, so once in
-e**reach samples it is above the bound; such a sample draws again without one, so
-the result is that of all draws.
+the logarithms. The smallest value is exponential with rate W, so a sample loses
+it once in e**reach times (5e8 at 20), which is rarer than that two identities of
+24 bits meet (2e7). What is left depends on the text alone, so equal texts keep
+equal fingerprints.
 
 Nulls and limits: a null text is the empty text, whose fingerprint is empty;
 two empty fingerprints are alike (1.0), an empty and a filled one are not (0.0);
@@ -35,7 +36,7 @@ read, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ class FingerprintParams:
     words: int = 5
     #: Samples; a multiple of eight.
     bins: int = 64
-    #: Draws that are surely above this over a text's sum of weights are left at first.
-    reach: float = 7.0
+    #: Draws that are surely above this over a text's sum of weights are left.
+    reach: float = 20.0
     #: Ids are cut at their quantiles into this many ranges at most, and ranges into blocks of about ``block`` documents.
     ranges: int = 2048
     block: int = 256
@@ -65,11 +66,6 @@ def _part(bits: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(bits, shift).bitwiseAND((1 << width) - 1)
 
 
-def _value(a: Column) -> Column:
-    """A value as an integer of 38 bits, in the same order."""
-    return F.floor((1 - 1 / (a + 1)) * float(1 << 38))
-
-
 def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
     """``keep``, sample and entry of the draws of ``runs`` that may be a sample's smallest."""
     each = runs.select("*", F.explode_outer(samples).alias("sample")).withColumn("h", F.xxhash64("run", "sample"))
@@ -88,13 +84,13 @@ def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
     left = left.withColumn("r", -F.ln(u[0] * u[1])).withColumn("c", -F.ln(u[2] * u[3])).withColumn("b", b)
     left = left.withColumn("level", F.expr("if(weight = 1D, 0L, floor(log_weight / r + b))"))  # the plain "if" makes shorter code than "case"
     a = F.col("c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
-    value = _value(a)
+    value = F.floor((1 - 1 / (a + 1)) * float(1 << 38))
     who = F.xxhash64("run", "level").bitwiseAND((1 << 24) - 1)
     return left.select(*keep, "sample", (F.shiftleft(value, 24) + who).alias("entry"))
 
 
 def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams) -> DataFrame:
-    """``key``, run, weight, log_weight, and the bounds most (reach weight / W in 60 bits), most2 (its square for weight 1) and bar (as a value): a row per distinct run of ``text``."""
+    """``key``, run, weight, log_weight, and the bounds most (reach weight / W in 60 bits) and most2 (its square for weight 1): a row per distinct run of ``text``."""
     blank = "\' \t\n\r\f\x0b\'"
     bare = F.expr(f"trim(BOTH {blank} FROM `{text}`)")
     df = df.select(*key, bare.alias("bare")).filter("bare <> ''").select(*key, F.split("bare", "[ \\t\\n\\r\\f\\x0b]+").alias("words"))
@@ -116,34 +112,32 @@ def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams) -> Dat
     limit = F.col("limit")
     most = F.least(limit * F.col("weight"), F.lit(1.0)) * float(1 << 60)
     squared = F.when(F.col("weight") == 1.0, F.least(limit * limit, F.lit(1.0))).otherwise(1.0) * float(1 << 60)
-    return df.select(*key, "run", "weight", log.alias("log_weight"), (most.cast("long") + 1).alias("most"), (squared.cast("long") + 1).alias("most2"), _value(limit).alias("bar"))
+    return df.select(*key, "run", "weight", log.alias("log_weight"), (most.cast("long") + 1).alias("most"), (squared.cast("long") + 1).alias("most2"))
 
 
-def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams) -> DataFrame:
+def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams, group: list[str] | None = None) -> DataFrame:
     """``key`` and ``out``, the entries of the samples of ``text`` in order; no row for a text without words. Rows equal in ``key`` have one text.
 
-    A sample whose smallest value is not below the bar may have a smaller one
-    among the draws that were left, so it draws again without a bound.
+    With ``group``, a part of ``key``, one row per group: ``out`` is an array of the
+    rest of the key (one column) and the entries. Where ``df`` lies partitioned by
+    columns of the key, no row moves.
     """
-    all_ = F.array(*(F.lit(k) for k in range(p.bins)))
+    group = key if group is None else group
+    rest = [c for c in key if c not in group]
     # Eight samples a row: an aggregate of all at once is more code than the JVM compiles.
     smallest = [F.min(F.expr(f"if(sample & 7 = {k}, entry, {NONE}L)")).alias(f"s{k}") for k in range(8)]
-    found = _draws(_runs(df, text, key, p), all_, *key, "bar").groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest, F.max("bar").alias("bar"))
-    eights = F.collect_list(F.struct("eight", F.array(*(f"s{k}" for k in range(8))).alias("s"))).alias("e")
-    found = found.groupBy(*key).agg(eights, F.max("bar").alias("bar"))
-    # A text none of whose draws for eight samples is left has no row for them, and one without any has no row at all.
-    row = lambda k: F.coalesce(F.get(F.filter("e", lambda x: x["eight"] == k), F.lit(0))["s"], F.array(*[F.lit(NONE)] * 8))
-    found = found.select(*key, "bar", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p.bins // 8 - 1)), row)).alias(out))
-    open_ = F.filter(all_, lambda k: F.shiftright(F.get(out, k), 24) >= F.col("bar"))
-    found = stage(df.sparkSession, found.select(*key, out, open_.alias("open")), "fingerprints-found")
-    # Few texts have such samples, and each has few.
-    short = found.filter(F.size("open") > 0)
-    again = df.join(short.select(*key, "open"), key)
-    runs = _runs(again, text, [*key, "open"], replace(p, reach=math.inf))
-    redrawn = _draws(runs, F.col("open"), *key).groupBy(*key, "sample").agg(F.min("entry").alias("entry"))
-    redrawn = redrawn.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("sample", "entry"))).alias("new"))
-    whole = F.transform(out, lambda e, k: F.coalesce(F.try_element_at("new", k), e))
-    return found.filter(F.size("open") == 0).select(*key, out).unionByName(short.join(redrawn, key).select(*key, whole.alias(out)))
+    found = _draws(_runs(df, text, key, p), F.array(*(F.lit(k) for k in range(p.bins))), *key).groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest)
+    eights = F.collect_list(F.struct(*rest, "eight", F.array(*(f"s{k}" for k in range(8))).alias("s"))).alias("e")
+    found = found.groupBy(*group).agg(eights)
+    # Eight samples all of whose draws are left have no row.
+    def whole(entries: Column) -> Column:
+        row = lambda k: F.coalesce(F.get(F.filter(entries, lambda x: x["eight"] == k), F.lit(0))["s"], F.array(*[F.lit(NONE)] * 8))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p.bins // 8 - 1)), row))
+
+    if not rest:
+        return found.select(*group, whole(F.col("e")).alias(out))
+    names = F.array_distinct(F.transform("e", lambda x: x[rest[0]]))
+    return found.select(*group, F.transform(names, lambda n: F.struct(n.alias(rest[0]), whole(F.filter("e", lambda x: x[rest[0]] == n)).alias("entries"))).alias(out))
 
 
 _EMPTY = "array<bigint>"
@@ -192,12 +186,14 @@ def _place(df: DataFrame, p: FingerprintParams) -> DataFrame:
 
 
 def with_next(df: DataFrame, p: FingerprintParams) -> DataFrame:
-    """doc_id, text and ``next``: struct of both of the document after it; ``df`` has doc_id and text alone.
+    """doc_id, text, ``next`` (struct of both of the document after it), and the row's place (g, block, copy, spot); ``df`` has doc_id and text alone.
 
     Documents are dealt into blocks of neighbouring ids. The first document of a
     block is copied behind the last of the block before it, so every successor
     lies within a block, and no window spans the table: blocks are put in order
     within their range of ids, and the ranges, a bounded number, among themselves.
+    The copies are rows too, with ``copy`` true and no successor. Rows lie
+    partitioned by g and block.
     """
     placed = _place(df, p)
     heads = placed.groupBy("g", "block").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
@@ -217,8 +213,7 @@ def with_next(df: DataFrame, p: FingerprintParams) -> DataFrame:
     spread = joined.withColumn("at_", F.explode(F.when(F.col("to_").isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
     dealt = spread.select(F.col("at_.g").alias("g"), F.col("at_.block").alias("block"), F.col("at_.copy").alias("copy"), "doc_id", "tie", "text")
     window = Window.partitionBy("g", "block").orderBy("copy", "doc_id", "tie")
-    following = dealt.withColumn("next", F.lead(F.struct("doc_id", "text")).over(window))
-    return following.filter(~F.col("copy")).select("doc_id", "text", "next")
+    return dealt.select("g", "block", "copy", F.row_number().over(window).alias("spot"), "doc_id", "text", F.lead(F.struct("doc_id", "text")).over(window).alias("next"))
 
 
 def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams()) -> DataFrame:
@@ -230,31 +225,32 @@ def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams(
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = FingerprintParams()
     docs = only(documents(spark, sf_dir), doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, p)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    # A fingerprint's key: a row's id and text, and whether it is the edited text's.
-    name = lambda doc_id, text, kind: F.struct(F.xxhash64(doc_id, F.lit(kind), text).alias("k1"), F.xxhash64(text, doc_id).alias("k2"))
-    keys = [name(F.col("doc_id"), F.col("text"), 0), name(F.col("next.doc_id"), F.col("next.text"), 0), name(F.col("doc_id"), F.col("text"), 1)]
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"), F.array(*keys).alias("keys"), edited.alias("edited"))
-    rows = stage(spark, rows, "fingerprints-edited")
-    own = docs.select(name(F.col("doc_id"), F.col("text"), 0).alias("k"), "text").select("k.k1", "k.k2", "text")
-    # The copies' edited texts may differ in their next document's, so a row's number goes into the key.
-    last = lambda k: F.struct(F.xxhash64(k["k1"], F.col("row")).alias("k1"), k["k2"].alias("k2"))
-    new = rows.select(last(F.get("keys", F.lit(2))).alias("k"), F.col("edited").alias("text")).select("k.k1", "k.k2", "text")
-    found = prints(own.union(new), "text", ["k1", "k2"], "entries", p)
-    asked = F.array(F.get("keys", F.lit(0)), F.get("keys", F.lit(1)), last(F.get("keys", F.lit(2))))
-    asks = rows.select("row", F.posexplode(asked).alias("role", "k")).select("row", "role", "k.k1", "k.k2")
-    got = asks.join(found, ["k1", "k2"]).groupBy("row").agg(*(F.max(F.when(F.col("role") == k, F.col("entries"))).alias(f"f{k}") for k in range(3)))
-    told = rows.select("row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = told.join(got, "row", "left").select("doc_id", "n_chars", "edited_sha256", *(F.coalesce(f"f{k}", F.array().cast(_EMPTY)).alias(f"f{k}") for k in range(3)))
-    return rows.select(
+    edited = F.when(~F.col("copy"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))
+    rows = with_next(docs, p).withColumn("edited", edited)
+    place = ["g", "block", "spot"]
+    # From the dealing on no text moves: own and edited texts are drawn where they lie.
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    texts = rows.select(*place, F.explode(both).alias("e")).select(*place, "e.kind", "e.t")
+    found = prints(texts, "t", [*place, "kind"], "f", p, place)
+    of_kind = lambda k: F.coalesce(F.get(F.filter("f", lambda x: x["kind"] == k), F.lit(0))["entries"], F.array().cast(_EMPTY))
+    found = found.select(*place, of_kind(0).alias("f0"), of_kind(1).alias("f1"))
+    # A row whose texts have no words is not there, so the one after it may be further off.
+    order = Window.partitionBy("g", "block").orderBy("spot")
+    after = F.when(F.lead("spot").over(order) == F.col("spot") + 1, F.lead("f0").over(order))
+    found = found.withColumn("near_next", likeness(F.col("f0"), F.coalesce(after, F.array().cast(_EMPTY))))
+    wordless = F.when(F.col("next.text").rlike(r"[^ \t\n\r\f\x0b]"), 0.0).otherwise(1.0)
+    told = rows.filter(~F.col("copy")).select(*place, "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), wordless.alias("both_empty"))
+    done = told.join(found, place, "left")
+    empty = F.array().cast(_EMPTY)
+    done = done.withColumn("f0", F.coalesce("f0", empty)).withColumn("f1", F.coalesce("f1", empty))
+    return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("f0")).alias("fingerprint"),
-        as_text(F.col("f2")).alias("edited_fingerprint"),
-        likeness(F.col("f0"), F.col("f2")).alias("near_edited"),
-        likeness(F.col("f0"), F.col("f1")).alias("near_next"),
+        as_text(F.col("f1")).alias("edited_fingerprint"),
+        likeness(F.col("f0"), F.col("f1")).alias("near_edited"),
+        F.coalesce("near_next", "both_empty").alias("near_next"),
     )
