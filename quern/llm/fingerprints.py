@@ -60,6 +60,7 @@ class FingerprintParams:
 _LEAD, _MORE, _LEAD_B, _MORE_B = 15, 13, 4, 12
 #: What a sample without a draw holds.
 NONE = (1 << 63) - 1
+_EMPTY = "array<bigint>"
 
 
 def _part(bits: Column, shift: int, width: int) -> Column:
@@ -77,7 +78,9 @@ def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
     # In whole numbers, as this is what most draws cost: by the exponent 1, and where b is a half at least (the first bit) by 1/2, squared.
     half = F.shiftright(rest, _LEAD)
     may = (low * rest <= F.col("most")) & ((h >= 0) | (half * half * low <= F.col("most2")))
-    left = each.filter(may).withColumn("more", F.xxhash64("run", "h"))
+    # A weight below 0 says that the run is a number to be carried, in the place of the sample that it names.
+    carried = (F.col("weight") < 0) & (F.col("sample") == -F.col("weight") - 1)
+    left = each.filter(may | carried).withColumn("more", F.xxhash64("run", "h"))
     more = F.col("more")
     u = [((lead[k] * (1 << _MORE) + _part(more, _MORE * k, _MORE)).cast("double") + 0.5) * (1.0 / (1 << (_LEAD + _MORE))) for k in range(4)]
     b = ((b4 * (1 << _MORE_B) + _part(more, 4 * _MORE, _MORE_B)).cast("double") + 0.5) * (1.0 / (1 << (_LEAD_B + _MORE_B)))
@@ -86,47 +89,51 @@ def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
     a = F.col("c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
     value = F.floor((1 - 1 / (a + 1)) * float(1 << 38))
     who = F.xxhash64("run", "level").bitwiseAND((1 << 24) - 1)
-    return left.select(*keep, "sample", (F.shiftleft(value, 24) + who).alias("entry"))
+    left = left.withColumn("drawn", F.shiftleft(value, 24) + who)
+    return left.select(*keep, "sample", F.expr("if(weight < 0D, run, drawn)").alias("entry"))
 
 
-def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams) -> DataFrame:
+def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams, carry: Column | None = None) -> DataFrame:
     """``key``, run, weight, log_weight, and the bounds most (reach weight / W in 60 bits) and most2 (its square for weight 1): a row per distinct run of ``text``."""
     blank = "\' \t\n\r\f\x0b\'"
     bare = F.expr(f"trim(BOTH {blank} FROM `{text}`)")
-    df = df.select(*key, bare.alias("bare")).filter("bare <> ''").select(*key, F.split("bare", "[ \\t\\n\\r\\f\\x0b]+").alias("words"))
+    carry = F.lit(None).cast(_EMPTY) if carry is None else carry
+    df = df.select(*key, bare.alias("bare"), carry.alias("carry")).filter("bare <> '' or carry is not null").select(*key, "carry", F.split("bare", "[ \\t\\n\\r\\f\\x0b]+").alias("words"))
     n = F.size("words")
     at = lambda i, k: F.get(F.col("words"), i + k)
     whole = F.transform(F.slice("words", F.lit(1), F.greatest(n - (p.words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, p.words))))
     short = F.array(F.xxhash64(F.array_join("words", " "), F.lit(p.words)))
-    df = df.select(*key, F.when(n >= p.words, whole).otherwise(short).alias("runs"))
+    df = df.select(*key, "carry", F.when(F.col("carry").isNotNull(), F.col("carry")).when(n >= p.words, whole).otherwise(short).alias("runs"))
     df = df.withColumn("distinct", F.array_distinct("runs"))
     # Where runs repeat: sorted, with the position at which each begins; the next one less this one is its count.
-    df = df.withColumn("sorted", F.when(F.size("distinct") < F.size("runs"), F.sort_array("runs")))
+    df = df.withColumn("sorted", F.when((F.size("distinct") < F.size("runs")) & F.col("carry").isNull(), F.sort_array("runs")))
     df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (F.get(F.col("sorted"), i) != F.get(F.col("sorted"), i - 1))))
-    df = df.withColumn("weights", F.transform("begins", lambda at_, i: F.coalesce(F.get(F.col("begins"), i + 1), F.size("sorted")) - at_))
+    counts = F.transform("begins", lambda at_, i: F.coalesce(F.get(F.col("begins"), i + 1), F.size("sorted")) - at_)
+    df = df.withColumn("weights", F.when(F.col("carry").isNotNull(), F.transform("carry", lambda x, i: -1 - i)).otherwise(counts))
     # The outer form: for the other one the optimiser would make the runs twice, to see that there are some.
     df = df.select(*key, (p.reach / F.size("runs")).alias("limit"), "weights", F.posexplode_outer(F.when(F.col("sorted").isNull(), F.col("runs")).otherwise(F.sort_array("distinct"))).alias("at", "run"))
     zero = lambda c, v: F.coalesce(c, F.lit(v))  # noqa: E731  (never null; says so to the compiler)
     df = df.select(*key, zero(F.col("run"), 0).alias("run"), zero(F.get("weights", F.col("at")), 1).cast("double").alias("weight"), zero(F.col("limit"), 0.0).alias("limit"))
-    log = F.when(F.col("weight") == 1.0, 0.0).otherwise(zero(F.ln("weight"), 0.0))
+    log = F.when(F.col("weight") <= 1.0, 0.0).otherwise(zero(F.ln("weight"), 0.0))
     limit = F.col("limit")
-    most = F.least(limit * F.col("weight"), F.lit(1.0)) * float(1 << 60)
+    most = F.greatest(F.least(limit * F.col("weight"), F.lit(1.0)), F.lit(0.0)) * float(1 << 60)
     squared = F.when(F.col("weight") == 1.0, F.least(limit * limit, F.lit(1.0))).otherwise(1.0) * float(1 << 60)
     return df.select(*key, "run", "weight", log.alias("log_weight"), (most.cast("long") + 1).alias("most"), (squared.cast("long") + 1).alias("most2"))
 
 
-def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams, group: list[str] | None = None) -> DataFrame:
+def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams, group: list[str] | None = None, carry: Column | None = None) -> DataFrame:
     """``key`` and ``out``, the entries of the samples of ``text`` in order; no row for a text without words. Rows equal in ``key`` have one text.
 
     With ``group``, a part of ``key``, one row per group: ``out`` is an array of the
     rest of the key (one column) and the entries. Where ``df`` lies partitioned by
-    columns of the key, no row moves.
+    columns of the key, no row moves. A row of ``df`` with ``carry`` (array of at
+    most eight integers) has these as its first entries.
     """
     group = key if group is None else group
     rest = [c for c in key if c not in group]
     # Eight samples a row: an aggregate of all at once is more code than the JVM compiles.
     smallest = [F.min(F.expr(f"if(sample & 7 = {k}, entry, {NONE}L)")).alias(f"s{k}") for k in range(8)]
-    found = _draws(_runs(df, text, key, p), F.array(*(F.lit(k) for k in range(p.bins))), *key).groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest)
+    found = _draws(_runs(df, text, key, p, carry), F.array(*(F.lit(k) for k in range(p.bins))), *key).groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest)
     eights = F.collect_list(F.struct(*rest, "eight", F.array(*(f"s{k}" for k in range(8))).alias("s"))).alias("e")
     found = found.groupBy(*group).agg(eights)
     # Eight samples all of whose draws are left have no row.
@@ -140,9 +147,6 @@ def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintPar
     return found.select(*group, F.transform(names, lambda n: F.struct(n.alias(rest[0]), whole(F.filter("e", lambda x: x[rest[0]] == n)).alias("entries"))).alias(out))
 
 
-_EMPTY = "array<bigint>"
-
-
 def with_fingerprint(df: DataFrame, out: str, p: FingerprintParams) -> DataFrame:
     """doc_id, text and ``out``: entries of the samples of ``text``; texts meet theirs by two hashes. ``df`` has doc_id and text alone."""
     df = df.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), F.col("text")))
@@ -230,27 +234,25 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.when(~F.col("copy"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))
     rows = with_next(docs, p).withColumn("edited", edited)
     place = ["g", "block", "spot"]
-    # From the dealing on no text moves: own and edited texts are drawn where they lie.
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    texts = rows.select(*place, F.explode(both).alias("e")).select(*place, "e.kind", "e.t")
-    found = prints(texts, "t", [*place, "kind"], "f", p, place)
+    # From the dealing on no text moves: own and edited texts are drawn where they lie, and the row's other values go with the draws as integers.
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    quarter = lambda k: F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10).cast("long")
+    flags = F.col("copy").cast("long") + 2 * F.col("doc_id").isNull().cast("long")
+    told = F.array(F.coalesce("doc_id", F.lit(0)), n.cast("long"), flags, *(F.coalesce(quarter(k), F.lit(0)) for k in range(4)))
+    none = F.lit(None).cast(_EMPTY)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("t"), c.alias("c")) for k, t, c in ((0, F.col("text"), none), (1, F.col("edited"), none), (2, F.lit(""), told))))
+    texts = rows.select(*place, F.explode(each).alias("e")).select(*place, "e.kind", "e.t", "e.c")
+    found = prints(texts, "t", [*place, "kind"], "f", p, place, F.col("c"))
     of_kind = lambda k: F.coalesce(F.get(F.filter("f", lambda x: x["kind"] == k), F.lit(0))["entries"], F.array().cast(_EMPTY))
-    found = found.select(*place, of_kind(0).alias("f0"), of_kind(1).alias("f1"))
-    # A row whose texts have no words is not there, so the one after it may be further off.
-    order = Window.partitionBy("g", "block").orderBy("spot")
-    after = F.when(F.lead("spot").over(order) == F.col("spot") + 1, F.lead("f0").over(order))
-    found = found.withColumn("near_next", likeness(F.col("f0"), F.coalesce(after, F.array().cast(_EMPTY))))
-    wordless = F.when(F.col("next.text").rlike(r"[^ \t\n\r\f\x0b]"), 0.0).otherwise(1.0)
-    told = rows.filter(~F.col("copy")).select(*place, "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), wordless.alias("both_empty"))
-    done = told.join(found, place, "left")
-    empty = F.array().cast(_EMPTY)
-    done = done.withColumn("f0", F.coalesce("f0", empty)).withColumn("f1", F.coalesce("f1", empty))
+    found = found.select(*place, of_kind(0).alias("f0"), of_kind(1).alias("f1"), of_kind(2).alias("v"))
+    value = lambda k: F.get("v", F.lit(k))
+    done = found.withColumn("f2", F.lead("f0").over(Window.partitionBy("g", "block").orderBy("spot"))).filter(value(2).bitwiseAND(1) == 0)
     return done.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
+        F.when(value(2) == 0, value(0)).alias("doc_id"),
+        value(1).alias("n_chars"),
+        F.concat(*(F.lpad(F.lower(F.hex(value(3 + k))), 16, "0") for k in range(4))).alias("edited_sha256"),
         as_text(F.col("f0")).alias("fingerprint"),
         as_text(F.col("f1")).alias("edited_fingerprint"),
         likeness(F.col("f0"), F.col("f1")).alias("near_edited"),
-        F.coalesce("near_next", "both_empty").alias("near_next"),
+        likeness(F.col("f0"), F.col("f2")).alias("near_next"),
     )
