@@ -116,9 +116,10 @@ def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams, carry:
     df = df.select(*key, zero(F.col("run"), 0).alias("run"), zero(F.get("weights", F.col("at")), 1).cast("double").alias("weight"), zero(F.col("limit"), 0.0).alias("limit"))
     log = F.when(F.col("weight") <= 1.0, 0.0).otherwise(zero(F.ln("weight"), 0.0))
     limit = F.col("limit")
-    most = F.greatest(F.least(limit * F.col("weight"), F.lit(1.0)), F.lit(0.0)) * float(1 << 60)
+    most = F.least(limit * F.col("weight"), F.lit(1.0)) * float(1 << 60)
+    most = F.when(F.col("weight") < 0, F.lit(-1).cast("long")).otherwise(most.cast("long") + 1)  # a carried number is no draw
     squared = F.when(F.col("weight") == 1.0, F.least(limit * limit, F.lit(1.0))).otherwise(1.0) * float(1 << 60)
-    return df.select(*key, "run", "weight", log.alias("log_weight"), (most.cast("long") + 1).alias("most"), (squared.cast("long") + 1).alias("most2"))
+    return df.select(*key, "run", "weight", log.alias("log_weight"), most.alias("most"), (squared.cast("long") + 1).alias("most2"))
 
 
 def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams, group: list[str] | None = None, carry: Column | None = None) -> DataFrame:

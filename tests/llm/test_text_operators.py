@@ -423,6 +423,15 @@ def test_the_bound_changes_nothing(spark, small):
     assert all(fingerprints.NONE not in f for f in got[0].values())
 
 
+def test_carried_numbers_stay_as_they_are(spark):
+    """Among many, since a draw that took a carried number's place would be rare."""
+    p = fingerprints.FingerprintParams()
+    rows = spark.range(20_000).select("id", F.lit("").alias("t"), F.array("id", F.col("id"), F.lit(2**63 - 1), F.lit(-(2**63)), F.xxhash64("id"), F.lit(0).cast("long"), F.lit(1).cast("long")).alias("c"))
+    got = fingerprints.prints(rows, "t", ["id"], "f", p, carry=F.col("c"))
+    both = rows.join(got, "id")
+    assert both.filter(F.slice("f", 1, 7) == F.col("c")).count() == 20_000
+
+
 @pytest.mark.parametrize("ids", [[k * 7 - 300 for k in range(90)], [hash((k, "x")) for k in range(90)], [*range(60), *(10**15 + k * 10**9 for k in range(30))], [5] * 40 + [None] * 20 + [-(2**63), 2**63 - 1]], ids=["dense", "hashed", "clustered", "equal"])
 def test_every_document_has_its_successor(spark, ids):
     texts = [(i, f"text {k}") for k, i in enumerate(ids)]
