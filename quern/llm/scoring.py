@@ -227,11 +227,11 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
                     yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
 
     def counted(requests: DataFrame, name: str) -> DataFrame:
-        return stage(spark, requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary"), f"scoring-answers-{name}")
+        answered = requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary")
+        # Answers that are read once go straight on; those of several rounds are written.
+        return answered if p.at_once == p.order else stage(spark, answered, f"scoring-answers-{name}")
 
-    small_batches(spark, 1)  # a row is a block
     answers = counted(blocks.mapInArrow(begin, asking), "first")
-    small_batches(spark)
     for n in range(p.at_once + 1, p.order + 1):
         requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), asking)
         answers = answers.unionByName(counted(requests, str(n)))
