@@ -218,22 +218,27 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
         counts = [pack(totals[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table({"n": t.column("n"), "part": t.column("part"), "block": t.column("block"), "counts": pa.array(counts, pa.binary())})
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                opened_ = Block(row, parts, {}, 0, p)
-                for n in range(1, p.at_once + 1):
-                    rows = [r | {"n": n} for r in opened_.requests(row["block"], n)]
-                    yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
+    def begin(orders: tuple[int, ...]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    opened_ = Block(row, parts, {}, 0, p)
+                    for n in orders:
+                        rows = [r | {"n": n} for r in opened_.requests(row["block"], n)]
+                        yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=request_type)
 
-    def counted(requests: DataFrame, name: str) -> DataFrame:
-        answered = requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary")
-        # Answers that are read once go straight on; those of several rounds are written.
-        return answered if p.at_once == p.order else stage(spark, answered, f"scoring-answers-{name}")
+        return run
 
-    answers = counted(blocks.mapInArrow(begin, asking), "first")
-    for n in range(p.at_once + 1, p.order + 1):
-        requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), asking)
+    def counted(requests: DataFrame, name: str) -> DataFrame:
+        return stage(spark, requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary"), f"scoring-answers-{name}")
+
+    # A round for short n-grams and one for each longer order, so that the files of one round are gone before the next.
+    answers = counted(blocks.mapInArrow(begin(tuple(range(1, min(2, p.order) + 1))), asking), "first")
+    for n in range(3, p.order + 1):
+        if n <= p.at_once:
+            requests = blocks.mapInArrow(begin((n,)), asking)
+        else:
+            requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), asking)
         answers = answers.unionByName(counted(requests, str(n)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
