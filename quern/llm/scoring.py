@@ -60,7 +60,7 @@ _CODEC = "zstd"
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A compressed array; ascending 64-bit integers as differences, byte planes together."""
+    """A compressed array, byte planes together."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T) if len(values) else np.zeros(0, np.uint8)
     raw = planes.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
@@ -74,6 +74,7 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def _ascending(hashes: np.ndarray) -> bytes:
+    """As differences (modulo 2**64, so any order comes back, and ascending runs take less room)."""
     return pack(np.diff(hashes, prepend=np.uint64(0)))
 
 
@@ -165,7 +166,11 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
         def block() -> pa.RecordBatch:
             nonlocal number
             words = np.concatenate([np.zeros(0, np.uint64), *hashes])
-            dictionary, index = np.unique(words, return_inverse=True)
+            dictionary, index, times = np.unique(words, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which take less room
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            dictionary, index = dictionary[order], rank[index]
             row = {"block": [(task << 32) + number], "ids": pa.array([ids], pa.list_(pa.int64())), "n": [len(words)], "sizes": [pack(np.concatenate(sizes).astype("<i8"))], "dictionary": [_ascending(dictionary)], "words": [pack(index.astype("<u4"))]}
             number += 1
             return pa.RecordBatch.from_pydict(row)
