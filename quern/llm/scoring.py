@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import documents, only, slices, small_batches, stage, texts_of
+from quern.llm.shared import batches_of, documents, only, slices, small_batches, stage, texts_of
 from quern.llm.textkernel import SPACES, Tokens, mix
 
 
@@ -235,7 +235,8 @@ def backoff_scores(docs: DataFrame, params: ScoringParams = ScoringParams()) ->
         return run
 
     def counted(requests: DataFrame, name: str) -> DataFrame:
-        return stage(spark, requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary"), f"scoring-answers-{name}")
+        with batches_of(spark, 1):  # a row is a block, or a message of one
+            return stage(spark, requests.groupBy("n", "part").applyInArrow(count, "n int, part int, block long, counts binary"), f"scoring-answers-{name}")
 
     # A round for short n-grams and one for each longer order, so that the files of one round are gone before the next.
     answers = counted(blocks.mapInArrow(begin(tuple(range(1, min(2, p.order) + 1))), asking), "first")

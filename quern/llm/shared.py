@@ -12,6 +12,7 @@ helpers here unchanged.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.session import release, ship, stage, staged
 
-__all__ = ["documents", "free_names", "held_out", "let", "only", "refuse_clash", "release", "slices", "small_batches", "stage", "staged", "texts_of", "training_sample"]
+__all__ = ["batches_of", "documents", "free_names", "held_out", "let", "only", "refuse_clash", "release", "slices", "small_batches", "stage", "staged", "texts_of", "training_sample"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are kept small.
 BATCH_ROWS = 256
@@ -54,6 +55,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` for what runs inside, for tables of large rows; the session's own bound comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``limit`` characters together."""
     start = total = 0
