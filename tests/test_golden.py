@@ -12,9 +12,9 @@ from quern.operators import agents, fusion, learning, resilience, search, teleme
 
 
 def test_payload_top_one_and_null_filter(spark):
-    rows = spark.createDataFrame([("doc1", [1.0, 0.0, 0.0], {"category": "tech"}), ("doc2", [0.0, 1.0, 0.0], {"category": "finance"})], "id string, vector array<double>, payload map<string,string>")
-    got = search.search(rows, [0.9, 0.1, 0.0], search.payload_matches({"category": "tech"}), 1).collect()
-    assert [(r["id"], round(r["score"], 6)) for r in got] == [("doc1", round(0.9 / math.sqrt(0.82), 6))]
+    rows = spark.createDataFrame([("p", [3.0, 4.0, 0.0], {"shelf": "low"}), ("q", [0.0, 0.0, 2.0], {"shelf": "high"})], "id string, vector array<double>, payload map<string,string>")
+    got = search.search(rows, [1.0, 2.0, 2.0], search.payload_matches({"shelf": "low"}), 1).collect()
+    assert [(r["id"], round(r["score"], 6)) for r in got] == [("p", round(11 / 15, 6))]
     assert search.search(rows, [1.0, 0.0, 0.0], search.payload_matches({"absent": None})).count() == 2
     assert search.search(rows, [1.0, 0.0, 0.0], search.payload_matches(None), 0).count() == 0
     with pytest.raises(ValueError):
