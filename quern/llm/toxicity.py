@@ -45,7 +45,7 @@ class ToxicityParams:
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     #: Least log odds, and least log-likelihood ratios, of a term.
     least_odds: float = 1.5
-    least_ratio: float = 20.0
+    least_ratio: float = 25.0
     least_pair_ratio: float = 15.0
     window: int = 16
     edit_discount: float = 0.6
