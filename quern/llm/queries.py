@@ -16,6 +16,7 @@ from quern.llm.quality import op2_quality
 from quern.llm.scoring import SCORING_SQL, op4_scoring
 from quern.llm.topk import TOPK_SQL, op3_topk
 from quern.llm.toxicity import op10_toxicity
+from quern.llm.upsert import op12_upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op12_upsert": op12_upsert,
 }
 
 ORACLE_SQL: dict[str, str] = {
