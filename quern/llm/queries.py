@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.fingerprints import op9_fingerprints
 from quern.llm.jaccard import op5_jaccard
+from quern.llm.licenses import op13_licenses
 from quern.llm.lines import op1_lines
 from quern.llm.packing import op7_packing
 from quern.llm.pieces import op8_sentencepiece
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op12_upsert": op12_upsert,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
