@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.conversations import op11_conversations
 from quern.llm.fingerprints import op9_fingerprints
 from quern.llm.jaccard import op5_jaccard
 from quern.llm.licenses import op13_licenses
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_conversations": op11_conversations,
     "op12_upsert": op12_upsert,
     "op13_licenses": op13_licenses,
 }
