@@ -240,10 +240,14 @@ class RollingPercentiles:
 
     def step(self, state: tuple, value: float) -> tuple[tuple, tuple]:
         ring, ordered = state
+        value = None if value is None or value != value else value
         ring.append(value)
-        insort(ordered, value)
-        if len(ring) > self.size:
-            ordered.pop(bisect_left(ordered, ring.pop(0)))
+        if value is not None:
+            insort(ordered, value)
+        if len(ring) > self.size and (gone := ring.pop(0)) is not None:
+            ordered.pop(bisect_left(ordered, gone))
+        if not ordered:
+            return (ring, ordered), (None,) * len(self.at)
         out = []
         for q in self.at:
             place = q * (len(ordered) - 1)

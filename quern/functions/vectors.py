@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision, summed from the first component on."""
+    """Inner product in double precision, summed from the first component on; the shorter vector counts as if it ended in zeros."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return F.aggregate(F.slice(products, F.lit(1), F.least(F.size(a), F.size(b))), F.lit(0.0), lambda total, x: total + x)
 
 
 def norm(v: Column) -> Column:

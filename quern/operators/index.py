@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalized
-from quern.operators.search import rows_of, usable
+from quern.operators.search import rows_of, type_of, usable
 from quern.session import ship
 
 
@@ -49,7 +49,7 @@ def _nearest_lists(df: DataFrame, centers: np.ndarray, count: int, name: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))], [name, "v", "lists"])
 
     fits = usable(F.col("vector")) & (F.size("vector") <= centers.shape[1])
-    return df.filter(fits).select(name, normalized(F.col("vector")).alias("v")).mapInArrow(run, f"{name} long, v array<double>, lists array<int>")
+    return df.filter(fits).select(name, normalized(F.col("vector")).alias("v")).mapInArrow(run, f"{name} {type_of(df, name)}, v array<double>, lists array<int>")
 
 
 def build(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -67,16 +67,16 @@ def probe(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int = 10
     right = asked.filter(pieces > 0).select("query_id", "v", "list", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [[], [], []]
         if a.num_rows and b.num_rows:
             ids = a.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             scores = rows_of(b.column("v"), centers.shape[1]) @ rows_of(a.column("v"), centers.shape[1])[order].T
             best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             out = [np.repeat(b.column("query_id").to_numpy(), best.shape[1]), ids[order][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        return pa.table({"query_id": pa.array(out[0], b.schema.field("query_id").type), "id": pa.array(out[1], a.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
 
-    met = left.groupBy("list", "piece").cogroup(right.groupBy("list", "piece")).applyInArrow(meet, "query_id long, id long, score double")
+    met = left.groupBy("list", "piece").cogroup(right.groupBy("list", "piece")).applyInArrow(meet, f"query_id {type_of(queries, 'query_id')}, id {type_of(index, 'id')}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

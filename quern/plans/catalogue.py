@@ -92,6 +92,15 @@ def vector_topk_multi(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["vector_topk_multi"].replace("q.vec_id AS query_id, c.vec_id AS vec_id", "'q' || q.vec_id AS query_id, 'v' || c.vec_id AS vec_id"))
+def vector_topk_named(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that are strings."""
+    named = lambda letter, name: F.concat(F.lit(letter), F.col("id").cast("string")).alias(name)
+    all_ = vectors(spark, d)
+    found = search.search_many(all_.filter("id % 20 = 0").select(named("q", "query_id"), "vector"), all_.select(named("v", "id"), "vector"), 3)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT user_id, event_id, event_type, value, first_seq FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first_seq FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def vector_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return search.upsert_latest(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value", "first_seq")

@@ -7,6 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +44,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Staged tables that are not dropped yet, in the order in which they were written.
+#: Staged tables that no scope has: they stay until the process ends.
 _STAGED: list[str] = []
+#: Staged tables of the innermost scope that is open in this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A scope: what is staged inside, by this thread, is dropped when it ends, also by an error.
+
+    Write or collect what was computed from staged tables before that. Scopes of
+    other threads (two streams, a pipeline beside a query) do not see each other;
+    a scope within a scope has its own tables.
+    """
+    own: list[str] = []
+    outer = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(outer)
+        for path in reversed(own):
+            drop(spark, path)
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back with its schema.
 
-    The table stays until ``release`` or the end of the process.
+    The table stays until its scope or, outside of any, the process ends.
     """
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     keep(spark, path)
@@ -57,12 +80,21 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, path: str) -> None:
-    """Counts the table at ``path`` among the staged ones."""
+    """Counts the table at ``path`` among those of the scope."""
+    own = _SCOPE.get()
+    if own is not None:
+        own.append(path)
+        return
     if not _STAGED:
-        atexit.register(release, spark)
+        atexit.register(_at_exit, spark)
     _STAGED.append(path)
 
 
+def _at_exit(spark: SparkSession) -> None:
+    while _STAGED:
+        drop(spark, _STAGED.pop())
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table in the shared folder."""
     try:
@@ -73,11 +105,9 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def staged() -> int:
-    """A mark for ``release``: how many staged tables there are."""
+    """A mark for ``release``."""
     return len(_STAGED)
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Drops the tables staged since a mark; call it once what was computed from them is written or collected."""
-    while len(_STAGED) > since:
-        drop(spark, _STAGED.pop())
+    """Nothing: ``staging`` drops what a scope has."""

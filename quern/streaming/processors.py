@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quern.session import release, ship, stage, staged
+from quern.session import ship, stage, staging
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -109,12 +109,11 @@ def deliver(stream: DataFrame, provider, results: str, dead: str, checkpoint: st
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        mark = staged()
-        tasks = stage(df.sparkSession, df, "tasks")  # the source is read once
-        done, failed = attempts(tasks, provider, max_retries)
-        done.write.mode("overwrite").parquet(f"{results}/batch={number}")
-        failed.write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        release(df.sparkSession, mark)
+        with staging(df.sparkSession):
+            tasks = stage(df.sparkSession, df, "tasks")  # the source is read once
+            done, failed = attempts(tasks, provider, max_retries)
+            done.write.mode("overwrite").parquet(f"{results}/batch={number}")
+            failed.write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
