@@ -61,15 +61,20 @@ class PackingParams:
 #: What the file's "ByteLevel" pre-tokenizer stands for: a fixed pattern.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters for which both tokenizer libraries are known to split alike: Latin, Greek and Cyrillic scripts, general punctuation.
+_SPACES = re.compile(r"\s+")
 _PLAIN = re.compile(r"[^\x00-ɏͰ-ӿ‐-‧‰-⁞₠-₿]")
 
 
+#: The faster library keeps a state for each character of a run of white space, and gives up at a million or so; texts with runs beyond this are not for it.
+RUN = 10_000
+
+
 class Encoder:
     """Ids as the tokenizer file gives them, and whether an id ends a sentence.
 
     Plain texts go through a faster library on the same vocabulary and merges,
-    which gives the same ids; texts with other characters, or with the string of
-    a special token, go through the tokenizer itself. So do all texts where the
+    which gives the same ids; texts with other characters, with the string of
+    a special token, or with long runs of white space go through the tokenizer itself. So do all texts where the
     file asks for anything but plain byte-level pairs, merged in the order of
     their ids.
     """
@@ -107,7 +112,7 @@ class Encoder:
         return merged == sorted(merged) and len(set(merged)) == len(merged)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special):
+        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special) or (len(text) >= RUN and max(map(len, _SPACES.findall(text)), default=0) >= RUN):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
