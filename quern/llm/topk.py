@@ -116,7 +116,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     order = np.lexsort((c_ids, -c_norm))
     plain, c_ids, c_norm = c[order], c_ids[order], c_norm[order]
     # A query's own row: the first one equal to it.
-    place = {(i, v.tobytes()): k for k, (i, v) in reversed(list(enumerate(zip(c_ids.tolist(), plain + 0.0, strict=True)))) if i in set(q_ids.tolist())} if len(q_ids) else {}
+    asked = np.flatnonzero(np.isin(c_ids, q_ids))[::-1].tolist()
+    place = {(int(c_ids[k]), (plain[k] + 0.0).tobytes()): k for k in asked}
     own = np.array([place.get((i, v.tobytes()), -1) for i, v in zip(q_ids.tolist(), q + 0.0, strict=True)], np.int64)
     c, qx = as_kind(plain, kind), as_kind(q, kind)
     unit = q / np.where(q_norm > 0, q_norm, 1)[:, None]
@@ -246,14 +247,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The whole result in DuckDB's SQL.
 TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
