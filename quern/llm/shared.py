@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import release, ship, stage, staged
+from quern.session import ship, stage, staging
 
-__all__ = ["batches_of", "documents", "free_names", "held_out", "let", "only", "refuse_clash", "release", "slices", "small_batches", "stage", "staged", "texts_of", "training_sample"]
+__all__ = ["batches_of", "documents", "free_names", "held_out", "let", "only", "refuse_clash", "ship", "slices", "small_batches", "stage", "staging", "texts_of", "training_sample"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are kept small.
 BATCH_ROWS = 256

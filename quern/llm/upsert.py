@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.shared import free_names, release, ship, small_batches, stage, staged
+from quern.llm.shared import free_names, ship, small_batches, stage, staging
 from quern.session import shared_dir
 
 IGNORE, DELETE, SET = "ignore", "delete", "set"
@@ -194,7 +194,11 @@ def upsert(spark: SparkSession, path: str, schema: T.StructType, changes: DataFr
     the home alone or on the latest change. Files hold ``most`` rows at most.
     """
     small_batches(spark, 10_000)
-    mark = staged()
+    with staging(spark):
+        return _upsert(spark, path, schema, changes, key, sets, action, most, seq, change_id)
+
+
+def _upsert(spark: SparkSession, path: str, schema: T.StructType, changes: DataFrame, key: str, sets: list[str], action: Callable[[Column], Column], most: int, seq: str, change_id: str) -> list[str]:
     table = spark.read.schema(schema).parquet(path)
     ends = table.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()  # a row per starting file
     ends.sort(key=lambda r: (r["first"], r["last"], r["file"]))
@@ -219,7 +223,6 @@ def upsert(spark: SparkSession, path: str, schema: T.StructType, changes: DataFr
     acted = stage(spark, acted.filter(F.col("does") != IGNORE).withColumn("to", F.explode(F.sequence("at.lo", "at.home"))), "upsert-changes")
     touched = [r["to"] for r in acted.select("to").distinct().collect()]  # starting files at most
     if not touched:
-        release(spark, mark)
         return []
     rows = spark.read.schema(schema).parquet(*(f"{path}/{names[h]}" for h in sorted(touched)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -262,7 +265,6 @@ def upsert(spark: SparkSession, path: str, schema: T.StructType, changes: DataFr
         if not fs.rename(path_of(f"{new}/{name}"), path_of(f"{path}/{name}")):
             raise OSError(f"could not move {new}/{name}")
     fs.delete(hidden, True)
-    release(spark, mark)
     return added
 
 
