@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
-from quern.operators import agents, fusion, index, learning, resilience, search, telemetry, text
+from quern.operators import agents, fusion, index, learning, postings, resilience, search, telemetry, text
+from quern.session import keep, shared_dir
 from quern.sources.stores import mock_embeddings, streams_of
 from quern.streaming.processors import attempts, latest_results, windowed_counts
 
@@ -263,6 +265,27 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+_BM25_MANY = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM t),
+tf AS (SELECT doc_id, len(any_value(w)) AS n, term, count(*) AS f FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY doc_id, term),
+idf AS (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN st GROUP BY term),
+q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(string_split_regex(lower(substr(text, 1, 40)), '[^\\p{L}]+'), lambda w: w <> '')) AS term FROM documents WHERE doc_id % 20 = 0),
+b AS (SELECT query_id, doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) CROSS JOIN st GROUP BY query_id, doc_id)"""
+
+
+@query(f"WITH {_BM25_MANY} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 5")
+def bm25_many(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of every twentieth document as queries, through the inverted index."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    built = postings.build(docs)
+    folder = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    keep(spark, folder)
+    built.save(folder)
+    found, _ = postings.search(postings.load(spark, folder), asked, 5)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH {_BM25}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 3)
 SELECT 'the que der' AS query, count(*) AS n, md5(string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5 FROM k JOIN documents d USING (doc_id)"""
