@@ -69,6 +69,12 @@ _PLAIN = re.compile(r"[^\x00-ɏͰ-ӿ‐-‧‰-⁞₠-₿]")
 RUN = 10_000
 
 
+def _long_run(text: str) -> bool:
+    """Whether a run of white space reaches RUN: then half of it follows on one of the characters looked at here."""
+    half = RUN // 2
+    return any(text[at].isspace() and _SPACES.match(text, at).end() - at >= half for at in range(0, len(text), half))
+
+
 class Encoder:
     """Ids as the tokenizer file gives them, and whether an id ends a sentence.
 
@@ -112,7 +118,7 @@ class Encoder:
         return merged == sorted(merged) and len(set(merged)) == len(merged)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special) or (len(text) >= RUN and max(map(len, _SPACES.findall(text)), default=0) >= RUN):
+        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special) or _long_run(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
