@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
-from quern.operators import agents, fusion, index, learning, postings, resilience, search, telemetry, text
+from quern.operators import agents, fusion, index, learning, payloads, postings, resilience, search, telemetry, text
 from quern.session import keep, shared_dir
 from quern.sources.stores import mock_embeddings, streams_of
 from quern.streaming.processors import attempts, latest_results, windowed_counts
@@ -144,6 +144,39 @@ def ann_topk_all_lists(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["vector_topk_multi"].replace("rank <= 3", "rank <= 5"))
+def ann_topk_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The index probed as far as its lists can hold something near enough."""
+    all_ = vectors(spark, d).select("id", "vector")
+    centers = index.fit_centroids(all_, 16)
+    found, _ = index.exact(all_.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), index.build(all_, centers), centers, 5)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_FILTERED = ORACLE_SQL["vector_topk_multi"].replace("SELECT vec_id, list_transform", "SELECT vec_id, label, list_transform").replace("q.vec_id % 20 = 0", "q.vec_id % 20 = 0 AND c.label % 4 = 2 AND c.vec_id % 3 IN (0, 1)")
+
+
+def _payload_search(spark: SparkSession, d: str, way: str) -> DataFrame:
+    """Rows of one tenant that an analyst may see, nearest to every twentieth vector."""
+    all_ = vectors(spark, d)
+    folder = f"{shared_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    keep(spark, folder)
+    built = payloads.build(all_, {"tenant": F.col("tenant_id"), "role": F.col("allowed_roles"), "category": F.col("payload")["category"]}, folder, 16)
+    asked = all_.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    found, _ = payloads.search(built, asked, {"tenant": "T2", "role": [None, "analyst"], "category": "even"}, 3, way=way)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_FILTERED)
+def payload_filter_first(spark: SparkSession, d: str) -> DataFrame:
+    return _payload_search(spark, d, "filter")
+
+
+@query(_FILTERED)
+def payload_index_first(spark: SparkSession, d: str) -> DataFrame:
+    return _payload_search(spark, d, "index")
+
+
 _CACHE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM v),
 s AS (SELECT q.vec_id AS query_id, c.label, c.vec_id, list_dot_product(q.e, c.e) / (q.nrm * c.nrm) AS score FROM n q CROSS JOIN n c WHERE q.vec_id % 2 = 1 AND c.vec_id % 2 = 0),
