@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
-from quern.operators import agents, fusion, index, learning, payloads, postings, resilience, search, telemetry, text
+from quern.operators import agents, fusion, graph_index, index, learning, payloads, postings, resilience, search, telemetry, text
 from quern.session import keep, shared_dir
 from quern.sources.stores import mock_embeddings, streams_of
 from quern.streaming.processors import attempts, latest_results, windowed_counts
@@ -153,6 +153,23 @@ def ann_topk_exact(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["vector_topk_multi"].replace("rank <= 3", "rank <= 5"))
+def hnsw_full_beam(spark: SparkSession, d: str) -> DataFrame:
+    """The layered graph with a beam as wide as a shard, which is exact."""
+    all_ = vectors(spark, d).select("id", "vector")
+    graph = graph_index.build(all_, shard_rows=1024)
+    found = graph_index.search(all_.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), graph, 5, beam=100_000)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def hnsw_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours through the layered graph; a test measures recall against the exact search."""
+    all_ = vectors(spark, d).select("id", "vector")
+    found = graph_index.search(all_.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), graph_index.build(all_), 5, beam=96)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 _FILTERED = ORACLE_SQL["vector_topk_multi"].replace("SELECT vec_id, list_transform", "SELECT vec_id, label, list_transform").replace("q.vec_id % 20 = 0", "q.vec_id % 20 = 0 AND c.label % 4 = 2 AND c.vec_id % 3 IN (0, 1)")
 
 
