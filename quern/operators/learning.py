@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rl
 from quern.operators.fold import ordered_fold
+from quern.session import stage
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,47 @@ def value_iteration(transitions: DataFrame, sweeps: int = 10, gamma: float = 0.9
     return values
 
 
+def _converged(spark, start: DataFrame, sweep, gamma: float, tolerance: float, most: int) -> tuple[DataFrame, float, int]:
+    """Sweeps until the values are within ``tolerance`` of the fixed point, by the contraction: gamma / (1 - gamma) times the last change bounds the distance."""
+    if not 0 <= gamma < 1 or tolerance <= 0:
+        raise ValueError("gamma lies in [0, 1), and the tolerance is above 0")
+    values, bound = stage(spark, start, "values-0"), float("inf")
+    for k in range(1, most + 1):
+        both = sweep(values).join(values.select(F.col("s").alias("s_"), F.col("v").alias("before")), F.col("s") == F.col("s_"), "left")
+        both = stage(spark, both.select("s", "v", F.coalesce("before", F.lit(0.0)).alias("before")), f"values-{k}")
+        change = both.agg(F.coalesce(F.max(F.abs(F.col("v") - F.col("before"))), F.lit(0.0))).head()[0]
+        values, bound = both.select("s", "v"), change * gamma / (1 - gamma)
+        if bound <= tolerance:
+            return values, bound, k
+    return values, bound, most
+
+
+def optimal_values(transitions: DataFrame, gamma: float = 0.9, tolerance: float = 1e-6, most: int = 1000) -> tuple[DataFrame, float, int]:
+    """s, v of the best policy, a bound on the greatest error of any v, and the sweeps it took; ``transitions`` has s, a, s2, p, r.
+
+    Each sweep is written, so a plan holds one. States without transitions have the value 0.
+    """
+    start = transitions.select("s").distinct().withColumn("v", F.lit(0.0))
+    return _converged(transitions.sparkSession, start, lambda v: action_values(transitions, v, gamma).groupBy("s").agg(F.max("q").alias("v")), gamma, tolerance, most)
+
+
+def policy_values(transitions: DataFrame, policy: DataFrame, gamma: float = 0.9, tolerance: float = 1e-6, most: int = 1000) -> tuple[DataFrame, float, int]:
+    """s, v under ``policy`` (s, a, pi), with the bound and the sweeps."""
+    start = transitions.select("s").distinct().withColumn("v", F.lit(0.0))
+
+    def sweep(values: DataFrame) -> DataFrame:
+        q = action_values(transitions, values, gamma)
+        return q.join(policy, ["s", "a"]).groupBy("s").agg(F.sum(F.col("pi") * F.col("q")).alias("v"))
+
+    return _converged(transitions.sparkSession, start, sweep, gamma, tolerance, most)
+
+
+def greedy_policy(transitions: DataFrame, values: DataFrame, gamma: float = 0.9) -> DataFrame:
+    """s, a, q: the action of greatest value in each state, to nine digits; ties to the smaller action."""
+    q = action_values(transitions, values, gamma)
+    return q.groupBy("s").agg(F.min_by(F.struct("a", "q"), F.struct(-F.round("q", 9), "a")).alias("best")).select("s", "best.a", "best.q")
+
+
 def policy_evaluation(transitions: DataFrame, policy: DataFrame, sweeps: int = 10, gamma: float = 0.9) -> DataFrame:
     """s, v after ``sweeps`` expectation sweeps under ``policy`` (s, a, pi)."""
     values = transitions.select("s").distinct().withColumn("v", F.lit(0.0))

@@ -26,36 +26,34 @@ def rolling_percentiles(events: DataFrame, keys: list[str], order: list[str], va
 
 
 def rolling_percentiles_split(events: DataFrame, keys: list[str], time: str, tie: str, value: str, size: int = 1000, rows: int = 100_000) -> DataFrame:
-    """The same with each key cut by ``time`` (a number) into slices of about ``rows`` rows, so that one key is many tasks' work.
+    """The same with the events cut by rank into slices of about ``rows`` rows, so that one key, and one time, is many tasks' work.
 
-    A frame reaches back at most ``size`` - 1 rows, so a slice gets copies of the
-    last rows of those before it, as many as its first row can see, and drops
-    them at the end. Nulls in ``time`` come first.
+    A range partitioning on key, time and tie (and a row's own place, for rows
+    alike in all) gives the slices. A frame reaches back at most ``size`` - 1 rows, so
+    a slice gets copies of the last rows of those before it, as many as its first row
+    can see, and drops them at the end. Nulls in ``time`` come first; a null or NaN
+    value takes a place in the frame and is no number in it. Columns may have any names but p50 and p99.
     """
     spark = events.sparkSession
-    at = F.col(time).cast("double")
-    spans = events.groupBy(*keys).agg(F.count("*").alias("n_"), F.min(at).alias("t0_"), F.max(at).alias("t1_"))
-    width = (F.col("t1_") - F.col("t0_")) / F.ceil(F.col("n_") / rows)
-    spans = spans.select(*(F.col(k).alias(f"{k}_") for k in keys), "t0_", F.when(width > 0, width).otherwise(1.0).alias("w_"))
-    same = lambda df: [F.col(k).eqNullSafe(df[f"{k}_"]) for k in keys]
-    cut = events.join(F.broadcast(spans) if spans.count() <= 10_000 else spans, same(spans)).withColumn("slice_", F.coalesce(F.floor((at - F.col("t0_")) / F.col("w_")), F.lit(-1)))
-    cut = cut.drop("t0_", "w_", *(f"{k}_" for k in keys))
-    # How many rows lie between the ends of slices says which slices still see which.
-    sizes = cut.groupBy(*keys, "slice_").agg(F.count("*").alias("n_"))
-    until = Window.partitionBy(*keys).orderBy("slice_")
-    ends = stage(spark, sizes.select(*keys, "slice_", F.sum("n_").over(until).alias("end_"), (F.sum("n_").over(until) - F.col("n_")).alias("begin_")), "rolling-slices")
-    later = ends.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("slice_").alias("to_"), F.col("begin_").alias("first_"))
-    seen = ends.join(later, [*same(later), F.col("to_") > F.col("slice_"), F.col("first_") - F.col("end_") < size - 1])
-    seen = seen.select(*keys, "slice_", "to_", (F.col("first_") - F.col("end_")).alias("between_"))
-    reach = seen.groupBy(*keys, "slice_").agg(F.collect_list(F.struct("to_", "between_")).alias("to_"))  # size - 1 slices at most
-    reach = reach.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("slice_").alias("of_"), "to_")
-    back = F.row_number().over(Window.partitionBy(*keys, "slice_").orderBy(F.desc(time), F.desc(tie)))
-    ranked = cut.withColumn("back_", back)
-    tails = ranked.filter(F.col("back_") < size).join(reach, [*same(reach), F.col("slice_") == F.col("of_")])
-    copies = tails.withColumn("e_", F.explode("to_")).filter(F.col("back_") + F.col("e_.between_") < size)
-    copies = copies.select(*events.columns, F.col("e_.to_").alias("slice_"), F.lit(True).alias("copy_"))
-    both = cut.withColumn("copy_", F.lit(False)).unionByName(copies)
-    return ordered_fold(both, [*keys, "slice_"], [time, tie], RollingPercentiles(size), [value]).filter(~F.col("copy_")).drop("slice_", "copy_")
+    ks = [f"k{i}" for i in range(len(keys))]
+    inner = events.select(*(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), F.col(time).alias("time"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("value"), F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("row"), F.monotonically_increasing_id().alias("own"))
+    order = [*ks, F.col("time").asc_nulls_first(), F.col("tie").asc_nulls_first(), "own"]
+    dealt = inner.repartitionByRange(max(1, -(-events.count() // rows)), *order).sortWithinPartitions(*order)
+    dealt = stage(spark, dealt.select(*ks, "value", "row", F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("pos")), "rolling-rows")
+    # How many rows lie between the ends of a key's slices says which slices still see which.
+    until = Window.partitionBy(*ks).orderBy("slice")
+    sizes = dealt.groupBy(*ks, "slice").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    ends = stage(spark, sizes.select(*ks, "slice", "last", F.sum("n").over(until).alias("end"), (F.sum("n").over(until) - F.col("n")).alias("begin")), "rolling-slices")
+    later = ends.select(*(F.col(k).alias(f"{k}_") for k in ks), F.col("slice").alias("to"), F.col("begin").alias("first"))
+    same = lambda df: [F.col(k).eqNullSafe(df[f"{k}_"]) for k in ks]
+    seen = ends.join(later, [*same(later), F.col("to") > F.col("slice"), F.col("first") - F.col("end") < size - 1])
+    reach = seen.groupBy(*(F.col(k).alias(f"{k}_") for k in ks), F.col("slice").alias("of"), "last").agg(F.collect_list(F.struct("to", (F.col("first") - F.col("end")).alias("between"))).alias("seen"))  # size - 1 slices at most
+    tails = dealt.join(reach, [*same(reach), F.col("slice") == F.col("of")]).withColumn("back", F.col("last") - F.col("pos") + 1).filter(F.col("back") < size)
+    copies = tails.withColumn("e", F.explode("seen")).filter(F.col("back") + F.col("e.between") < size)
+    copies = copies.select(*ks, "value", "row", F.col("e.to").alias("slice"), "pos", F.lit(True).alias("copy"))
+    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
+    folded = ordered_fold(both, [*ks, "slice"], ["pos"], RollingPercentiles(size), ["value"])
+    return folded.filter(~F.col("copy")).select("row.*", "p50", "p99")
 
 
 def rolling_percentiles_native(events: DataFrame, keys: list[str], order: list[str], value: str, size: int = 1000) -> DataFrame:

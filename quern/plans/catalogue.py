@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
-from quern.operators import agents, fusion, graph_index, index, learning, payloads, postings, resilience, search, telemetry, text
+from quern.operators import agents, fusion, graph_index, graphs, index, learning, payloads, postings, resilience, search, telemetry, text
 from quern.session import keep, shared_dir
 from quern.sources.stores import mock_embeddings, streams_of
-from quern.streaming.processors import attempts, latest_results, windowed_counts
+from quern.streaming.processors import answered, attempts, latest_results, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -432,6 +432,20 @@ def state_deltas(spark: SparkSession, d: str) -> DataFrame:
     return agents.latest_state(deltas, "conv_id", "turn", ["user_chars", "assistant_chars"]).fillna(-1, ["user_chars", "assistant_chars"])
 
 
+@query(
+    """WITH v AS (SELECT unnest([0, 1, 2, 4, 7]) AS turn), q AS (SELECT DISTINCT conv_id, v.turn FROM conversations CROSS JOIN v)
+SELECT q.conv_id, q.turn, arg_max(length(text), c.turn) FILTER (role = 'user') AS user_chars, arg_max(length(text), c.turn) FILTER (role = 'assistant') AS assistant_chars
+FROM q LEFT JOIN conversations c ON c.conv_id = q.conv_id AND c.turn <= q.turn AND c.text IS NOT NULL GROUP BY q.conv_id, q.turn"""
+)
+def state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation's state at several of its versions."""
+    turns = table(spark, d, "conversations")
+    said = lambda role: F.when(F.col("role") == role, F.length("text")).cast("long")
+    deltas = turns.select("conv_id", "turn", said("user").alias("user_chars"), said("assistant").alias("assistant_chars"))
+    asked = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1, 2, 4, 7)))).alias("turn"))
+    return agents.state_at(deltas, asked, "conv_id", "turn", ["user_chars", "assistant_chars"], width=2)
+
+
 @query("SELECT CASE WHEN regexp_matches(text, '(?i)\\b(related|between|connect\\w*|path)\\b') THEN 'GRAPH' ELSE 'VECTOR' END AS path, count(*) AS n FROM conversations GROUP BY 1")
 def intent_router(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy(agents.intent(F.col("text")).alias("path")).agg(F.count("*").alias("n"))
@@ -484,6 +498,74 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     return agents.label_propagation(edges(spark, d), 3)
 
 
+@query()
+def graph_leiden(spark: SparkSession, d: str) -> DataFrame:
+    """Communities by modularity; tests hold it against label propagation and brute force."""
+    return graphs.leiden(edges(spark, d))
+
+
+_TYPED = """e0 AS (SELECT 'c' || c_custkey AS a, 'lives' AS type, 'n' || c_nationkey AS b FROM customer UNION SELECT 's' || s_suppkey, 'sells', 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'part', 'r' || n_regionkey FROM nation),
+e AS (SELECT a, type, b FROM e0 UNION SELECT b, type, a FROM e0)"""
+_PATHS = f"""WITH RECURSIVE {_TYPED}, w(node, path, types) AS (SELECT a, [a], CAST([] AS VARCHAR[]) FROM e WHERE a IN ('c1', 'c2', 'c3') GROUP BY a
+UNION ALL SELECT e.b, list_append(path, e.b), list_append(types, e.type) FROM w JOIN e ON e.a = w.node WHERE len(types) < {{most}} AND NOT list_contains(path, e.b))
+SELECT array_to_string(path, '>') AS path, array_to_string(types, '>') AS types FROM w WHERE len(types) >= {{least}} AND {{where}}"""
+
+
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    link = lambda t, p, x, kind, q, y: table(spark, d, t).select(F.concat(F.lit(p), F.col(x).cast("string")).alias("a"), F.lit(kind).alias("type"), F.concat(F.lit(q), F.col(y).cast("string")).alias("b"))
+    return link("customer", "c", "c_custkey", "lives", "n", "c_nationkey").union(link("supplier", "s", "s_suppkey", "sells", "n", "s_nationkey")).union(link("nation", "n", "n_nationkey", "part", "r", "n_regionkey"))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join("nodes", ">").alias("path"), F.array_join("types", ">").alias("types"))
+
+
+@query(_PATHS.format(most=3, least=2, where="true"))
+def graph_paths(spark: SparkSession, d: str) -> DataFrame:
+    """All paths of two or three edges, either way, from three customers."""
+    start = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "node string")
+    return _told(graphs.paths(typed_edges(spark, d), start, least=2, most=3, direction="any"))
+
+
+@query(_PATHS.format(most=4, least=1, where="node LIKE 's%'"))
+def graph_paths_between(spark: SparkSession, d: str) -> DataFrame:
+    """All paths of at most four edges from three customers to any supplier, grown from the end with fewer edges."""
+    start = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "node string")
+    end = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return _told(graphs.paths(typed_edges(spark, d), start, end, most=4, direction="any"))
+
+
+def _walked(steps: int) -> str:
+    parts = ["p0 AS (SELECT query_id, node, 1.0 AS p FROM h)"]
+    for k in range(steps):
+        parts.append(f"p{k + 1} AS (SELECT query_id, node, sum(p) AS p FROM (SELECT query_id, g.b AS node, 0.85 * p / deg AS p FROM p{k} JOIN g ON g.a = p{k}.node UNION ALL SELECT query_id, node, 0.15 FROM h) GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+g0 AS (SELECT 'v' || vec_id AS a, 'l' || label AS b FROM v UNION ALL SELECT 'v' || vec_id, 't' || (vec_id % 7) FROM v), g1 AS (SELECT a, b FROM g0 UNION ALL SELECT b, a FROM g0),
+g AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS deg FROM g1), h AS (SELECT vec_id AS query_id, 'l' || label AS node FROM v WHERE vec_id % 50 = 0), {_walked(3)},
+s AS (SELECT 'graph' AS stream, query_id, CAST(substr(node, 2) AS BIGINT) AS id, p AS score FROM p3 WHERE node LIKE 'v%'
+  UNION ALL SELECT 'vector', q.vec_id, c.vec_id, list_dot_product(q.e, c.e) / (q.nrm * c.nrm) FROM n q CROSS JOIN n c WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream, query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 20),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS rrf FROM r GROUP BY query_id, id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS rank FROM f QUALIFY rank <= 5)
+SELECT query_id, count(*) AS n, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5 FROM k JOIN documents ON doc_id = id WHERE text IS NOT NULL GROUP BY query_id"""
+)
+def graph_vector_context(spark: SparkSession, d: str) -> DataFrame:
+    """Graph path beside vector path: a walk from each question's entity, and its nearest vectors, fused, with the texts as context."""
+    all_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    linked = all_.select(node("v", "id").alias("a"), node("l", "label").alias("b")).union(all_.select(node("v", "id").alias("a"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("b")))
+    asked = all_.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    walked = graphs.random_walk(linked, asked.select("query_id", node("l", "label").alias("node")), 3)
+    by_graph = walked.filter("node like 'v%'").select("query_id", F.substring("node", 2, 20).cast("long").alias("id"), F.col("p").alias("score"))
+    by_vector = search.search_many(asked.select("query_id", "vector"), all_.select("id", "vector"), 20).select("query_id", "id", "score")
+    hits = graphs.fused_streams([by_graph, by_vector], 20, top=5).join(table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text"), "id")
+    return agents.context(hits, "query_id", "rank", "text").select("query_id", "n", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 _LORA = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 t AS (SELECT vec_id, e, list_transform(range(1, 65), lambda i: i / 64) AS w1, list_transform(range(1, 65), lambda i: (i % 5) / 4) AS w2, list_transform(range(1, 65), lambda i: 0.5 - (i % 3) / 4) AS a FROM v)
 SELECT vec_id, round(list_dot_product(e, w1) + 2.0 * list_dot_product(e, a), 6) AS h1, round(list_dot_product(e, w2) + 2.0 * 2 * list_dot_product(e, a), 6) AS h2 FROM t"""
@@ -793,6 +875,19 @@ def delivered_or_dead(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(dead.select("id", F.lit("DEAD").alias("status"), "retry_count", F.lit(None).cast("double").alias("first_component")))
 
 
+@query(
+    """WITH s AS (SELECT row_number() OVER () AS n, sale_id, sold_at FROM sales),
+m AS (SELECT n, min(shipped_at) AS done_at FROM s JOIN sale_lines l ON l.sale_id = s.sale_id AND shipped_at >= sold_at AND shipped_at <= sold_at + INTERVAL 10 DAY GROUP BY n),
+a AS (SELECT n, any_value(done_at) AS done_at, min(CAST(line_no AS VARCHAR)) AS answer FROM m JOIN s USING (n) JOIN sale_lines l ON l.sale_id = s.sale_id AND l.shipped_at = m.done_at GROUP BY n)
+SELECT sale_id AS request_id, sold_at AS asked_at, done_at, answer, CASE WHEN done_at IS NULL THEN 'TIMED_OUT' ELSE 'OK' END AS status FROM s LEFT JOIN a USING (n)"""
+)
+def request_results(spark: SparkSession, d: str) -> DataFrame:
+    """Sales as requests, the first shipment within ten days as their result."""
+    requests = table(spark, d, "sales").select(F.col("sale_id").alias("request_id"), F.col("sold_at").alias("asked_at"))
+    results = table(spark, d, "sale_lines").select(F.col("sale_id").alias("request_id"), F.col("shipped_at").alias("done_at"), F.col("line_no").cast("string").alias("answer"))
+    return answered(requests, results, "10 days")
+
+
 @query()
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all texts by the mock provider with its failures, which come from a CRC that DuckDB does not have; a test repeats it."""
@@ -941,3 +1036,10 @@ def policy_evaluation(spark: SparkSession, d: str) -> DataFrame:
     moves = transitions(spark, d)
     policy = moves.select("s", "a").distinct().withColumn("pi", F.when(F.col("a") == 0, 0.25).otherwise(0.75))
     return learning.policy_evaluation(moves, policy, 6, 0.9).select("s", F.round("v", 6).alias("v"))
+
+
+@query(_sweeps("max(q)", 40).replace("0.9 *", "0.5 *"))
+def values_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Optimality sweeps until the values are known to within a billionth."""
+    values, _, _ = learning.optimal_values(transitions(spark, d), 0.5, 1e-9)
+    return values.select("s", F.round("v", 6).alias("v"))

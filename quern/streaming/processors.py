@@ -128,3 +128,98 @@ def latest_results(results: DataFrame, keys: tuple[str, ...] = ("tenant_id", "id
     rest = [c for c in results.columns if c not in keys]
     best = results.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("row"))
     return best.select(*keys, *(F.col("row")[c].alias(c) for c in rest))
+
+
+def answered(requests: DataFrame, results: DataFrame, timeout: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """``requests`` (request_id, asked_at, ...) with done_at, answer and status of their result: OK, or TIMED_OUT without one.
+
+    ``results`` has request_id, done_at, answer. A result counts from its request on
+    until ``timeout`` after it; of several the first one counts: by ``done_at``
+    in tables, by arrival in streams, where rows that come later than ``late`` are
+    dropped and a request is told to have timed out once no result can come any more. Requests
+    without an id or a time time out, in streams never; repeated requests are each answered.
+    """
+    from pyspark.sql import functions as F
+
+    streaming = requests.isStreaming
+    own = results.select(F.col("request_id").alias("answer_id"), "done_at", "answer")
+    asked = requests
+    if streaming:
+        asked = requests.withWatermark("asked_at", late)
+        own = own.withWatermark("done_at", late).dropDuplicatesWithinWatermark(["answer_id"])
+    limit = F.expr(f"INTERVAL {timeout}")
+    same = (F.col("request_id") == F.col("answer_id")) & (F.col("done_at") >= F.col("asked_at")) & (F.col("done_at") <= F.col("asked_at") + limit)
+    status = F.when(F.col("answer_id").isNotNull(), "OK").otherwise("TIMED_OUT").alias("status")
+    if streaming:
+        return asked.join(own, same, "left_outer").select(*requests.columns, "done_at", "answer", status)
+    # A table's requests may repeat, so each gets a number before its first result is looked for.
+    numbered = stage(requests.sparkSession, asked.withColumn("number", F.monotonically_increasing_id()), "requests")
+    met = numbered.select("number", "request_id", "asked_at").join(own, same)
+    first = met.groupBy("number").agg(F.min(F.struct("done_at", "answer", "answer_id")).alias("first"))
+    rows = numbered.join(first, "number", "left").withColumn("answer_id", F.col("first.answer_id"))
+    return rows.select(*requests.columns, F.col("first.done_at").alias("done_at"), F.col("first.answer").alias("answer"), status)
+
+
+class DelayedRetry(StatefulProcessor):
+    """Attempts a task when it comes, and again whenever its delay has passed, until it succeeds or its retries are used up.
+
+    State holds a waiting task and how often it failed; the timer that wakes it is
+    checkpointed with the state, so a restarted query goes on waiting where it was.
+    """
+
+    def __init__(self, provider, columns: list[str], max_retries: int, base: float, most: float):
+        self.provider, self.columns, self.max_retries, self.base, self.most = provider, columns, max_retries, base, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", T.StructType([T.StructField("task", T.StringType()), T.StructField("failed", T.IntegerType())]))
+
+    def delay_ms(self, key: tuple, failed: int) -> int:
+        """Full jitter below the doubled base: a hash of task and count instead of a random draw, so a batch that runs again waits as long."""
+        from zlib import crc32
+
+        cap = min(self.most, self.base * 2**failed)
+        return 1 + int(1000 * cap * crc32(f"{key}|{failed}".encode()) / 2**32)
+
+    def attempt(self, key: tuple, task: dict, failed: int, now: int) -> Iterator[pd.DataFrame]:
+        ok = False
+        try:
+            ok = bool(self.provider(task, failed))
+        except Exception:  # noqa: BLE001  a provider may fail in any way
+            pass
+        failed += not ok
+        if ok or failed > self.max_retries:
+            self.waiting.clear()
+            yield pd.DataFrame([{**task, "retry_count": failed, "status": "DELIVERED" if ok else "DEAD"}])[[*self.columns, "retry_count", "status"]]
+            return
+        self.waiting.update((json.dumps(task), failed))
+        self.handle.registerTimer(now + self.delay_ms(key, failed))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        data = pd.concat(list(rows))
+        if self.waiting.exists():
+            return  # the task is known and waits; a second one under its key is the same task
+        task = json.loads(data.iloc[[0]][self.columns].to_json(orient="records"))[0]
+        yield from self.attempt(key, task, 0, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.waiting.exists():
+            task, failed = self.waiting.get()
+            yield from self.attempt(key, json.loads(task), failed, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def retried(tasks: DataFrame, key: str, provider, max_retries: int = 3, base: float = 0.5, most: float = 5.0) -> DataFrame:
+    """``tasks`` with retry_count and status, each once, DELIVERED or DEAD: ``provider(task, failed)`` says whether an attempt succeeds.
+
+    A failed task is requeued: it waits its jittered delay in keyed state, across
+    micro-batches and restarts, while others go on. Failures beyond ``max_retries`` are dead letters.
+    Tasks are plain values by column; tasks without a key share one.
+    """
+    spark = tasks.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = T.StructType([*tasks.schema.fields, T.StructField("retry_count", T.IntegerType()), T.StructField("status", T.StringType())])
+    return tasks.groupBy(key).transformWithStateInPandas(DelayedRetry(provider, tasks.columns, max_retries, base, most), schema, "Append", "ProcessingTime")
