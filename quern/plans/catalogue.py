@@ -211,6 +211,33 @@ def cached_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers.join(added, "query_id", "left").select("query_id", "hit", "value", F.coalesce("added", F.lit(False)).alias("added"))
 
 
+def _in_order(ttl: str) -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, e, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+d AS (SELECT b.i, a.i AS j, round(1 - list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 9) AS far FROM n a JOIN n b ON a.i < b.i WHERE 1 - list_dot_product(a.e, b.e) / (a.nrm * b.nrm) <= 0.66 AND {ttl}),
+m AS (SELECT n.i, coalesce(list(d.j) FILTER (d.j IS NOT NULL), []) AS js FROM n LEFT JOIN d ON d.i = n.i GROUP BY n.i),
+r(i, made) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT m.i, CASE WHEN list_has_any(made, js) THEN made ELSE list_append(made, m.i) END FROM r JOIN m ON m.i = r.i + 1),
+l AS (SELECT unnest(made) AS i FROM r WHERE i = (SELECT max(i) FROM r)), b AS (SELECT d.i, min(far) AS far, arg_min(j, far * 1e6 + j * 1e-6) AS j FROM d JOIN l ON l.i = d.j GROUP BY d.i)
+SELECT n.vec_id AS query_id, CASE WHEN l.i IS NULL THEN o.vec_id ELSE n.vec_id END AS leader, l.i IS NULL AS hit, CASE WHEN l.i IS NULL THEN round(b.far, 6) END AS distance FROM n LEFT JOIN l ON l.i = n.i LEFT JOIN b ON b.i = n.i LEFT JOIN n o ON o.i = b.j"""
+
+
+def _cached_in_order(spark: SparkSession, d: str, ttl: float | None) -> DataFrame:
+    probes = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("time"))
+    return search.cache_in_order(probes, 0.66, ttl).select("query_id", "leader", "hit", F.round("distance", 6).alias("distance"))
+
+
+@query(_in_order("true"))
+def cache_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """A cache that all vectors go through in order: misses become entries, later ones hit them."""
+    return _cached_in_order(spark, d, None)
+
+
+@query(_in_order("b.vec_id - a.vec_id <= 100"))
+def cache_with_lifetime(spark: SparkSession, d: str) -> DataFrame:
+    """The same with entries that live for a time."""
+    return _cached_in_order(spark, d, 100.0)
+
+
 # Fusion --------------------------------------------------------------------------------------------------------
 
 
