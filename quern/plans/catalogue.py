@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from quern.functions import rl
 from quern.functions.machines import Backlog, Breaker, CallWrapper, MicroBatcher, Router, TokenBucket, WaitingBucket, WorkerBatcher
 from quern.functions.vectors import cosine, literal
 from quern.operators import agents, fusion, graph_index, graphs, index, learning, payloads, postings, resilience, search, telemetry, text
-from quern.session import keep, shared_dir
+from quern.session import keep, shared_dir, stage
 from quern.sources.stores import mock_embeddings, streams_of
 from quern.streaming.processors import answered, attempts, latest_results, windowed_counts
 
@@ -344,7 +345,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 _BM25_MANY = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents),
 st AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM t),
-tf AS (SELECT doc_id, len(any_value(w)) AS n, term, count(*) AS f FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY doc_id, term),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS f FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY doc_id, term),
 idf AS (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN st GROUP BY term),
 q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(string_split_regex(lower(substr(text, 1, 40)), '[^\\p{L}]+'), lambda w: w <> '')) AS term FROM documents WHERE doc_id % 20 = 0),
 b AS (SELECT query_id, doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) CROSS JOIN st GROUP BY query_id, doc_id)"""
@@ -496,6 +497,33 @@ def agentic_loop(spark: SparkSession, d: str) -> DataFrame:
     return agents.bounded_search(asked, fetch).select("user_query", "loops", "n_docs", F.round("sufficiency", 6).alias("sufficiency"), "synthesis")
 
 
+_SUB_QUERIES = ", ".join([f"(1, '{x}')" for x in agents.FIRST_QUERIES] + [f"({k + 1}, '{agents.REFINEMENT}{k}')" for k in (1, 2)])
+
+
+@query(
+    f"""WITH {_BM25_MANY[: _BM25_MANY.index("q AS (")]} u AS (SELECT DISTINCT substr(text, 1, 40) AS user_query FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+s AS (SELECT user_query, loop, user_query || suffix AS sub_query FROM u CROSS JOIN (VALUES {_SUB_QUERIES}) x(loop, suffix)),
+q AS (SELECT DISTINCT sub_query, unnest(list_filter(string_split_regex(lower(sub_query), '[^\\p{{L}}]+'), lambda w: w <> '')) AS term FROM s),
+b AS (SELECT sub_query, doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) CROSS JOIN st GROUP BY sub_query, doc_id),
+k AS (SELECT sub_query, doc_id FROM b QUALIFY row_number() OVER (PARTITION BY sub_query ORDER BY round(score, 9) DESC, doc_id) = 1 AND round(score, 9) >= 8),
+f AS (SELECT s.*, doc_id FROM s JOIN k USING (sub_query)), c AS (SELECT user_query, count(*) AS n FROM f WHERE loop <= 2 GROUP BY user_query)
+SELECT f.user_query, CAST(f.loop AS INTEGER) AS loop, f.sub_query, f.doc_id FROM f LEFT JOIN c USING (user_query) WHERE f.loop < 3 OR coalesce(c.n, 0) < 3"""
+)
+def agentic_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Search loops over the documents themselves: each sub-query brings its best document, if that is good enough."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    built = postings.build(docs)
+    built = replace(built, blocks=stage(spark, built.blocks, "loop-postings"))
+    asked = docs.filter("id % 20 = 0 and text is not null").select(F.substring("text", 1, 40).alias("user_query")).distinct()
+
+    def fetch(rows: DataFrame) -> DataFrame:
+        found, _ = postings.search(built, rows.select(F.col("sub_query").alias("query_id"), F.col("sub_query").alias("text")), 1)
+        return rows.join(found.filter(F.round("score", 9) >= 8).select(F.col("query_id").alias("sub_query"), F.col("id").alias("doc_id")), "sub_query")
+
+    _, gathered = agents.bounded_search(asked, fetch, documents=True)
+    return gathered.select("user_query", "loop", "sub_query", "doc_id")
+
+
 _EDGES = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"""
 

@@ -103,11 +103,3 @@ def drop(spark: SparkSession, path: str) -> None:
     except Exception:  # the session is already gone; the shared folder's owner cleans up
         pass
 
-
-def staged() -> int:
-    """A mark for ``release``."""
-    return len(_STAGED)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Nothing: ``staging`` drops what a scope has."""
