@@ -19,10 +19,10 @@ r = -ln(u1 u2) and c = -ln(u3 u4), so that
 One hash gives the leading bits of all five draws and with them a lower bound of
 this; where it lies above ``reach`` / W (W being the text's sum of weights) the
 draw is left there. The others take their further bits from a second hash, and
-the logarithms. The smallest value is exponential with rate W, so a sample loses
-it once in e**reach times (5e8 at 20), which is rarer than that two identities of
-24 bits meet (2e7). What is left depends on the text alone, so equal texts keep
-equal fingerprints.
+the logarithms, and count if their value lies below ``reach`` / W. A sample has no
+such value once in e**reach times (5e8 at 20); it is then open, and the texts with
+open samples are drawn again without any bound. So fingerprints are those of all
+draws, whatever the bound.
 
 Nulls and limits: a null text is the empty text, whose fingerprint is empty;
 two empty fingerprints are alike (1.0), an empty and a filled one are not (0.0);
@@ -36,7 +36,7 @@ read, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ class FingerprintParams:
     words: int = 5
     #: Samples; a multiple of eight.
     bins: int = 64
-    #: Draws that are surely above this over a text's sum of weights are left.
+    #: Draws above this over a text's sum of weights are left at first; a text that loses a sample by it is drawn again without.
     reach: float = 20.0
     #: Ids are cut at their quantiles into this many ranges at most, and ranges into blocks of about ``block`` documents.
     ranges: int = 2048
@@ -58,7 +58,7 @@ class FingerprintParams:
 
 #: Leading bits of a uniform draw, its further bits, and the same for b.
 _LEAD, _MORE, _LEAD_B, _MORE_B = 15, 13, 4, 12
-#: What a sample without a draw holds.
+#: What an open sample holds: none of its draws lies below the bound.
 NONE = (1 << 63) - 1
 _EMPTY = "array<bigint>"
 
@@ -89,12 +89,12 @@ def _draws(runs: DataFrame, samples: Column, *keep: str) -> DataFrame:
     a = F.col("c") * F.exp(F.col("r") * (F.col("b") - F.col("level") - 1))
     value = F.floor((1 - 1 / (a + 1)) * float(1 << 38))
     who = F.xxhash64("run", "level").bitwiseAND((1 << 24) - 1)
-    left = left.withColumn("drawn", F.shiftleft(value, 24) + who)
+    left = left.withColumn("drawn", F.when(a <= F.col("limit"), F.shiftleft(value, 24) + who).otherwise(NONE))
     return left.select(*keep, "sample", F.expr("if(weight < 0D, run, drawn)").alias("entry"))
 
 
 def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams, carry: Column | None = None) -> DataFrame:
-    """``key``, run, weight, log_weight, and the bounds most (reach weight / W in 60 bits) and most2 (its square for weight 1): a row per distinct run of ``text``."""
+    """``key``, run, weight, limit (reach / W), log_weight, and the bounds most (limit times weight in 60 bits) and most2 (its square for weight 1): a row per distinct run of ``text``."""
     blank = "\' \t\n\r\f\x0b\'"
     bare = F.expr(f"trim(BOTH {blank} FROM `{text}`)")
     carry = F.lit(None).cast(_EMPTY) if carry is None else carry
@@ -119,11 +119,11 @@ def _runs(df: DataFrame, text: str, key: list[str], p: FingerprintParams, carry:
     most = F.least(limit * F.col("weight"), F.lit(1.0)) * float(1 << 60)
     most = F.when(F.col("weight") < 0, F.lit(-1).cast("long")).otherwise(most.cast("long") + 1)  # a carried number is no draw
     squared = F.when(F.col("weight") == 1.0, F.least(limit * limit, F.lit(1.0))).otherwise(1.0) * float(1 << 60)
-    return df.select(*key, "run", "weight", log.alias("log_weight"), most.alias("most"), (squared.cast("long") + 1).alias("most2"))
+    return df.select(*key, "run", "weight", "limit", log.alias("log_weight"), most.alias("most"), (squared.cast("long") + 1).alias("most2"))
 
 
 def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintParams, group: list[str] | None = None, carry: Column | None = None) -> DataFrame:
-    """``key`` and ``out``, the entries of the samples of ``text`` in order; no row for a text without words. Rows equal in ``key`` have one text.
+    """``key`` and ``out``, the entries of the samples of ``text`` in order, open ones too; no row for a text without words. Rows equal in ``key`` have one text.
 
     With ``group``, a part of ``key``, one row per group: ``out`` is an array of the
     rest of the key (one column) and the entries. Where ``df`` lies partitioned by
@@ -137,7 +137,7 @@ def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintPar
     found = _draws(_runs(df, text, key, p, carry), F.array(*(F.lit(k) for k in range(p.bins))), *key).groupBy(*key, F.shiftright("sample", 3).alias("eight")).agg(*smallest)
     eights = F.collect_list(F.struct(*rest, "eight", F.array(*(f"s{k}" for k in range(8))).alias("s"))).alias("e")
     found = found.groupBy(*group).agg(eights)
-    # Eight samples all of whose draws are left have no row.
+    # Eight samples all of whose draws are left have no row; they are open.
     def whole(entries: Column) -> Column:
         row = lambda k: F.coalesce(F.get(F.filter(entries, lambda x: x["eight"] == k), F.lit(0))["s"], F.array(*[F.lit(NONE)] * 8))
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p.bins // 8 - 1)), row))
@@ -148,10 +148,24 @@ def prints(df: DataFrame, text: str, key: list[str], out: str, p: FingerprintPar
     return found.select(*group, F.transform(names, lambda n: F.struct(n.alias(rest[0]), whole(F.filter("e", lambda x: x[rest[0]] == n)).alias("entries"))).alias(out))
 
 
+def unbounded(p: FingerprintParams) -> FingerprintParams:
+    return replace(p, reach=math.inf)
+
+
+def is_open(fingerprint: Column) -> Column:
+    """True where a sample is open."""
+    return F.array_contains(fingerprint, F.lit(NONE))
+
+
 def with_fingerprint(df: DataFrame, out: str, p: FingerprintParams) -> DataFrame:
     """doc_id, text and ``out``: entries of the samples of ``text``; texts meet theirs by two hashes. ``df`` has doc_id and text alone."""
     df = df.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), F.col("text")))
-    found = prints(df.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), "text", ["k1", "k2"], out, p)
+    texts = df.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    found = stage(df.sparkSession, prints(texts, "text", ["k1", "k2"], out, p), "fingerprints-first")
+    lost = found.filter(is_open(F.col(out))).select("k1", "k2")
+    if not lost.isEmpty():
+        again = prints(texts.join(lost, ["k1", "k2"], "left_semi"), "text", ["k1", "k2"], out, unbounded(p))
+        found = found.filter(~is_open(F.col(out))).unionByName(again)
     return df.join(found, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce(out, F.array().cast(_EMPTY)).alias(out))
 
 
@@ -227,13 +241,12 @@ def fingerprints(docs: DataFrame, params: FingerprintParams = FingerprintParams(
     return with_fingerprint(rows, "fingerprint", params)
 
 
-def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = FingerprintParams()
-    docs = only(documents(spark, sf_dir), doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _beside_edits(rows: DataFrame, p: FingerprintParams) -> DataFrame:
+    """Places, the values told, and the fingerprints f0 of the text, f1 of its edited text and f2 of the next document, of the documents of ``rows``."""
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.when(~F.col("copy"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))
-    rows = with_next(docs, p).withColumn("edited", edited)
+    rows = rows.withColumn("edited", edited)
     place = ["g", "block", "spot"]
     # From the dealing on no text moves: own and edited texts are drawn where they lie, and the row's other values go with the draws as integers.
     sha = F.sha2(F.col("edited").cast("binary"), 256)
@@ -245,15 +258,39 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = rows.select(*place, F.explode(each).alias("e")).select(*place, "e.kind", "e.t", "e.c")
     found = prints(texts, "t", [*place, "kind"], "f", p, place, F.col("c"))
     of_kind = lambda k: F.coalesce(F.get(F.filter("f", lambda x: x["kind"] == k), F.lit(0))["entries"], F.array().cast(_EMPTY))
-    found = found.select(*place, of_kind(0).alias("f0"), of_kind(1).alias("f1"), of_kind(2).alias("v"))
+    found = found.select(*place, of_kind(0).alias("f0"), of_kind(1).alias("f1"), F.slice(of_kind(2), 1, 7).alias("v"))
+    return found.withColumn("f2", F.lead("f0").over(Window.partitionBy("g", "block").orderBy("spot"))).filter(F.get("v", F.lit(2)).bitwiseAND(1) == 0)
+
+
+def edits(docs: DataFrame, p: FingerprintParams = FingerprintParams()) -> DataFrame:
+    """Every document beside its edited text and the next document; the rows of ``op9_fingerprints``.
+
+    The first draws are written; blocks of documents that hold an open sample are
+    drawn again without a bound.
+    """
+    spark = docs.sparkSession
+    docs = only(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(docs, p)
+    lost = is_open(F.col("f0")) | is_open(F.col("f1")) | is_open(F.col("f2"))
+    near = [likeness(F.col("f0"), F.col(other)).alias(name) for other, name in (("f1", "near_edited"), ("f2", "near_next"))]
+    kept = ["g", "block", "v", "f0", "f1", *near]
+    first = stage(spark, _beside_edits(rows, p).select(*kept, F.coalesce(lost, F.lit(False)).alias("lost")), "fingerprints-first")
+    done = first.drop("lost")
+    blocks = first.filter("lost").select("g", "block").distinct()
+    if not blocks.isEmpty():
+        again = _beside_edits(rows.join(blocks, ["g", "block"], "left_semi"), unbounded(p)).select(*kept)
+        done = done.join(blocks, ["g", "block"], "left_anti").unionByName(again)
     value = lambda k: F.get("v", F.lit(k))
-    done = found.withColumn("f2", F.lead("f0").over(Window.partitionBy("g", "block").orderBy("spot"))).filter(value(2).bitwiseAND(1) == 0)
     return done.select(
         F.when(value(2) == 0, value(0)).alias("doc_id"),
         value(1).alias("n_chars"),
         F.concat(*(F.lpad(F.lower(F.hex(value(3 + k))), 16, "0") for k in range(4))).alias("edited_sha256"),
         as_text(F.col("f0")).alias("fingerprint"),
         as_text(F.col("f1")).alias("edited_fingerprint"),
-        likeness(F.col("f0"), F.col("f1")).alias("near_edited"),
-        likeness(F.col("f0"), F.col("f2")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits(documents(spark, sf_dir))

@@ -1,6 +1,7 @@
 """Scores, pseudonyms, packing, pieces and fingerprints against brute force, libraries and round trips."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -418,9 +419,12 @@ def test_the_bound_changes_nothing(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).limit(60)
     uneven = spark.createDataFrame([(10_000, "one two three four five " * 400 + "six seven"), (10_001, "a"), (10_002, " ")], "doc_id long, text string")
     docs = docs.unionByName(uneven)
-    got = [{r["doc_id"]: tuple(r["f"]) for r in fingerprints.with_fingerprint(docs, "f", fingerprints.FingerprintParams(reach=reach)).collect()} for reach in (20.0, 1e9)]
-    assert got[0] == got[1]
+    got = [{r["doc_id"]: tuple(r["f"]) for r in fingerprints.with_fingerprint(docs, "f", fingerprints.FingerprintParams(reach=reach)).collect()} for reach in (20.0, 1e9, 2.0)]
+    assert got[0] == got[1] == got[2]
     assert all(fingerprints.NONE not in f for f in got[0].values())
+    # Beside edits too: with a bound of 5 some blocks are drawn again, with one of 0.5 all are, and it shows in no value.
+    told = [sorted(fingerprints.edits(docs, fingerprints.FingerprintParams(reach=reach, block=4)).collect()) for reach in (math.inf, 5.0, 0.5)]
+    assert told[0] == told[1] == told[2] and len(told[0]) == docs.count()
 
 
 def test_carried_numbers_stay_as_they_are(spark):
