@@ -107,7 +107,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """At most ``rows`` labelled documents that may be learned from: doc_id, text, label.
 
     The rows are those with the smallest hash of their id, so the sample is the
-    same on every run. It is bounded by ``rows``, so its ids may be broadcast.
+    same on every run. It is bounded by ``rows``, so its ids may be broadcast; an
+    id that documents share gives the least of their texts, and so one row.
     """
     picked = (
         only(labels, doc_id="long", **{label: "int"})
@@ -117,4 +118,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id")
+    found = only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import quality, toxicity
 from quern.llm.automaton import Automaton, allowance
+from quern.llm.shared import training_sample
 
 
 def auc(score, y):
@@ -138,3 +140,14 @@ def test_quoted_terms_weigh_less():
     scanner = toxicity.Scanner(model, toxicity.ToxicityParams())
     plain, quoted, missspelt, none = scanner.evidence(["you are worthless", 'they wrote "you are worthless" there', "you are worthlss", "fine"])
     assert plain[0] > missspelt[0] > quoted[0] > none[0] == 0
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """Many documents under one id are one row of the sample, whatever order they come in."""
+    docs = spark.range(5000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("text "), 5000 - F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(k, f"own text {k}") for k in range(5, 40)] + [(41, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4, 42)] + [(4, 1)], "doc_id long, quality int")
+    got = training_sample(docs, labels, "quality", 100).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 38
+    assert [tuple(r) for r in got if r["doc_id"] == 4] in ([(4, "text 1", 1)], [])
+    assert training_sample(docs, labels, "quality", 3).count() <= 3
