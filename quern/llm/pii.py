@@ -47,6 +47,9 @@ _NTH = r"(?:st|nd|rd|th)?"
 #: What begins global, local and link addresses of eight groups, and a group.
 _FIRST, _GROUP = r"(?:[23][0-9A-Fa-f]{3}|[fF][cCdDeE][0-9A-Fa-f]{2})", r"[0-9A-Fa-f]{1,4}"
 _TOKEN = "[A-Za-z0-9_+/-]"
+#: What names a phone number, and a secret. Look-behinds over words are dear, so cheap looks at the neighbours come first.
+_PHONE_NAMED = r"(?=0\d{9,11}|[2-9]\d{9})(?<=\b(?i:tel|phone|telephone|mobile|cell|fax|call|whatsapp)[.:]? {0,2})(?:0\d{9,11}|[2-9]\d{9})(?!\w|[-.]\d)"
+_SECRET_NAME = "(?i:token|secret|key|password|passwd|pwd)"
 #: Patterns of the kinds, tried in this order. Repetitions without a bound are possessive and of one class, or of groups that
 #: begin with a mark of their own, so they are loops: no text makes matching go deep, or go back over what it has read.
 KINDS: dict[str, str] = {
@@ -57,19 +60,20 @@ KINDS: dict[str, str] = {
     "date": rf"(?<![\w.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:[./]\d{{1,2}}[./]|-\d{{1,2}}-)\d{{4}}|{_MONTH}\.? \d{{1,2}}{_NTH},? \d{{4}}|\d{{1,2}}{_NTH} {_MONTH}\.?,? \d{{4}})(?!\w|[-.]\d)",
     "phone": r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?<!\d )[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}(?! \d)|(?<!\d )0\d{2,5}[ /-]\d{5,8}(?! \d))(?!\w|-\d)"
     # What is named a phone: digits alone.
-    r"|(?<=\b(?i:tel|phone|telephone|mobile|cell|fax|call|whatsapp)[.:]? {0,2})(?:0\d{9,11}|[2-9]\d{9})(?!\w|[-.]\d)",
+    rf"|{_PHONE_NAMED}",
     "card": r"(?<!\w)(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3[47]\d{2}(?: \d{6} |-\d{6}-)\d{5}|\d{13,19})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-)[A-Za-z0-9_-]{8,}+"
     r"|(?<![\w.-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
     # What is named a secret: in quotes, or with letters and digits both.
-    rf"|(?<=(?i:token|secret|key|password|passwd|pwd) ?[=:] ?[\"']?)(?:{_TOKEN}{{16,}}+(?=[\"'])|(?=[A-Za-z_+/-]*+\d)(?=[\d_+/-]*+[A-Za-z]){_TOKEN}{{8,}}+)",
+    rf"|(?<=[=: \"'])(?={_TOKEN}{{8}})(?<=[=:] ?[\"']?)(?<={_SECRET_NAME} ?[=:] ?[\"']?)(?:{_TOKEN}{{16,}}+(?=[\"'])|(?=[A-Za-z_+/-]*+\d)(?=[\d_+/-]*+[A-Za-z]){_TOKEN}{{8,}}+)",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Every finding begins with one of these behind no letter or digit, but for a phone number that stands right behind its name.
+ANY = rf"(?<!\w)(?=[\p{{L}}\p{{N}}_+(/-])(?:{'|'.join(f'(?:{p})' for p in KINDS.values())})|(?<=[A-Za-z]){_PHONE_NAMED}"
 #: A text without these holds nothing to find.
 HINT = (
-    r"\d[\d .()/-]{4,}\d|@|AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|eyJ|(?i:token|secret|key|password|passwd|pwd) ?[=:]"
-    rf"|{_FIRST}:[0-9A-Fa-f:]|{_MONTH}\.?,? \d{{1,4}}"
+    rf"@|\d[\d .()/-]{{4,}}\d|[=:](?<={_SECRET_NAME} ?[=:])"
+    rf"|(?<!\w)(?:AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|eyJ|{_FIRST}:[0-9A-Fa-f:]|{_MONTH}\.?,? \d{{1,4}})"
 )
 #: Beginnings of keys that say whose they are.
 PREFIX = r"^(?:AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|eyJ)"
