@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,8 +46,10 @@ NORMAL, BYTE = 1, 6
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: Units kept per worker; the frequent ones come first by themselves.
 KEPT = 300_000
-#: Longer units are composed one by one.
-LOCKSTEP = 40
+#: Longer units are composed one by one, in stretches of so many positions.
+LOCKSTEP, STRETCH = 40, 1 << 16
+#: Constraint arcs remembered per worker; beyond, they are worked out anew.
+ARCS = 2_000_000
 NONE, START, OUTSIDE = -1, -2, -3
 
 
@@ -167,6 +170,7 @@ class Transducer:
         self.ends = np.full(nodes, NONE, np.int32)
         self.ends[list(ends)] = list(ends.values())
         self.allowed = Table()  # constraint arcs met so far
+        self.free: dict[int, bool] = {}  # those of long units, for single looks
         self.kept: dict[str, bytes] = {}
         # What a piece stands for when decoding.
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kinds[k] == BYTE else p.replace(MARK, " ").encode() if kinds[k] == NORMAL else b"" for k, p in enumerate(self.pieces)]
@@ -185,17 +189,20 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def allows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    def arc(self, before: int, piece: int) -> bool:
         """Whether the constraint machine has a finite arc; START and OUTSIDE stand for no piece before."""
+        want = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
+        return self.merged("".join(want)) == want
+
+    def allows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The same for many pairs, remembered."""
+        if self.allowed.used >= ARCS:
+            self.allowed = Table()
         keys = (np.where(before < 0, len(self.pieces), before).astype(np.int64) << 32) | piece
         out = self.allowed.get(keys)
         missing = np.unique(keys[out < 0])
         if len(missing):
-            values = []
-            for key in missing.tolist():
-                a, b = key >> 32, key & 0xFFFFFFFF
-                want = [self.pieces[b]] if a == len(self.pieces) else [self.pieces[a], self.pieces[b]]
-                values.append(self.merged("".join(want)) == want)
+            values = [self.arc(-1 if key >> 32 == len(self.pieces) else key >> 32, key & 0xFFFFFFFF) for key in missing.tolist()]
             self.allowed.add(missing, np.array(values, np.int32))
             out = self.allowed.get(keys)
         return out == 1
@@ -242,25 +249,50 @@ class Transducer:
                     out[r].append(p)
         return [np.array(x, "<i4").tobytes() for x in out]
 
+    def arcs_of(self, points: np.ndarray, begin: int, end: int) -> tuple[list[int], list[int], list[int]]:
+        """The piece machine's arcs from the positions of a stretch: where each position's arcs lie, and their ends and pieces."""
+        rows, node, found = np.arange(begin, end), np.zeros(end - begin, np.int64), []
+        for k in range(1, self.longest + 1):
+            inside = rows + k <= len(points)
+            rows, node = rows[inside], node[inside]
+            node = self.edges.get(node << 21 | points[rows + k - 1])
+            rows, node = rows[node >= 0], node[node >= 0].astype(np.int64)
+            if not len(rows):
+                break
+            piece = self.ends[node]
+            found.append(np.stack([rows[piece >= 0], rows[piece >= 0] + k, piece[piece >= 0]]))
+        starts, ends, pieces = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.argsort(starts, kind="stable")
+        return np.searchsorted(starts[order], np.arange(begin, end + 1)).tolist(), ends[order].tolist(), pieces[order].tolist()
+
     def compose_long(self, unit: str) -> bytes:
-        """The same for one long unit, position by position."""
-        n = len(unit)
-        last, back = [NONE] * (n + 1), [0] * (n + 1)
+        """The same for one long unit: its arcs stretch by stretch for all positions at once, then one step a position along the path."""
+        n, free, none = len(unit), self.free, len(self.pieces)
+        points = np.frombuffer(unit.encode("utf-32-le"), "<u4").astype(np.int64)
+        last, back = array("i", [NONE]) * (n + 1), array("i", [0]) * (n + 1)
         last[0] = START
-        for j in range(n):
-            before = last[j]
-            if before == NONE:
-                continue
-            if unit[j] not in self.number:
-                last[j + 1], back[j + 1] = OUTSIDE, j
-            for k in range(1, min(self.longest, n - j) + 1):
-                piece = self.number.get(unit[j : j + k])
-                if piece is not None and self.allows(np.array([before]), np.array([piece]))[0]:
-                    last[j + k], back[j + k] = piece, j
-        out, place = [], n
+        for begin in range(0, n, STRETCH):
+            end = min(n, begin + STRETCH)
+            at, ends, pieces = self.arcs_of(points, begin, end)
+            for j in range(begin, end):
+                before = last[j]
+                if before == NONE:
+                    continue
+                if unit[j] not in self.number:
+                    last[j + 1], back[j + 1] = OUTSIDE, j
+                head = (before if before >= 0 else none) << 32
+                for x in range(at[j - begin], at[j - begin + 1]):
+                    fits = free.get(head | pieces[x])
+                    if fits is None:
+                        if len(free) >= ARCS:
+                            free.clear()
+                        fits = free[head | pieces[x]] = self.arc(before, pieces[x])
+                    if fits:
+                        last[ends[x]], back[ends[x]] = pieces[x], j
+        out, place = array("i"), n
         while place:
             begin = back[place]
-            out += [self.byte[x] for x in reversed(unit[begin].encode("utf-8"))] if last[place] == OUTSIDE else [last[place]]
+            out.extend([self.byte[x] for x in reversed(unit[begin].encode("utf-8"))] if last[place] == OUTSIDE else [last[place]])
             place = begin
         return np.array(out[::-1], "<i4").tobytes()
 

@@ -369,6 +369,21 @@ def test_pieces_of_random_texts():
     assert [machine.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_units_equal_the_library(monkeypatch):
+    """Texts without spaces, also across the stretches that they are composed in, and with few arcs remembered."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 100_000))
+    texts = [letters, "漢字仮名交じり文😀é" * 2_000, "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 20_000)), "=" * 10_000]
+    assert [np.frombuffer(x, "<i4").tolist() for x in pieces.Transducer(P.path("piece_bpe_32k.model")).encode(texts)] == sp.encode(texts)
+    monkeypatch.setattr(pieces, "STRETCH", 7)
+    monkeypatch.setattr(pieces, "ARCS", 50)
+    short = [t[:300] for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in pieces.Transducer(P.path("piece_bpe_32k.model")).encode(short)] == sp.encode(short)
+
+
 def test_pieces_of_odd_input(spark, odd, none):
     model = P.path("piece_bpe_32k.model")
     rows = pieces.decode(pieces.encode(odd, model), model).collect()
