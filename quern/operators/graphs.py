@@ -1,8 +1,10 @@
 """Graphs: communities by modularity, path patterns, and random walks from a question's entities.
 
 Edges are tables (a, b and where needed type, w). A hub is the key of many edges,
-so whatever is looked up for the other end of an edge is dealt over salts, and
+so whatever is looked up for a hub is dealt over salts (of other nodes one row is enough), and
 sums are combined before they meet. Every round is written, so plans do not grow with rounds.
+Tables of nodes and edges meet by sort-merge joins (``shuffled``): they are so small as files that
+Spark would send them whole through the driver.
 
 Nulls and limits: edges with a null end take no part; repeated edges weigh as
 often as they are there; loops count in a node's weight; ties go to the value
@@ -17,26 +19,48 @@ from pyspark.sql import functions as F
 from quern.session import stage
 
 
+#: Edges beyond which a node is a hub.
+HUB = 10_000
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table that grows with the graph: a join deals it out, and never collects it in the driver to broadcast it."""
+    return df.hint("merge")
+
+
+def salted(both: DataFrame, parts: int) -> DataFrame:
+    """``both`` (a, b, ...) with a salt that spreads the edges to a hub ``b``; that of all other edges is 0."""
+    hubs = both.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("b", F.lit(True).alias("hub"))  # one for HUB edges at most
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("a", "b"), F.lit(parts))).otherwise(F.lit(0).cast("long"))
+    return both.join(F.broadcast(hubs), "b", "left").select(*both.columns, salt.alias("salt"))
+
+
+def dealt(rows: DataFrame, both: DataFrame, parts: int) -> DataFrame:
+    """``rows`` (b, ...) with the salts that the edges ``both`` to the node have: all for a hub, 0 for others."""
+    hubs = both.filter("salt > 0").select("b", F.lit(parts - 1).cast("long").alias("most")).distinct()  # a row per HUB edges at most
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("most", F.lit(0).cast("long"))))
+    return shuffled(rows.join(F.broadcast(hubs), "b", "left").select(*rows.columns, salts.alias("salt")))
+
+
 def _both_ways(edges: DataFrame, parts: int) -> DataFrame:
-    """a, b, w of every edge in both directions, and a salt that spreads a hub's edges."""
+    """a, b, w of every edge in both directions, and a salt that spreads a hub's edges; write it, since ``dealt`` reads it again."""
     w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
     one = edges.filter("a is not null and b is not null").select("a", "b", w.alias("w"))
     both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    return both.groupBy("a", "b").agg(F.sum("w").alias("w")).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(parts)))
+    return salted(both.groupBy("a", "b").agg(F.sum("w").alias("w")), parts)
 
 
 def _toward(both: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """a, label, w: how much of a node's weight goes to each label (of ``labels``: node, label) among its neighbours."""
-    dealt = labels.select(F.col("node").alias("b"), "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("salt"))
-    seen = both.join(dealt, ["b", "salt"]).groupBy("a", "label", "salt").agg(F.sum("w").alias("w"))
-    return seen.groupBy("a", "label").agg(F.sum("w").alias("w"))
+    at = dealt(labels.select(F.col("node").alias("b"), "label"), both, parts)
+    return both.join(at, ["b", "salt"]).groupBy("a", "label").agg(F.sum("w").alias("w"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0, parts: int = 16) -> float:
     """Share of the weight inside communities (node, community), less what random ends would give."""
-    both = _both_ways(edges, parts)
+    both = stage(edges.sparkSession, _both_ways(edges, parts), "modularity-edges")
     labels = communities.select("node", F.col("community").alias("label"))
-    near = _toward(both, labels, parts).join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
+    near = _toward(both, labels, parts).join(shuffled(labels.select(F.col("node").alias("a"), F.col("label").alias("own"))), "a")
     total = near.groupBy("own").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("label") == F.col("own"), F.col("w")).otherwise(0.0)).alias("inside"))
     sums = total.agg(F.sum("k").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("squares")).head()
     return sums["inside"] / sums["m2"] - resolution * sums["squares"] / sums["m2"] ** 2 if sums["m2"] else 0.0
@@ -48,11 +72,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFr
     both = stage(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
     labels = stage(spark, nodes.select("node", F.col("node").alias("component")), "component-0")
     for k in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        near = both.join(shuffled(labels), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        low = labels.join(shuffled(near), "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
         low = stage(spark, low, f"component-low-{k}")
         jump = low.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        labels = stage(spark, low.join(jump, F.col("component") == F.col("at")).select("node", "before", F.least("component", "next").alias("component")), f"component-{k + 1}")
+        labels = stage(spark, low.join(shuffled(jump), F.col("component") == F.col("at")).select("node", "before", F.least("component", "next").alias("component")), f"component-{k + 1}")
         changed = labels.filter(F.col("component") != F.col("before")).isEmpty()
         labels = labels.select("node", "component")
         if changed:
@@ -77,10 +101,10 @@ class _Level:
         """Labels (node, label) after rounds of moves to the neighbouring community that gains most; the best of all rounds."""
         best, stalled, spark = None, 0, self.spark
         for r in range(rounds + 1):
-            own = labels.join(self.nodes, "node").select(F.col("node").alias("a"), F.col("label").alias("own"), "k")
+            own = labels.join(shuffled(self.nodes), "node").select(F.col("node").alias("a"), F.col("label").alias("own"), "k")
             near = _toward(self.apart, labels, self.parts).unionByName(labels.select(F.col("node").alias("a"), "label", F.lit(0.0).alias("w"))).groupBy("a", "label").agg(F.sum("w").alias("w"))
             total = own.groupBy(F.col("own").alias("label")).agg(F.sum("k").alias("total"))
-            near = stage(spark, near.join(own, "a").join(total, "label"), f"leiden-near-{self.number}-{r}")
+            near = stage(spark, near.join(shuffled(own), "a").join(shuffled(total), "label"), f"leiden-near-{self.number}-{r}")
             mine = near.filter(F.col("label") == F.col("own"))
             inside = mine.agg(F.sum("w")).head()[0] + self.loops
             squares = mine.groupBy("label").agg(F.first("total").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).head()[0]
@@ -97,7 +121,7 @@ class _Level:
             # Two nodes on their own would swap labels: only the one with the greater label goes to the other.
             swap = ~mine & (F.col("total") == F.col("k")) & (F.col("own_total") == F.col("k")) & (F.col("label") > F.col("own"))
             alone = near.filter(mine).select(F.col("a").alias("a_"), F.col("total").alias("own_total"))
-            near = near.join(alone, F.col("a") == F.col("a_")).filter(~swap)
+            near = near.join(shuffled(alone), F.col("a") == F.col("a_")).filter(~swap)
             to = near.groupBy("a").agg(F.max(F.struct(gain.alias("gain"), mine.alias("stays"), "label")).alias("to"), F.max(F.when(mine, gain)).alias("now"), F.first("own").alias("own"))
             to = stage(spark, to.select(F.col("a").alias("node"), "own", F.col("to.label").alias("label"), (F.col("to.gain") - F.col("now")).alias("more")), f"leiden-to-{self.number}-{r}")
             wants = to.filter("label <> own")
@@ -105,24 +129,24 @@ class _Level:
                 break
             chosen = wants.filter(self.turn("node", r, 2 << stalled)) if stalled < 3 else wants.orderBy(F.desc("more"), "node").limit(1)
             chosen = chosen.select("node", F.col("label").alias("new"))
-            labels = stage(spark, to.join(chosen, "node", "left").select("node", F.coalesce("new", "own").alias("label")), f"leiden-labels-{self.number}-{r}")
+            labels = stage(spark, to.join(shuffled(chosen), "node", "left").select("node", F.coalesce("new", "own").alias("label")), f"leiden-labels-{self.number}-{r}")
         return best[1]
 
     def refined(self, labels: DataFrame, rounds: int = 4) -> DataFrame:
         """node, label: communities cut into parts that are connected, each grown by single nodes that join a part which stays."""
         spark = self.spark
-        same = self.apart.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        same = self.apart.join(shuffled(labels.select(F.col("node").alias("a"), F.col("label").alias("la"))), "a").join(dealt(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), self.apart, self.parts), ["b", "salt"])
         inner = stage(spark, same.filter("la = lb").select("a", "b", "w", "salt"), f"leiden-inner-{self.number}")
         parts = stage(spark, self.nodes.select("node", F.col("node").alias("label")), f"leiden-parts-{self.number}")
         for r in range(rounds):
-            sizes = parts.join(self.nodes, "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+            sizes = parts.join(shuffled(self.nodes), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
             stays = sizes.filter((F.col("n") > 1) | ~self.turn("label", 100 + r))
-            alone = parts.join(sizes.filter("n = 1").select("label"), "label").filter(self.turn("node", 100 + r)).join(self.nodes, "node").select(F.col("node").alias("a"), "k")
-            near = _toward(inner, parts, self.parts).join(alone, "a").join(stays, "label")
+            alone = parts.join(shuffled(sizes.filter("n = 1").select("label")), "label").filter(self.turn("node", 100 + r)).join(shuffled(self.nodes), "node").select(F.col("node").alias("a"), "k")
+            near = _toward(inner, parts, self.parts).join(shuffled(alone), "a").join(shuffled(stays), "label")
             gain = F.round(F.col("w") - self.resolution * F.col("k") * F.col("total") / self.m2, 9)
             to = near.withColumn("gain", gain).filter("gain > 0").groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("gain", "label")).alias("to"))
             to = stage(spark, to, f"leiden-join-{self.number}-{r}")
-            parts = stage(spark, parts.join(to, "node", "left").select("node", F.coalesce("to", "label").alias("label")), f"leiden-parts-{self.number}-{r}")
+            parts = stage(spark, parts.join(shuffled(to), "node", "left").select("node", F.coalesce("to", "label").alias("label")), f"leiden-parts-{self.number}-{r}")
             if to.isEmpty() and r:
                 break
         return parts
@@ -152,14 +176,14 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 8, rounds: i
         counts = refined.agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).head()
         if counts["n"] == counts["parts"]:
             break
-        place = stage(spark, place.join(refined.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")), f"leiden-place-{number}")
-        labels = stage(spark, refined.join(labels, "node").select(F.col("part").alias("node"), "label").distinct(), f"leiden-start-{number}")
+        place = stage(spark, place.join(shuffled(refined.select(F.col("node").alias("at"), "part")), "at").select("node", F.col("part").alias("at")), f"leiden-place-{number}")
+        labels = stage(spark, refined.join(shuffled(labels), "node").select(F.col("part").alias("node"), "label").distinct(), f"leiden-start-{number}")
         to = lambda end: refined.select(F.col("node").alias(end), F.col("part").alias(f"p{end}"))  # noqa: E731, B023
-        merged = both.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w"))
-        both = stage(spark, merged.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(parts))), f"leiden-edges-{number}")
-    found = stage(spark, place.join(labels.select(F.col("node").alias("at"), "label"), "at").select("node", "label"), "leiden-found")
+        merged = both.join(shuffled(to("a")), "a").join(dealt(to("b"), both, parts), ["b", "salt"]).groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w"))
+        both = stage(spark, salted(merged, parts), f"leiden-edges-{number}")
+    found = stage(spark, place.join(shuffled(labels.select(F.col("node").alias("at"), "label")), "at").select("node", "label"), "leiden-found")
     end = lambda e: found.select(F.col("node").alias(e), F.col("label").alias(f"l{e}"))
-    inside = first.join(end("a"), "a").join(end("b"), "b").filter("la = lb").select("a", "b")
+    inside = first.join(shuffled(end("a")), "a").join(dealt(end("b"), first, parts), ["b", "salt"]).filter("la = lb").select("a", "b")
     return components(found.select("node"), inside).withColumnRenamed("component", "community")
 
 
@@ -212,15 +236,16 @@ def random_walk(edges: DataFrame, anchors: DataFrame, steps: int = 8, restart: f
     """
     spark = edges.sparkSession
     both = _both_ways(edges, parts)
-    degree = both.groupBy("a").agg(F.sum("w").alias("k"))
-    both = stage(spark, both.join(degree, "a").select("a", "b", (F.col("w") / F.col("k")).alias("share"), "salt"), "walk-edges")
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.sum("w").alias("k"))
+    # A step goes from b to a: salts are those of b.
+    both = stage(spark, both.join(shuffled(degree), "b").select("a", "b", (F.col("w") / F.col("k")).alias("share"), "salt"), "walk-edges")
     known = anchors.select("query_id", "node").distinct().join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     home = stage(spark, known.join(known.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").select("query_id", "node", (1.0 / F.col("n")).alias("p")), "walk-home")
     at = home
     for k in range(steps):
         going = at.filter(F.col("p") >= least)
-        dealt = going.select("query_id", F.col("node").alias("a"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("salt"))
-        near = dealt.join(both, ["a", "salt"]).groupBy("query_id", F.col("b").alias("node")).agg(F.sum((1 - restart) * F.col("p") * F.col("share")).alias("p"))
+        from_ = dealt(going.select("query_id", F.col("node").alias("b"), "p"), both, parts)
+        near = both.join(from_, ["b", "salt"]).groupBy("query_id", F.col("a").alias("node")).agg(F.sum((1 - restart) * F.col("p") * F.col("share")).alias("p"))
         back = home.select("query_id", "node", (restart * F.col("p")).alias("p"))
         at = stage(spark, near.unionByName(back).groupBy("query_id", "node").agg(F.sum("p").alias("p")), f"walk-{k}")
     return at

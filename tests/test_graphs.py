@@ -140,3 +140,15 @@ def test_walks(spark):
         mine = {r["node"]: r["p"] for r in got.filter(F.col("query_id") == q).collect()}
         assert np.allclose([mine.get(x, 0.0) for x in names], p) and abs(sum(mine.values()) - 1) < 1e-9
     assert got.filter("query_id = 3").isEmpty()
+
+
+def test_tables_of_nodes_are_dealt_and_not_sent_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HUB", 10)
+    rows = [(str(k), "hub") for k in range(30)] + [("hub", str(k)) for k in range(30)]
+    both = graphs.salted(frame(spark, rows), 4).cache()
+    assert both.filter("salt > 0 and b <> 'hub'").isEmpty() and not both.filter("salt > 0").isEmpty()
+    labels = both.select("b").distinct().withColumn("label", F.col("b"))
+    at = graphs.dealt(labels, both, 4)
+    assert {r["b"]: r["count"] for r in at.groupBy("b").count().collect()} == {str(k): 1 for k in range(30)} | {"hub": 4}
+    met = both.join(at, ["b", "salt"])
+    assert met.count() == 60 and "SortMergeJoin [b" in met._jdf.queryExecution().executedPlan().toString()
