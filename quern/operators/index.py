@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalized
-from quern.operators.search import rows_of, type_of, usable
+from quern.operators.search import nearest, rows_of, type_of, usable
 from quern.session import ship, stage
 
 
@@ -75,25 +75,25 @@ def build(vectors: DataFrame, centers: np.ndarray, keep: tuple[str, ...] = ()) -
     return _lists_of(vectors, centers, "id", _nearest(1), keep).select("id", "v", F.col("lists")[0].alias("list"), F.col("cosines")[0].alias("near"), *keep)
 
 
-def _met(asked: DataFrame, index: DataFrame, centers: np.ndarray, k: int, block: int) -> DataFrame:
-    """query_id, id, score: the best k of every probed list for ``asked`` (query_id, v, list). Long lists are dealt into blocks of bounded size."""
+def _met(asked: DataFrame, index: DataFrame, centers: np.ndarray, k: int, block: int, query_block: int = 16_384) -> DataFrame:
+    """query_id, id, score: the best k of every probed list for ``asked`` (query_id, v, list), which is read twice. Long lists, and many queries of one list, are dealt into blocks of bounded size."""
     counts = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
     parts = [-(-counts.get(x, 0) // block) for x in range(len(centers))]
     pieces = F.get(F.array(*map(F.lit, parts or [0])), F.col("list"))
-    left = index.select("id", "v", "list").withColumn("piece", F.pmod(F.xxhash64("id"), F.greatest(pieces, F.lit(1))).cast("int"))
-    right = asked.filter(pieces > 0).select("query_id", "v", "list", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    shares = -(-(asked.groupBy("list").count().agg(F.max("count")).head()[0] or 1) // query_block)
+    left = index.select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).withColumn("piece", F.pmod(F.xxhash64("id"), F.greatest(pieces, F.lit(1))).cast("int"))
+    right = asked.filter(pieces > 0).select("query_id", "v", "list", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [[], [], []]
         if a.num_rows and b.num_rows:
             ids = a.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            scores = rows_of(b.column("v"), centers.shape[1]) @ rows_of(a.column("v"), centers.shape[1])[order].T
-            best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-            out = [np.repeat(b.column("query_id").to_numpy(), best.shape[1]), ids[order][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
+            best, scores = nearest(rows_of(b.column("v"), centers.shape[1]), rows_of(a.column("v"), centers.shape[1])[order], k)
+            out = [np.repeat(b.column("query_id").to_numpy(), best.shape[1]), ids[order][best].ravel(), scores.ravel()]
         return pa.table({"query_id": pa.array(out[0], b.schema.field("query_id").type), "id": pa.array(out[1], a.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
 
-    return left.groupBy("list", "piece").cogroup(right.groupBy("list", "piece")).applyInArrow(meet, f"query_id {type_of(asked, 'query_id')}, id {type_of(index, 'id')}, score double")
+    return left.groupBy("list", "piece", "share").cogroup(right.groupBy("list", "piece", "share")).applyInArrow(meet, f"query_id {type_of(asked, 'query_id')}, id {type_of(index, 'id')}, score double")
 
 
 def _ranked(met: DataFrame, k: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _ranked(met: DataFrame, k: int) -> DataFrame:
 def probe(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int = 10, probes: int = 8, block: int = 16_384) -> DataFrame:
     """query_id, id, score, rank: the best k of the probed lists."""
     asked = _lists_of(queries, centers, "query_id", _nearest(probes)).select("query_id", "v", F.explode("lists").alias("list"))
-    return _ranked(_met(asked, index, centers, k, block), k)
+    return _ranked(_met(stage(queries.sparkSession, asked, "index-asked"), index, centers, k, block), k)
 
 
 def exact(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int = 10, probes: int = 4, block: int = 16_384) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,5 @@
+import numpy as np
+
 from quern.operators import index, search
 from quern.plans.catalogue import vectors
 
@@ -21,3 +23,13 @@ def test_empty(spark, small):
     assert len(centers) == 0
     some = index.fit_centroids(rows, 4)
     assert index.probe(rows.limit(0).withColumnRenamed("id", "query_id"), index.build(rows, some), some).count() == 0
+
+
+def test_products_are_made_in_tiles_and_ties_go_to_the_smaller_number():
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-2, 3, (300, 4)).astype(float), rng.integers(-2, 3, (40, 4)).astype(float)
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")
+    for k, tile in ((0, 50), (1, 50), (7, 900), (300, 10_000), (500, 1)):
+        best, scores = search.nearest(q, x, k, tile)
+        assert (best == want[:, :k]).all() and np.allclose(scores, np.take_along_axis(q @ x.T, best, 1))
+    assert search.nearest(q, x[:0], 3)[0].shape == (40, 0)
