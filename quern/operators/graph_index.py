@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import normalized
-from quern.operators.search import rows_of, type_of, usable
+from quern.operators.search import nearest, rows_of, type_of, usable
 from quern.session import ship
 
 
@@ -149,7 +149,15 @@ def search(queries: DataFrame, graph: DataFrame, k: int = 10, beam: int = 64, wh
             a = a.sort_by("node")
             width = max(len(v) for t in (a, b) for v in t.column("v").to_pylist())
             x, q = rows_of(a.column("v"), width), rows_of(b.column("v"), width)
-            links, passes, ids = a.column("links").to_pylist(), a.column("ok").to_numpy(), a.column("id").to_pylist()
+            passes, ids = a.column("ok").to_numpy(zero_copy_only=False), a.column("id").to_pylist()
+            if max(beam, k) >= a.num_rows:
+                # A walk with such a beam comes to every row, since the lowest layer is connected: products give the same.
+                fits = np.flatnonzero(passes)
+                fits = fits[np.argsort(a.column("id").to_numpy()[fits], kind="stable")]
+                best, scores = nearest(q, x[fits], k)
+                names = np.repeat(np.arange(len(q)), best.shape[1])
+                return pa.table({"query_id": b.column("query_id").take(pa.array(names)), "id": a.column("id").take(pa.array(fits[best].ravel())), "score": scores.ravel()})
+            links = a.column("links").to_pylist()
             for name, one in zip(b.column("query_id").to_pylist(), q, strict=True):
                 found = sorted(((-round(s, 12), ids[j], s) for s, j in walk(x, links, one, passes, max(beam, k))))[:k]
                 for column, values in zip(out, ([name] * len(found), [f[1] for f in found], [f[2] for f in found]), strict=True):
