@@ -152,6 +152,23 @@ class _Level:
         return parts
 
 
+def _folded(both: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, to) of one neighbour and no loop with that neighbour, and the edges that are left when they become its loops.
+
+    Of two nodes that have only each other the greater goes. Such a node's edges are
+    told by their pair of ends, so a hub's are dealt over all tasks.
+    """
+    spark = both.sparkSession
+    pair = (F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    lone = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("w").alias("w")).filter("n = 1 and a <> b")
+    ends = lone.select(*pair, "a", "w").groupBy("low", "high").agg(F.max("a").alias("node"), F.min("w").alias("w"))
+    goes = stage(spark, ends.withColumn("to", F.when(F.col("node") == F.col("low"), F.col("high")).otherwise(F.col("low"))), "leiden-goes")
+    rest = both.select("a", "b", "w", *pair).join(shuffled(goes.select("low", "high")), ["low", "high"], "left_anti").select("a", "b", "w")
+    loops = goes.select(F.col("to").alias("a"), F.col("to").alias("b"), (2 * F.col("w")).alias("w"))
+    left = rest.unionByName(loops).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return goes.select("node", "to"), stage(spark, salted(left, parts), "leiden-folded")
+
+
 def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 8, rounds: int = 16, parts: int = 16) -> DataFrame:
     """node, community (its smallest node) by modularity: moves, refinement and aggregation, level by level.
 
@@ -160,6 +177,9 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 8, rounds: i
     then refined into connected parts, parts become the nodes of the next level,
     and start there in their communities. It ends when refinement joins nothing more. A
     community that is left in several pieces is cut into them, which never lowers modularity.
+
+    Up to a resolution of 1 a node of one neighbour loses nothing in that neighbour's community, whatever
+    that is, so such nodes are folded into their neighbours first, and rounds see the others only.
     """
     spark = edges.sparkSession
     both = first = stage(spark, _both_ways(edges, parts), "leiden-edges")
@@ -167,6 +187,10 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 8, rounds: i
     labels = place.select("node", F.col("node").alias("label"))
     if place.isEmpty():
         return labels.withColumnRenamed("label", "community")
+    if resolution <= 1:
+        goes, both = _folded(both, parts)
+        place = stage(spark, place.join(shuffled(goes), "node", "left").select("node", F.coalesce("to", "at").alias("at")), "leiden-place-folded")
+        labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for number in range(levels):
         level = _Level(both, resolution, parts, number)
         labels = level.moved(labels, rounds)

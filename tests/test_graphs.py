@@ -92,6 +92,17 @@ def test_no_less_than_label_propagation(spark, small):
         assert seen == {x for x in got if got[x] == c}
 
 
+def test_nodes_of_one_neighbour_go_with_it_at_once(spark):
+    rows = [(f"h{h}", f"x{h}{k:02}") for h in (0, 1) for k in range(20)] + [("h0", "h1"), ("p", "q"), ("p", "q"), ("z", "z"), ("h1", "h1")]
+    got = by_node(graphs.leiden(frame(spark, rows), levels=1, rounds=0))
+    assert got == {x: ("p" if x in "pq" else "z" if x == "z" else f"h{x[1]}") for e in rows for x in e}
+    assert quality(rows, by_node(graphs.leiden(frame(spark, rows)))) >= quality(rows, got) - 1e-9
+    goes, left = graphs._folded(graphs._both_ways(frame(spark, rows), 4), 4)
+    assert goes.count() == 41 and left.agg(F.sum("w")).head()[0] == 2 * len(rows) and left.filter("a like 'x%' or b like 'x%'").isEmpty()
+    above = by_node(graphs.leiden(frame(spark, rows), resolution=50.0))
+    assert above["x000"] != above["h0"]  # beyond a resolution of 1 they may lose, so they are not folded
+
+
 def test_odd_edges(spark):
     rows = spark.createDataFrame([("a", None), (None, None), ("a", "b"), ("b", "a"), ("c", "c")], "a string, b string")
     assert by_node(graphs.leiden(rows)) == {"a": "a", "b": "a", "c": "c"}
