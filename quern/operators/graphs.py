@@ -251,11 +251,12 @@ def paths(edges: DataFrame, start: DataFrame, end: DataFrame | None = None, type
     return all_.select(F.reverse("nodes").alias("nodes"), F.reverse("types").alias("types")) if backward else all_.select("nodes", "types")
 
 
-def random_walk(edges: DataFrame, anchors: DataFrame, steps: int = 8, restart: float = 0.15, least: float = 0.0, parts: int = 16) -> DataFrame:
-    """query_id, node, p: where walks over undirected edges from each question's anchors (query_id, node) are after ``steps``.
+def shared_walks(edges: DataFrame, anchors: DataFrame, steps: int = 8, restart: float = 0.15, least: float = 0.0, parts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """walk, node, p: where walks over undirected edges from each set of anchors are after ``steps``; and query_id, walk of each question.
 
-    A walk starts at one of the question's anchors, goes to a neighbour by weight,
-    and returns to an anchor with chance ``restart``. All questions walk at once. With a
+    A walk starts at one of a question's anchors (query_id, node), goes to a neighbour by weight,
+    and returns to an anchor with chance ``restart``. All walks go at once, and questions of the same
+    anchors share one, which is named by the smallest of them: rows grow with different sets of anchors, not with questions. With a
     ``least`` above 0, shares below it are not followed further. Anchors that no edge has are left out.
     """
     spark = edges.sparkSession
@@ -264,15 +265,30 @@ def random_walk(edges: DataFrame, anchors: DataFrame, steps: int = 8, restart: f
     # A step goes from b to a: salts are those of b.
     both = stage(spark, both.join(shuffled(degree), "b").select("a", "b", (F.col("w") / F.col("k")).alias("share"), "salt"), "walk-edges")
     known = anchors.select("query_id", "node").distinct().join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    home = stage(spark, known.join(known.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").select("query_id", "node", (1.0 / F.col("n")).alias("p")), "walk-home")
+    sets = stage(spark, known.groupBy("query_id").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "walk-sets")
+    walks = stage(spark, sets.groupBy("nodes").agg(F.min("query_id").alias("walk")), "walk-names")
+    asked = stage(spark, sets.join(shuffled(walks), "nodes").select("query_id", "walk"), "walk-asked")
+    home = stage(spark, walks.select("walk", F.explode("nodes").alias("node"), (1.0 / F.size("nodes")).alias("p")), "walk-home")
     at = home
     for k in range(steps):
         going = at.filter(F.col("p") >= least)
-        from_ = dealt(going.select("query_id", F.col("node").alias("b"), "p"), both, parts)
-        near = both.join(from_, ["b", "salt"]).groupBy("query_id", F.col("a").alias("node")).agg(F.sum((1 - restart) * F.col("p") * F.col("share")).alias("p"))
-        back = home.select("query_id", "node", (restart * F.col("p")).alias("p"))
-        at = stage(spark, near.unionByName(back).groupBy("query_id", "node").agg(F.sum("p").alias("p")), f"walk-{k}")
-    return at
+        from_ = dealt(going.select("walk", F.col("node").alias("b"), "p"), both, parts)
+        near = both.join(from_, ["b", "salt"]).groupBy("walk", F.col("a").alias("node")).agg(F.sum((1 - restart) * F.col("p") * F.col("share")).alias("p"))
+        back = home.select("walk", "node", (restart * F.col("p")).alias("p"))
+        at = stage(spark, near.unionByName(back).groupBy("walk", "node").agg(F.sum("p").alias("p")), f"walk-{k}")
+    return at, asked
+
+
+def random_walk(edges: DataFrame, anchors: DataFrame, steps: int = 8, restart: float = 0.15, least: float = 0.0, parts: int = 16) -> DataFrame:
+    """query_id, node, p: the walks of ``shared_walks``, whole, for every question."""
+    at, asked = shared_walks(edges, anchors, steps, restart, least, parts)
+    return at.join(shuffled(asked), "walk").select("query_id", "node", "p")
+
+
+def best_of(scored: DataFrame, key: str, depth: int) -> DataFrame:
+    """The ``depth`` best rows (key, id, score) of each key, in the order of ``fused_streams``."""
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth).drop("rank")
 
 
 def fused_streams(streams: list[DataFrame], depth: int, k: float = 60.0, top: int = 10) -> DataFrame:

@@ -614,8 +614,10 @@ def graph_vector_context(spark: SparkSession, d: str) -> DataFrame:
     node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     linked = all_.select(node("v", "id").alias("a"), node("l", "label").alias("b")).union(all_.select(node("v", "id").alias("a"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("b")))
     asked = all_.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
-    walked = graphs.random_walk(linked, asked.select("query_id", node("l", "label").alias("node")), 3)
-    by_graph = walked.filter("node like 'v%'").select("query_id", F.substring("node", 2, 20).cast("long").alias("id"), F.col("p").alias("score"))
+    # Questions of one entity share its walk, and of each walk only what the fusion looks at goes to its questions.
+    walked, walks = graphs.shared_walks(linked, asked.select("query_id", node("l", "label").alias("node")), 3)
+    reached = walked.filter("node like 'v%'").select("walk", F.substring("node", 2, 20).cast("long").alias("id"), F.col("p").alias("score"))
+    by_graph = graphs.best_of(reached, "walk", 20).join(walks, "walk").select("query_id", "id", "score")
     by_vector = search.search_many(asked.select("query_id", "vector"), all_.select("id", "vector"), 20).select("query_id", "id", "score")
     hits = graphs.fused_streams([by_graph, by_vector], 20, top=5).join(table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text"), "id")
     return agents.context(hits, "query_id", "rank", "text").select("query_id", "n", F.md5(F.col("context").cast("binary")).alias("context_md5"))

@@ -163,3 +163,13 @@ def test_tables_of_nodes_are_dealt_and_not_sent_through_the_driver(spark, monkey
     assert {r["b"]: r["count"] for r in at.groupBy("b").count().collect()} == {str(k): 1 for k in range(30)} | {"hub": 4}
     met = both.join(at, ["b", "salt"])
     assert met.count() == 60 and "SortMergeJoin [b" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_of_the_same_anchors_share_a_walk(spark):
+    rows = [(str(k), f"l{k % 3}") for k in range(30)]
+    anchors = [(q, f"l{q % 3}") for q in range(60)] + [(q, x) for q in (70, 71, 72) for x in ("l0", "l1")] + [(71, "l1"), (72, "not there"), (80, "not there")]
+    at, asked = graphs.shared_walks(frame(spark, rows), spark.createDataFrame(anchors, "query_id long, node string"), 3)
+    assert {r["query_id"]: r["walk"] for r in asked.collect()} == {q: q % 3 for q in range(60)} | {q: 70 for q in (70, 71, 72)}
+    assert at.select("walk").distinct().count() == 4 and at.count() <= 3 * 11 + 22
+    best = graphs.best_of(at.select("walk", F.col("node").alias("id"), F.col("p").alias("score")), "walk", 2)
+    assert sorted((r["walk"], r["id"]) for r in best.filter("walk < 3").collect()) == [(k, x) for k in range(3) for x in sorted([f"l{k}", {0: "0", 1: "1", 2: "11"}[k]])]
