@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -154,35 +155,56 @@ def cuts(at: list[int], price: list[int], p: PackingParams) -> list[int]:
     """Ends of the cheapest windows that cover positions at[0] to at[-1]."""
     m, length = len(at), p.length
     f, back, keys = [0] * m, [0] * m, [0] * m
-    index = {x: k for k, x in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length() - 1)] + [length]
-    # Queue h holds the starts of spans with h forced cuts, by rising key (f + position): its head is the cheapest.
-    queues = [(deque(), h * length, (h + 1) * length, h * (p.forced_price + p.window_price)) for h in range(p.forced + 1)]
-    entered = [0] * (p.forced + 1)
-    for j in range(1, m):
-        x, best, who = at[j], None, 0
-        for h, (queue, least, most, extra) in enumerate(queues):
-            k = entered[h]
-            while k < j and at[k] < x - least:
-                key = keys[k]
-                while queue and keys[queue[-1]] >= key:
-                    queue.pop()
-                queue.append(k)
-                k += 1
-            entered[h] = k
-            while queue and at[queue[0]] < x - most:
+    x_ = np.array(at, np.int64)
+    # Starts of windows without padding, for all borders at once: pairs of a border and an earlier one at a power of two from it.
+    plain: list[list[int]] = [[] for _ in range(m)]
+    for d in [1 << k for k in range(length.bit_length() - 1)] + [length]:
+        i = np.searchsorted(x_, x_ - d)
+        for j in np.flatnonzero(x_[i] == x_ - d).tolist():
+            plain[j].append(int(i[j]))
+    # A span with h forced cuts starts in [low[h], low[h - 1]), more than ``length`` before its end, so the cheapest starts of all such spans
+    # that end within ``length`` of a border are found at once when the borders before that one are done.
+    low = [np.searchsorted(x_, x_ - (h + 1) * length) for h in range(p.forced + 1)]
+    cost = np.array([(h + 1) * length + h * (p.forced_price + p.window_price) for h in range(1, p.forced + 1)], np.int64)[:, None]
+    ranges = np.stack([np.stack(low[1:]), np.stack(low[:-1])], 2) if p.forced else None
+    some = ranges[:, :, 0] < ranges[:, :, 1] if p.forced else None
+    done, never = np.zeros(m, np.int64), 1 << 60
+    queue: deque[int] = deque()  # starts of windows without forced cuts, by rising key (f + position): its head is the cheapest
+    first = 0
+    while first < m:
+        end = bisect_right(at, at[first] + length, first)
+        far = [never] * (end - first)
+        if p.forced and first:
+            least = np.minimum.reduceat(done[:end], ranges[:, first:end].ravel())[::2].reshape(p.forced, -1)
+            far = np.where(some[:, first:end], least + cost, never).min(0).tolist()
+        for j in range(max(first, 1), end):
+            x = at[j]
+            key = keys[j - 1]
+            while queue and keys[queue[-1]] >= key:
+                queue.pop()
+            queue.append(j - 1)
+            while queue and at[queue[0]] < x - length:
                 queue.popleft()
-            if queue and (best is None or keys[queue[0]] + most - x + extra < best):
-                who = queue[0]
-                best = keys[who] + most - x + extra
-        for d in powers:
-            if (i := index.get(x - d)) is not None and f[i] < best:
-                best, who = f[i], i
-        f[j], back[j] = best + price[j] + p.window_price, who
-        keys[j] = f[j] + x
+            # In keys, which lack the border's own position; of equal ones the span with fewer forced cuts, and of these the later start.
+            best, who = (keys[queue[0]] + length, queue[0]) if queue else (never, 0)
+            if far[j - first] < best:
+                best, who = far[j - first], -1  # its start is looked up below, if the way back comes here
+            best -= x
+            for i in plain[j]:
+                if f[i] < best:
+                    best, who = f[i], i
+            f[j], back[j] = best + price[j] + p.window_price, who
+            keys[j] = f[j] + x
+        done[first:end] = keys[first:end]
+        first = end
     out, j = [], m - 1
     while j:
         i = back[j]
+        if i < 0:
+            starts = [(int(done[low[h][j] : low[h - 1][j]].min()) + int(cost[h - 1, 0]), h) for h in range(1, p.forced + 1) if low[h][j] < low[h - 1][j]]
+            h = min(starts)[1]
+            part = done[low[h][j] : low[h - 1][j]]
+            i = int(low[h - 1][j]) - 1 - int(part[::-1].argmin())
         out += [at[j], *reversed(range(at[i] + length, at[j], length))]
         j = i
     return out[::-1]
