@@ -27,7 +27,8 @@ def cheapest(at, price, p):
         for i in range(j):
             h, rest = divmod(at[j] - at[i] - 1, p.length)
             if h <= p.forced:
-                out.append(to(i) + packing.padding(rest + 1, p.length) + price[j] + p.window_price + h * (p.forced_price + p.window_price))
+                left = p.length - rest - 1 if h else packing.padding(rest + 1, p.length)  # after a forced cut every length is padded
+                out.append(to(i) + left + price[j] + p.window_price + h * (p.forced_price + p.window_price))
         return min(out)
 
     return to(len(at) - 1)
